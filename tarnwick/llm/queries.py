@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import scratch_path, table
-from . import bpe, chat, exact_dedup, html_text, media, mixing, simhash, token_store, toxicity
+from . import bpe, chat, context_tree, exact_dedup, html_text, media, mixing, simhash, token_store, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
@@ -61,6 +61,11 @@ def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = context_tree.score(table(spark, sf_dir, "documents"), ~context_tree.held_out(F.col("doc_id")))
+    return found.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def toxicity_weights(spark: SparkSession, sf_dir: str) -> dict[int, float]:
     """Learnt from the labels outside the held-out third."""
     return toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~toxicity.held_out(F.col("doc_id")))
@@ -80,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_exact_dedup": op6_exact_dedup,
     "op7_bpe": op7_bpe,
     "op8_mix": op8_mix,
+    "op9_lm": op9_lm,
     "op10_toxicity": op10_toxicity,
 }
 
