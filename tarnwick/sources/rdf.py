@@ -124,5 +124,5 @@ def read(spark: SparkSession, path: str, graph: str = "default") -> DataFrame:
             columns = [pa.array([t[k] for t in found], pa.string() if k < 3 else pa.bool_()) for k in range(4)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array([graph] * len(found), pa.string())], ["subject", "predicate", "object", "object_is_iri", "graph"])
 
-    files = spark.read.option("wholetext", not path.lower().endswith(".nt")).text(path)
+    files = spark.read.text(path, wholetext=not path.lower().endswith(".nt"))
     return files.mapInArrow(run, QUADS)
