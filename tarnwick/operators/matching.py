@@ -180,6 +180,11 @@ def split_settled(products: DataFrame, positives: DataFrame) -> tuple[DataFrame,
     return products.join(held, keys), products.join(held, keys, "left_anti")
 
 
+def list_frames(products: DataFrame, vendor: str, rules: DataFrame, vendors: DataFrame) -> DataFrame:
+    """A vendor's products that the scope gate lets through; the name is matched exactly."""
+    return scope(products.filter(F.col("vendor") == vendor), rules, vendors).filter("allowed").select(products.columns)
+
+
 def route(gap: Column, conflict: Column, precedent: Column) -> Column:
     return F.when(gap, "research").when(conflict, "reconcile").when(precedent, "extend").otherwise("new")
 

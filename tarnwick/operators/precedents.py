@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import vendor_signature
@@ -123,6 +124,17 @@ def import_bundle(patterns: DataFrame, version: str, nodes: DataFrame, vendors:
     return fresh, judged.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
+def hydrate(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+    """Patterns of a bundle written as text lines. No bundle is a cold start, unless strict; a broken one is an error."""
+    try:
+        lines = spark.read.text(path)
+    except AnalysisException:
+        if strict:
+            raise
+        return spark.createDataFrame([], PATTERN)
+    return lines.filter("trim(value) <> ''").select(F.from_json("value", PATTERN, {"mode": "FAILFAST"}).alias("p")).select("p.*")
+
+
 def priors(memory: DataFrame, key: str, prefix: bool = False) -> DataFrame:
     return memory.filter(F.startswith("memory_key", F.lit(key)) if prefix else F.col("memory_key") == key)
 

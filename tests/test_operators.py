@@ -75,6 +75,41 @@ def test_bundle_round_trip(spark):
         precedents.import_bundle(bundle, "2.0", nodes, vendors, events)
 
 
+def test_hydration(spark, tmp_path):
+    assert precedents.hydrate(spark, f"file://{tmp_path}/none").count() == 0
+    with pytest.raises(Exception):
+        precedents.hydrate(spark, f"file://{tmp_path}/none", strict=True)
+    precedents.export_bundle(log(spark, ("a", "approve"))).select("pattern").write.text(f"file://{tmp_path}/b")
+    assert [r.mapped_node_iri for r in precedents.hydrate(spark, f"file://{tmp_path}/b").collect()] == ["a"]
+
+
+RULES = "policy_key string, kind string, target string, assignee string, action string, has_constraint boolean, ord int"
+
+
+def test_scope(spark):
+    schema = "vendor string, product_id string, iri string, target_iri string"
+    products = spark.createDataFrame([("acme", str(i), f"mds:{i}", None) for i in range(7)] + [("other", "9", "mds:9", None)], schema)
+    rules = spark.createDataFrame([
+        ("mds:1", "permission", None, None, "use", False, 1), ("mds:2", "permission", None, None, "use", True, 1), ("mds:3", "permission", None, "someone", "use", False, 1),
+        ("mds:4", "prohibition", None, None, "all", False, 0), ("mds:4", "permission", None, None, "use", False, 1), ("mds:5", "permission", "mds:else", None, "use", False, 1), ("mds:6", "permission", None, None, "sell", False, 1),
+    ], RULES)
+    vendors = spark.createDataFrame([("acme",)], "vendor string")
+    got = {r.product_id: (r.allowed, r.reason) for r in matching.scope(products, rules, vendors).collect()}
+    assert got == {
+        "0": (True, "no policy, vendor in scope"), "1": (True, "permission granted"), "2": (False, "unmatched constraint"), "3": (False, "assignee mismatch"),
+        "4": (False, "prohibited"), "5": (False, "no matching permission"), "6": (False, "no matching permission"), "9": (False, "vendor out of scope"),
+    }
+    assert sorted(r.product_id for r in matching.list_frames(products, "acme", rules, vendors).collect()) == ["0", "1"]
+
+
+def test_publish_gate(spark):
+    schema = "k string, route string, verifier int, confidence double, self_flag boolean, target_iri string, product_iri string, minted_iri string, candidate_iris array<string>, triples array<struct<subject:string,graph:string>>"
+    ok = dict(route="new", verifier=18, confidence=0.9, self_flag=False, target_iri="t", product_iri="mds.v:1", minted_iri="mds.v:1", candidate_iris=["t"], triples=[("mds.v:1", "g")])
+    cases = {"published": {}, "hitl": {"verifier": 3}, "retry": {"verifier": 13}, "research_queued": {"route": "research"}, "rejected": {"target_iri": "off"}, "rejected ": {"minted_iri": "mds.v:2"}, "rejected  ": {"triples": []}, "hitl ": {"self_flag": True}}
+    rows = [(k, *(ok | v).values()) for k, v in cases.items()]
+    assert all(r.outcome == r.k.strip() for r in matching.publish(spark.createDataFrame(rows, schema)).collect())
+
+
 def test_snapshot_changes(spark):
     t = datetime.datetime
     rows = [("a", t(2024, 1, 2), t(2024, 1, 5)), ("b", t(2024, 1, 1), t(2024, 1, 3)), ("c", t(2024, 1, 1), t(2024, 1, 1)), ("d", t(2024, 1, 2), None)]

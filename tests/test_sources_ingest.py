@@ -169,3 +169,11 @@ def test_publish_is_idempotent(spark):
     done = ingest.graph_digests(quads)
     assert ingest.to_publish(quads.orderBy(F.desc("object")), done).count() == 0
     assert ingest.to_publish(quads.union(quads.filter("graph = 'g2'").withColumn("object", F.lit("n"))), done).count() == 2
+
+
+def test_csvw_aliases():
+    from tarnwick.sources import csvw
+
+    found = csvw.aliases({"tableSchema": {"columns": [{"name": "Instrument_Code", "titles": ["RIC"]}, {"name": "x1", "canonical": "name"}, {"name": "zzz"}]}})
+    assert "instrument_code" in found["product_id"] and "ric" in found["product_id"] and "x1" in found["name"]
+    assert all("zzz" not in v for v in found.values())
