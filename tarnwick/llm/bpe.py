@@ -151,10 +151,14 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def pieces(batch: pa.RecordBatch, column: str, limit: int = 1 << 25) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Parts of a batch with at most about limit bytes of text each, with their texts."""
-    texts = batch.column(column).cast(pa.large_string()) if pa.types.is_string(batch.column(column).type) else batch.column(column)
-    sizes = np.asarray(pc.binary_length(texts).fill_null(0)).astype(np.int64).cumsum() if batch.num_rows else np.zeros(0)
+def pieces(batch: pa.RecordBatch, column: str, limit: int = 1 << 22) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Parts of a batch with at most about limit bytes of text each, with their texts.
+
+    What a worker holds at a time follows from limit and the longest text, not from the
+    rows of a batch.
+    """
+    texts = batch.column(column)
+    sizes = pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).cumsum()
     start = 0
     while start < batch.num_rows:
         base = sizes[start - 1] if start else 0

@@ -39,7 +39,7 @@ _codes: dict[str, int] = {}
 def code(word: str) -> int:
     found = _codes.get(word)
     if found is None:
-        if len(_codes) > 500_000:
+        if len(_codes) > 100_000:
             _codes.clear()
         found = _codes[word] = zlib.crc32(word.encode()) * 0x9E3779B1 & 0xFFFFFFFFFFFFFFFF
     return found
@@ -93,16 +93,17 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array([features(t).astype("<i4").tobytes() for t in texts], pa.binary())], ["doc_id", "label", "slots"])
 
     def fitted(batches):
-        model, held = Ftrl(), []
+        model, held, at = Ftrl(), [], []  # the sample stays in the batches' own buffers
         for batch in batches:
-            held += zip(batch.column("label").to_pylist(), batch.column("slots").to_pylist())
+            at += [(len(held), i, label) for i, label in enumerate(batch.column("label").to_pylist())]
+            held.append(batch.column("slots"))
         for epoch in range(EPOCHS):
-            for i in np.random.default_rng(epoch).permutation(len(held)).tolist():
-                label, slots = held[i]
-                model.learn(np.frombuffer(slots, "<i4").astype(np.int64), label)
+            for k in np.random.default_rng(epoch).permutation(len(at)).tolist():
+                part, i, label = at[k]
+                model.learn(np.frombuffer(held[part][i].as_buffer(), "<i4").astype(np.int64), label)
         w = model.weights(slice(None))
-        at = np.flatnonzero(w)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(w[at])], ["slot", "weight"])
+        used = np.flatnonzero(w)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(w[used])], ["slot", "weight"])
 
     made = rows.mapInArrow(featurised, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, label int, slots binary")
     ordered = made.repartition(1).sortWithinPartitions(F.xxhash64(F.lit(11), "doc_id"), "doc_id", "label", "slots")
