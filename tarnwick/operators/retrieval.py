@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 
 import pandas as pd
@@ -107,8 +108,6 @@ class _Lexicon:
 
 
 def _tokens(text: str) -> list[str]:
-    import re
-
     return [t for t in (p.strip(".") for p in re.split(r"[^a-z0-9.]+", (text or "").lower())) if t]
 
 

@@ -25,7 +25,7 @@ def windowed_counts(stream: DataFrame, time: str, key: str, late: str = "10 minu
     return stream.withWatermark(time, late).groupBy(F.window(time, width), key).agg(F.count(F.lit(1)).alias("n"))
 
 
-def outbox(stream: DataFrame, sink: str, checkpoint: str, project: Callable[[DataFrame], DataFrame] | None = None, key: str = "event_id") -> StreamingQuery:
+def outbox(stream: DataFrame, sink: str, checkpoint: str, project: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
     """Deliver published rows at least once to a keyed Parquet sink; a batch that runs again writes the same folder.
 
     Other rows are consumed without being projected. Readers take the sink through
