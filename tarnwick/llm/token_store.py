@@ -12,7 +12,7 @@ Writing sorts the texts by id into ranges before encoding, since they are smalle
 their ids. The counts of whole shards, one number each, give every shard its start.
 
 Defined cases: a null or empty text has just the end id; null ids come first; rows of the
-same id lie in the order of their texts; an empty table gives no rows; other columns stay
+same id lie in the order of their texts' hashes; an empty table gives no rows; other columns stay
 out of the file.
 """
 
@@ -115,7 +115,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str =
         if own_ids:
             yield closed(shard, block, before, own_ids, counts, held, schema)
 
-    ordered = rows.repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    # ranges are found from a sample of ids and hashes, so that no text goes to the driver
+    ordered = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     ordered.mapInArrow(run, STORE.format(id=kind)).write.option("compression", "zstd").parquet(path)
 
 
