@@ -29,6 +29,7 @@ from ..runtime import written
 
 WEIGHTS, SHARE, REPEATS = (5, 2, 1), 1.5, 2
 BLOCK_ROWS, BLOCKS, SOURCES, SHARDS = 64, 4096, 1024, 64
+EXACT = 64
 SEED = 20240229
 
 
@@ -135,21 +136,41 @@ def _plan(totals: list[dict[int, int]], sizes: list[int], goal: list[float], sha
 
 
 def _fill(block: pd.DataFrame) -> pd.DataFrame:
-    """Largest rows first, each that still fits, then one more if that comes nearer."""
+    """Largest rows first, each that still fits; among the last EXACT rows, the subset nearest to what is left."""
     block = block.sort_values(["size", "hash"], ascending=[False, True], kind="stable")
     left, copies = float(block["rest"].iloc[0]), block["full"].to_numpy().copy()
-    sizes, least = block["size"].to_numpy(), -1
-    for i, size in enumerate(sizes.tolist()):
-        if 0 < size <= left:
+    sizes = block["size"].tolist()
+    head = max(0, len(sizes) - EXACT)
+    for i in range(head):
+        if 0 < sizes[i] <= left:
             copies[i] += 1
-            left -= size
-        elif size > 0:
-            least = i
-    if least >= 0 and sizes[least] - left < left:
-        copies[least] += 1
+            left -= sizes[i]
+    for i in _nearest(sizes[head:], left):
+        copies[head + i] += 1
     return block.assign(copies=copies)
 
 
+def _nearest(sizes: list[int], left: float) -> list[int]:
+    """Places of a subset whose sum comes nearest to left; the smaller of two equally near sums."""
+    if left <= 0:
+        return []
+    mask, reach = (1 << (int(2 * left) + 2)) - 1, [1]  # bit k: a subset has the sum k
+    for size in sizes:
+        reach.append((reach[-1] | reach[-1] << size) & mask if size <= 2 * left + 1 else reach[-1])
+    below = (reach[-1] & ((1 << (int(left) + 1)) - 1)).bit_length() - 1
+    above = reach[-1] >> (int(left) + 1)
+    best = below
+    if above:
+        over = int(left) + (above & -above).bit_length()
+        best = over if over - left < left - below else below
+    out = []
+    for i in range(len(sizes) - 1, -1, -1):
+        if not reach[i] >> best & 1:
+            out.append(i)
+            best -= sizes[i]
+    return out
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = SHARDS) -> DataFrame:
     """The mixture: the rows of docs as often as they are drawn, shard by shard, shuffled within."""
     drawn = draws(docs, id_col, text_col, source_col, shards).filter("copies > 0").select(F.col("doc_id").alias("__tw_id"), F.col("hash").alias("__tw_hash"), F.slice("shards", F.lit(1), F.col("copies")).alias("__tw_to")).dropDuplicates(["__tw_id", "__tw_hash"])
