@@ -59,7 +59,8 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """
     verify_chunks(docs, text_col)
     lists = written(recipes(docs, id_col, text_col), "recipes")
-    groups = lists.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    # written once, since both branches below join it
+    groups = written(lists.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
     joined = lists.join(groups, "recipe")
     top = F.col("doc_id").eqNullSafe(F.col("keep_id"))
     # only repeated rows of the winning id need telling apart
