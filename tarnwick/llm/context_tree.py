@@ -7,12 +7,14 @@ probability is half its own estimate and half the product of its children's, so
 depths are mixed by what the corpus says for them. Trees are built bottom-up over exact
 counts of all training texts, one aggregation per depth.
 
-For scoring the trees are folded into tables of fixed size (SLOTS per depth: the proven
-bound of what is broadcast). Nodes that share a slot add their counts, no count is dropped,
-and since a slot's estimate doesn't depend on the decision to come, the result is a
-probability distribution whatever shares a slot. A text's score is log10 of the
-probability of its bytes, with A-Z lower-cased, and of one end mark; a path ends at the
-first depth that the corpus never saw.
+For scoring every byte of every text that is to be scored has a leaf in the trees, with
+counts of zero where the corpus never saw it, so that one pass down from the root gives
+each node the mixed probability of a path that ends there: a path ends at the first depth
+that the corpus never saw, and a node that it never saw has its parent's value. A node
+joins with its parent only, which has at most 256 children, so no join has a hot key.
+A text's score is log10 of the probability of its bytes, with A-Z lower-cased, and of one
+end mark. Keys (a byte in its context) of at least one 2**-HOT of all bytes, 2**HOT of
+them at most, are looked up in a broadcast table; the others are joined by the key itself.
 
 The base score beside it is a smoothed unigram model over words. Words of at least one
 2**-HEAVY of all tokens (2**HEAVY of them at most) are looked up in a broadcast table; the
@@ -39,11 +41,8 @@ from .bpe import pieces
 from .simhash import LOWER
 
 DEPTH = 5
-#: Slots by depth; the first two hold every node.
-SLOTS = (1 << 8, 1 << 16, 1 << 21, 1 << 22, 1 << 23, 1 << 23)
-HEAVY = 20
+HEAVY, HOT = 20, 22
 PIECE = 1 << 21
-MEMO = 1 << 21
 #: A byte that UTF-8 never uses: the end mark, and what stands before a text.
 MARK = b"\xff"
 END_WORD = b" "
@@ -107,27 +106,29 @@ def _hashes(words) -> np.ndarray:
     return np.array([digest(w) for w in words], _U)
 
 
-def count(docs: DataFrame) -> DataFrame:
-    """kind (0: bytes in context, 1: words by hash), key and n over all texts of docs."""
+def count(docs: DataFrame, words: bool = True) -> DataFrame:
+    """kind (0: bytes in context, 1: words by hash, unless left out), key and n over all texts of docs."""
     def run(batches):
         from collections import Counter
 
-        grams, words, own = _Tally(), _Tally(), Counter()
+        grams, tally, own = _Tally(), _Tally(), Counter()
         for batch in batches:
             for _, texts in pieces(batch, "text", PIECE):
                 low = [(t or "").encode().translate(LOWER) for t in texts]
                 grams.add(*np.unique(keys(low)[0], return_counts=True))
+                if not words:
+                    continue
                 for t in low:
                     own.update(t.split())
                 own[END_WORD] += len(low)
                 if len(own) > 300_000:
-                    words.add(_hashes(own), np.array(list(own.values()), np.int64))
+                    tally.add(_hashes(own), np.array(list(own.values()), np.int64))
                     own.clear()
-                if sum(len(k) for k, _ in words.parts) > 6_000_000:
-                    yield from words.flush(1)
-        words.add(_hashes(own), np.array(list(own.values()), np.int64))
+                if sum(len(k) for k, _ in tally.parts) > 6_000_000:
+                    yield from tally.flush(1)
+        tally.add(_hashes(own), np.array(list(own.values()), np.int64))
         yield from grams.flush(0)
-        yield from words.flush(1)
+        yield from tally.flush(1)
 
     rows = docs.select("text").mapInArrow(run, "kind int, key bigint, n bigint")
     return rows.groupBy("kind", "key").agg(F.sum("n").alias("n"))
@@ -144,14 +145,17 @@ def _lgamma(x: Column) -> Column:
 def _kt(n0: Column, n1: Column) -> Column:
     """Log of the Krichevsky-Trofimov probability of n0 zeros and n1 ones in any order."""
     a, b = n0.cast("double"), n1.cast("double")
-    return _lgamma(a + 0.5) + _lgamma(b + 0.5) - _lgamma(a + b + 1) - math.log(math.pi)
+    return F.when(a + b == 0, 0.0).otherwise(_lgamma(a + 0.5) + _lgamma(b + 0.5) - _lgamma(a + b + 1) - math.log(math.pi))
 
 
 def trees(grams: DataFrame) -> list[DataFrame]:
     """Per depth, node, n0, n1 and weight: what a node's own estimate counts against its children's.
 
-    A node is its context bytes above the decisions taken in the byte, led by a 1.
+    A node is its context bytes above the decisions taken in the byte, led by a 1. The last
+    level also has asked0 and asked1: how often texts to be scored take each way there
+    (column asked of grams; n if there is none). Nodes that are only asked for count nothing.
     """
+    asked = F.col("asked" if "asked" in grams.columns else "n").alias("asked")
     byte, context = F.col("key").bitwiseAND(255), F.shiftleft(F.shiftright("key", 8), 8)
     steps = [
         F.struct(
@@ -160,8 +164,8 @@ def trees(grams: DataFrame) -> list[DataFrame]:
         )
         for j in range(8)
     ]
-    each = grams.select(F.explode(F.array(*steps)).alias("s"), "n").select("s.node", "s.bit", "n")
-    counts = each.groupBy("node").agg(F.sum(F.when(F.col("bit") == 0, F.col("n")).otherwise(0)).alias("n0"), F.sum(F.when(F.col("bit") == 1, F.col("n")).otherwise(0)).alias("n1"))
+    each = grams.select(F.explode(F.array(*steps)).alias("s"), "n", asked).select("s.node", "s.bit", "n", "asked")
+    counts = each.groupBy("node").agg(*(F.sum(F.when(F.col("bit") == bit, F.col(c)).otherwise(0)).alias(f"{to}{bit}") for c, to in (("n", "n"), ("asked", "asked")) for bit in (0, 1)))
     level = written(counts.withColumn("log_p", _kt(F.col("n0"), F.col("n1"))).withColumn("weight", F.lit(1.0)), "tree")
     out = [level]
     for depth in range(DEPTH - 1, -1, -1):
@@ -176,92 +180,88 @@ def trees(grams: DataFrame) -> list[DataFrame]:
     return out[::-1]
 
 
-def slot(node: np.ndarray, depth: int) -> np.ndarray:
-    size = SLOTS[depth]
-    if depth < 2:
-        return (node & _U(size - 1)).astype(np.int64)
-    mixed = (node + _U(depth)) * _U(0x9E3779B97F4A7C15)
-    mixed ^= mixed >> _U(29)
-    mixed *= _U(0xBF58476D1CE4E5B9)
-    return (mixed >> _U(32)).astype(np.int64) & (size - 1)
+def fold(levels: list[DataFrame]) -> list[DataFrame]:
+    """Per depth, node and p: the mixed probability of a one if the path ends at the node.
 
-
-def fold(levels: list[DataFrame]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per depth the estimate of a one (16 bits, 0: never seen) and the weight (8 bits) of each slot."""
-    wide = 14
-
-    def deal(depth: int):
-        def run(batches):
-            for batch in batches:
-                at = slot(batch.column("node").to_numpy().view(_U), depth)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), depth, np.int32)), pa.array(at), batch.column("n0"), batch.column("n1"), batch.column("weight")], ["depth", "slot", "n0", "n1", "weight"])
-
-        return run
-
-    def packed(key, table):
-        at = table["slot"].to_numpy() & ((1 << wide) - 1)
-        n1, n, w = table["n1"].to_numpy(), table["n"].to_numpy(), table["w"].to_numpy()
-        ones, weight = np.zeros(1 << wide, "<u2"), np.zeros(1 << wide, np.uint8)
-        ones[at] = np.clip(np.rint((n1 + 0.5) / (n + 1) * 65536), 1, 65535)
-        weight[at] = np.clip(np.rint(w / n * 255), 0, 255)
-        return pa.table({"depth": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([key[1].as_py()], pa.int64()), "ones": pa.array([ones.tobytes()]), "weight": pa.array([weight.tobytes()])})
-
-    nodes = None
-    for depth, level in enumerate(levels):
-        own = level.select("node", "n0", "n1", "weight").mapInArrow(deal(depth), "depth int, slot bigint, n0 bigint, n1 bigint, weight double")
-        nodes = own if nodes is None else nodes.unionByName(own)
+    With base and keep the mixture over depths 0 to d is base + keep * own estimate at d.
+    """
     n = F.col("n0") + F.col("n1")
-    summed = nodes.groupBy("depth", "slot").agg(F.sum("n1").alias("n1"), F.sum(n).alias("n"), F.sum(n * F.col("weight")).alias("w"))
-    parts = summed.withColumn("part", F.shiftright("slot", wide)).groupBy("depth", "part").applyInArrow(packed, "depth int, part bigint, ones binary, weight binary")
-    out = [(np.zeros(max(s, 1 << wide), np.uint16), np.zeros(max(s, 1 << wide), np.uint8)) for s in SLOTS]
-    for row in parts.collect():  # SLOTS bound this: 3 bytes a slot
-        at = slice(row["part"] << wide, (row["part"] + 1) << wide)
-        out[row["depth"]][0][at] = np.frombuffer(row["ones"], "<u2")
-        out[row["depth"]][1][at] = np.frombuffer(row["weight"], np.uint8)
+    own, seen = (F.col("n1") + 0.5) / (n + 1), n > 0
+    out = []
+    for depth, level in enumerate(levels):
+        if depth:
+            above = F.col("node").bitwiseAND((1 << (8 * depth)) - 1).alias("parent")
+            taken = out[-1].select(F.col("node").alias("parent"), F.col("p").alias("up"), F.col("base").alias("more"), F.col("keep").alias("left"))
+            rows = level.withColumn("parent", above).join(taken, "parent")
+        else:
+            rows = level.select("*", F.lit(0.5).alias("up"), F.lit(0.0).alias("more"), F.lit(1.0).alias("left"))
+        p = F.when(seen, F.col("more") + F.col("left") * own).otherwise(F.col("up"))
+        base, keep = F.col("more") + F.col("left") * F.col("weight") * own, F.col("left") * (1 - F.col("weight"))
+        extra = [c for c in ("asked0", "asked1") if c in level.columns]
+        out.append(rows.select("node", p.alias("p"), base.alias("base"), keep.alias("keep"), *extra))
     return out
 
 
-def log10_bytes(key: np.ndarray, tables: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """log10 of the mixed probability of each key's byte in its context."""
-    total = np.zeros(len(key))
-    byte, context = key & _U(255), key >> _U(8)
-    for j in range(8):
-        prefix = (byte >> _U(8 - j)) | _U(1 << j)
-        one = ((byte >> _U(7 - j)) & _U(1)).astype(bool)
-        mixed, seen_below = np.full(len(key), 0.5), np.zeros(len(key), bool)
-        for depth in range(DEPTH, -1, -1):
-            ones, weight = tables[depth]
-            at = slot(((context & _U((1 << (8 * depth)) - 1)) << _U(8)) | prefix, depth)
-            own, seen = ones[at] / 65536.0, ones[at] > 0
-            share = np.where(seen_below, weight[at] / 255.0, 1.0)
-            mixed = np.where(seen, share * own + (1 - share) * mixed, mixed)
-            seen_below |= seen
-        total += np.log10(np.where(one, mixed, 1 - mixed))
-    return total
-
-
-class Scorer:
-    """Scores of texts, with a direct-mapped memory of keys met before."""
-
-    def __init__(self, tables):
-        self.tables = tables
-        self.key = np.full(MEMO, np.iinfo(np.uint64).max, _U)
-        self.value = np.zeros(MEMO)
-
-    def scores(self, texts: list[bytes]) -> np.ndarray:
-        key, starts = keys(texts)
-        at = ((key * _U(0x9E3779B97F4A7C15)) >> _U(43)).astype(np.int64)
-        value = self.value[at]
-        missed = np.flatnonzero(self.key[at] != key)
-        if len(missed):
-            new, back = np.unique(key[missed], return_inverse=True)
-            found = np.concatenate([log10_bytes(new[i : i + (1 << 17)], self.tables) for i in range(0, len(new), 1 << 17)])
-            value[missed] = found[back]
-            self.key[at[missed]] = key[missed]
-            self.value[at[missed]] = value[missed]
-            wrong = missed[self.key[at[missed]] != key[missed]]  # slots that several keys want: what is stored must fit its key
-            self.value[at[wrong]] = found[np.searchsorted(new, self.key[at[wrong]])]
-        return np.add.reduceat(value, starts)
+def key_scores(leaves: DataFrame) -> DataFrame:
+    """key, n and log_p (log10 of the byte's probability in its context) of every key asked for."""
+    def run(batches):
+        for batch in batches:
+            nodes, context = batch.column("nodes"), batch.column("context").to_numpy()
+            flat, row = nodes.flatten(), np.repeat(np.arange(len(context)), nodes.value_lengths().to_numpy(zero_copy_only=False))
+            prefix, p = flat.field("prefix").to_numpy(), flat.field("p").to_numpy()
+            table = np.full((len(context), 256), 0.5)
+            table[row, prefix] = p
+            for bit in (0, 1):
+                n = flat.field(f"asked{bit}").to_numpy()
+                at = np.flatnonzero((prefix >= 128) & (n > 0))
+                byte, log_p = (prefix[at] << 1 & 255) | bit, np.zeros(len(at))
+                for j in range(8):
+                    one = table[row[at], byte >> (8 - j) | 1 << j]
+                    log_p += np.log10(np.where(byte >> (7 - j) & 1, one, 1 - one))
+                yield pa.RecordBatch.from_arrays([pa.array(context[row[at]] | byte), pa.array(n[at]), pa.array(log_p)], ["key", "n", "log_p"])
+
+    node = F.col("node")
+    entry = F.struct(node.bitwiseAND(255).alias("prefix"), "p", "asked0", "asked1")
+    grouped = leaves.groupBy(node.bitwiseAND(-256).alias("context")).agg(F.collect_list(entry).alias("nodes"))  # 255 nodes at most
+    return grouped.mapInArrow(run, "key bigint, n bigint, log_p double")
+
+
+def log10_bytes(key: np.ndarray, tables: list[DataFrame]) -> np.ndarray:
+    """log10 of the mixed probability of each key's byte in its context, for a few keys that may be unknown to the tables."""
+    spark, byte, context = tables[0].sparkSession, key & _U(255), key >> _U(8)
+    prefix = np.array([byte >> _U(8 - j) | _U(1 << j) for j in range(8)])
+    one = np.array([byte >> _U(7 - j) & _U(1) for j in range(8)]).astype(bool)
+    mixed = np.full(prefix.shape, 0.5)
+    for depth, table in enumerate(tables):
+        node = (context & _U((1 << (8 * depth)) - 1)) << _U(8) | prefix
+        asked = spark.createDataFrame([(int(x),) for x in np.unique(node)], "node bigint")
+        found = {r["node"]: r["p"] for r in table.join(F.broadcast(asked), "node").select("node", "p").collect()}
+        mixed = np.array([[found.get(int(x), m) for x, m in zip(*pair)] for pair in zip(node, mixed)])
+    return np.log10(np.where(one, mixed, 1 - mixed)).sum(axis=0)
+
+
+class Hot:
+    """Positions of keys among the hot ones, which come with the most frequent first."""
+
+    def __init__(self, hot: np.ndarray):
+        self.hot, self.order = hot, np.argsort(hot)
+        self.first = np.zeros(1 << HOT, np.int32)
+        self.first[self.at(hot[::-1])] = np.arange(len(hot), dtype=np.int32)[::-1]
+
+    @staticmethod
+    def at(key: np.ndarray) -> np.ndarray:
+        return ((key * _U(0x9E3779B97F4A7C15)) >> _U(64 - HOT)).astype(np.int64) if HOT else np.zeros(len(key), np.int64)
+
+    def find(self, key: np.ndarray) -> np.ndarray:
+        """The position of each key, -1 where it is not hot."""
+        if not len(self.hot):
+            return np.full(len(key), -1, np.int32)
+        out = self.first[self.at(key)]
+        missed = np.flatnonzero(self.hot[out] != key)
+        near = np.minimum(np.searchsorted(self.hot, key[missed], sorter=self.order), len(self.hot) - 1)
+        place = self.order[near]
+        out[missed] = np.where(self.hot[place] == key[missed], place, -1)
+        return out
 
 
 def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -275,17 +275,32 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     common = words.filter(F.col("c") * (1 << HEAVY) >= n_train).toArrow()  # at most 2**HEAVY words have so large a share
     order = np.argsort(common["word"].to_numpy().view(_U))
     heavy = spark.sparkContext.broadcast((common["word"].to_numpy().view(_U)[order], common["c"].to_numpy()[order]))
-    tables = spark.sparkContext.broadcast(fold(trees(counts.filter("kind = 0").select("key", "n"))))
+    learnt = counts.filter("kind = 0").select("key", "n", F.col("n").alias("asked"))
+    others = count(rows.filter(~F.coalesce("train", F.lit(False))), words=False).select("key", F.lit(0).cast("bigint").alias("n"), F.col("n").alias("asked"))
+    grams = learnt.unionByName(others).groupBy("key").agg(F.sum("n").alias("n"), F.sum("asked").alias("asked"))
+    known = written(key_scores(fold(trees(grams))[-1]), "key_scores")
+    n_bytes = known.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    is_hot = F.col("n") * (1 << HOT) >= n_bytes
+    top = known.filter(is_hot).toArrow()  # at most 2**HOT keys have so large a share
+    order = np.argsort(-top["n"].to_numpy(), kind="stable")
+    hot = spark.sparkContext.broadcast((top["key"].to_numpy().view(_U)[order], top["log_p"].to_numpy()[order]))
+    del top
 
     def run(batches):
         from collections import Counter
 
-        own, (hashes, c) = Scorer(tables.value), heavy.value
+        (hot_keys, hot_logs), (hashes, c) = hot.value, heavy.value
+        lookup = Hot(hot_keys)
         logs, part_id, number = np.log10(c + 0.1), TaskContext.get().partitionId(), 0
         for batch in batches:
             for part, texts in pieces(batch, "text", PIECE):
                 low = [(t or "").encode().translate(LOWER) for t in texts]
-                scores = own.scores(low)
+                key, begins = keys(low)
+                place = lookup.find(key)
+                is_rare = place < 0
+                scores = np.add.reduceat(np.where(is_rare, 0.0, hot_logs[place]) if len(hot_keys) else np.zeros(len(key)), begins)
+                ends = np.concatenate([[0], np.add.reduceat(is_rare.astype(np.int64), begins).cumsum()]).astype(np.int32)
+                rare_keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(key[is_rare].view(np.int64)))
                 met = [Counter(t.split()) for t in low]
                 for m in met:
                     m[END_WORD] = 1
@@ -306,16 +321,18 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
                 row = (part_id << 40) + number + np.arange(len(low))
                 number += len(low)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(row), part.column("doc_id"), part.column("train"), pa.array(np.add.reduceat(times, starts)), pa.array(np.add.reduceat(known, starts)), pa.array(np.add.reduceat(base, starts)), pa.array(scores), lists],
-                    ["row", "doc_id", "train", "n_tokens", "known", "base", "score", "rare"],
+                    [pa.array(row), part.column("doc_id"), part.column("train"), pa.array(np.add.reduceat(times, starts)), pa.array(np.add.reduceat(known, starts)), pa.array(np.add.reduceat(base, starts)), pa.array(scores), lists, rare_keys],
+                    ["row", "doc_id", "train", "n_tokens", "known", "base", "score", "rare", "rare_keys"],
                 )
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    scored = written(rows.mapInArrow(run, f"row bigint, doc_id {kind}, train boolean, n_tokens bigint, known bigint, base double, score double, rare array<bigint>"), "scored")
+    scored = written(rows.mapInArrow(run, f"row bigint, doc_id {kind}, train boolean, n_tokens bigint, known bigint, base double, score double, rare array<bigint>, rare_keys array<bigint>"), "scored")
     light = words.filter(F.col("c") * (1 << HEAVY) < n_train)
     met = scored.select("row", F.explode("rare").alias("word")).join(light, "word", "left").select("row", F.coalesce("c", F.lit(0)).alias("c"))
     sums = met.groupBy("row").agg(F.sum(F.log10(F.col("c") + 0.1)).alias("rest"), F.sum((F.col("c") > 0).cast("bigint")).alias("more"))
-    out = scored.drop("rare").join(sums, "row", "left")
+    read = scored.select("row", F.explode("rare_keys").alias("key")).join(known.filter(~is_hot).select("key", "log_p"), "key")
+    bits = read.groupBy("row").agg(F.sum("log_p").alias("log_p"))
+    out = scored.drop("rare", "rare_keys").join(sums, "row", "left").join(bits, "row", "left")
     return out.select(
         "doc_id",
         "train",
@@ -323,5 +340,5 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(n_train).cast("bigint").alias("train_tokens"),
         (F.col("base") + F.coalesce("rest", F.lit(0.0)) - F.col("n_tokens") * math.log10(n_train + 0.1 * (types + 1))).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("log_p", F.lit(0.0))).alias("score"),
     )

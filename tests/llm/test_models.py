@@ -142,6 +142,23 @@ def test_context_tree_against_plain_form(spark):
         assert got[100 + i] == pytest.approx(w, rel=0.02, abs=0.05)
 
 
+@pytest.mark.parametrize("hot", [0, context_tree.HOT if hasattr(context_tree, "HOT") else 22])
+def test_context_tree_scores_are_exact(spark, monkeypatch, hot):
+    """Every context has its own counts, and unseen ones none, whether keys are looked up or joined."""
+    import random
+
+    monkeypatch.setattr(context_tree, "HOT", hot, raising=False)
+    r = random.Random(7)
+    corpus = ["".join(r.choice("abcdefghij klmnopqrst") for _ in range(300)) for _ in range(40)] + ["the cat sat on the mat"] * 20
+    texts = ["the cat sat on the mat", "the bat sat", "zzz", "", "über 🙂", corpus[0][:50] + "QQ"]
+    rows = [(i, t, True) for i, t in enumerate(corpus)] + [(100 + i, t, False) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, learn boolean")
+    got = {x.doc_id: x.score for x in context_tree.score(frame, F.col("learn")).collect()}
+    wanted = plain_context_tree([t.encode() for t in corpus], [t.lower().encode() for t in texts], context_tree.DEPTH)
+    for i, w in enumerate(wanted):
+        assert got[100 + i] == pytest.approx(w, rel=1e-8)
+
+
 def test_context_tree_is_a_distribution(spark):
     frame = spark.createDataFrame([(i, t) for i, t in enumerate(["abracadabra", "banana", "alakazam"])], "doc_id bigint, text string")
     tables = context_tree.fold(context_tree.trees(context_tree.count(frame).filter("kind = 0").select("key", "n")))
