@@ -509,6 +509,15 @@ def cyclic_components(spark, sf_dir):
     return graph.cyclic_components(edges)
 
 
+@query()
+def user_cycles(spark, sf_dir):
+    """cyclic_components over the users of all events, the last user leading back to the first ones; the tests compare it with brute force."""
+    users = table(spark, sf_dir, "events").select("user_id").distinct()
+    known = users.agg((F.max("user_id") + 1).alias("n_users"))
+    edges = users.crossJoin(F.broadcast(known)).select(F.col("user_id").alias("child"), ((F.col("user_id") * 7 + 2) % F.col("n_users")).alias("parent"))
+    return graph.cyclic_components(edges)
+
+
 @query()
 def pagerank(spark, sf_dir):
     """Ranks from one region over the region tree; iterative, so the tests compare it with dense algebra."""

@@ -46,6 +46,20 @@ def test_query(spark, duck, sf_dir, name):
     assert rows == sorted(tuple(plain(r[i]) for i in order) for r in found.fetchall())
 
 
+def test_user_cycles_take_all_users(spark, duck, sf_dir):
+    users = [u for (u,) in duck.execute("SELECT DISTINCT user_id FROM events").fetchall()]
+    n, wanted = max(users) + 1, {}
+    to = {u: (u * 7 + 2) % n for u in users}
+    for u in users:
+        way = [u]
+        while (v := to.get(way[-1])) is not None and v not in way:
+            way.append(v)
+        if to.get(way[-1]) == u:
+            wanted[u] = min(way)
+    assert any(u % 2 for u in wanted)
+    assert {r.node: r.component for r in QUERIES["user_cycles"](spark, sf_dir).collect()} == wanted
+
+
 def test_entry_works_without_the_training_data_operators():
     import builtins
     import importlib.util
