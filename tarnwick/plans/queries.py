@@ -502,6 +502,12 @@ def graph_components(spark, sf_dir):
     return connected_components(edges)
 
 
+@query()
+def line_item_components(spark, sf_dir):
+    """connected_components over every line item, orders with suppliers; recursive SQL is too slow for it, so the tests compare it with brute force."""
+    return connected_components(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("src"), (-1 - F.col("l_suppkey")).alias("dst")))
+
+
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT user_id AS a, (user_id * 7 + 2) % 150 AS b FROM events WHERE user_id % 2 = 0), r AS (SELECT a AS node, b AS reach FROM e UNION SELECT node, b FROM r JOIN e ON a = reach)
     SELECT x.node, least(x.node, min(x.reach)) AS component FROM r x JOIN r y ON x.node = y.reach AND x.reach = y.node GROUP BY x.node""")
 def cyclic_components(spark, sf_dir):

@@ -46,6 +46,21 @@ def test_query(spark, duck, sf_dir, name):
     assert rows == sorted(tuple(plain(r[i]) for i in order) for r in found.fetchall())
 
 
+def test_line_item_components_take_all_line_items(spark, duck, sf_dir):
+    edges = duck.execute("SELECT DISTINCT l_orderkey, -1 - l_suppkey FROM lineitem").fetchall()
+    parent = {x: x for e in edges for x in e}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        low, high = sorted((root(a), root(b)))
+        parent[high] = low
+    assert {r.node: r.component for r in QUERIES["line_item_components"](spark, sf_dir).collect()} == {x: root(x) for x in parent}
+
+
 def test_user_cycles_take_all_users(spark, duck, sf_dir):
     users = [u for (u,) in duck.execute("SELECT DISTINCT user_id FROM events").fetchall()]
     n, wanted = max(users) + 1, {}
