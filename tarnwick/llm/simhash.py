@@ -11,9 +11,10 @@ vectors, so any pair within the radius agrees under some mask and meets in that
 Equal fingerprints are one row from the start. A bucket of over BUCKET fingerprints is
 not compared as it stands: its members are dealt out once more under the masks of another
 assignment, joined to the first mask. That keeps the guarantee, and the key grows from
-about half of the bits to three quarters and seven eighths, where at most a few hundred
-different fingerprints can share one. So no bucket is cut and none is unbounded.
-A bucket yields a spanning forest of its links, never all pairs.
+about half of the bits to three quarters and at least 48 bits, where at most 2**16 different
+fingerprints can share one. So no bucket is cut and none is unbounded.
+A bucket is compared in blocks of BLOCK cells, in memory that grows with its members, not
+their pairs, and yields a spanning forest of its links, never all pairs.
 
 Defined cases: null texts count as empty; a text without words has fingerprint zero and
 links like any other. A row with a null id has its fingerprint and takes the component of
@@ -35,6 +36,8 @@ from .bpe import pieces
 
 SEED, SHINGLE, RADIUS = 42, 3, 3
 BUCKET = 512
+#: Pairs of members compared at once, or those of one member if that is more.
+BLOCK = 1 << 20
 #: Odd multipliers that reorder the bit positions for each round of masks.
 ROUNDS = (1, 27, 45)
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -80,16 +83,19 @@ def forest(members: list[dict], radius: int) -> list[tuple[int, int]]:
     """Links from the least node of each connected part of a bucket to its other nodes."""
     fp = np.array([m["fp"] for m in members], np.int64).view(np.uint64)
     node = np.array([m["node"] for m in members], np.int64)
-    near = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= radius
-    left, out = np.ones(len(fp), bool), []
-    while left.any():
-        part = np.zeros(len(fp), bool)
-        part[np.argmax(left)] = True
-        while (grown := near[part].any(axis=0)).sum() > part.sum():
-            part = grown
-        left &= ~part
-        least = node[part].min()
-        out += [(int(x), int(least)) for x in node[part] if x != least]
+    left, out = np.arange(len(fp)), []
+    while len(left):
+        part, new, left = [left[:1]], left[:1], left[1:]
+        while len(new) and len(left):
+            rows = max(1, BLOCK // len(left))
+            near = np.zeros(len(left), bool)
+            for i in range(0, len(new), rows):
+                near |= (np.bitwise_count(fp[new[i : i + rows], None] ^ fp[None, left]) <= radius).any(axis=0)
+            new, left = left[near], left[~near]
+            part.append(new)
+        ids = node[np.concatenate(part)]
+        least = ids.min()
+        out += [(int(x), int(least)) for x in ids if x != least]
     return out
 
 

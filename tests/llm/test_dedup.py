@@ -84,6 +84,18 @@ def test_dense_buckets_are_split_without_losing_links(spark, monkeypatch):
     assert {i: got.get(i, i) for i in wanted} == wanted
 
 
+def test_a_large_bucket_is_compared_in_bounded_memory():
+    import tracemalloc
+
+    members = [{"fp": (i ^ i >> 1) | (i % 2 << 40), "node": i + 5} for i in range(4000)] + [{"fp": 0x7F << 50, "node": 1}]
+    tracemalloc.start()
+    found = simhash.forest(members, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(found) == [(i, 5) for i in range(6, 4005)]
+    assert peak < 40 << 20
+
+
 def test_simhash_odd_rows(spark, odd, empty):
     rows = simhash.components(odd).collect()
     assert len(rows) == odd.count()
