@@ -5,19 +5,21 @@ A turn is written as
     ### <role>: <text>\n</turn>\n
 
 and a conversation is its turns one after another. The parser is deterministic: it splits
-at "\n</turn>\n", takes the role up to the first ": " whose colon has no backslash, and
-removes one backslash from every run of backslashes that stands before a control string
-("### " or "</turn>").
+at "\n</turn>\n", takes the role up to the first ": ", and removes one backslash from every
+run of backslashes that stands before a control string ("### " or "</turn>"). In a role
+"\b", "\c" and "\l" stand for a backslash, a colon and "<".
 
 Each turn is first written as it is, parsed again and compared with its source. A turn
 that does not come back identical is escaped: one more backslash before each control
-string, which the parser's rule takes off again. The comparison is repeated after that,
+string, which the parser's rule takes off again, and letters for a role's backslashes,
+colons and "<". The comparison is repeated after that,
 and then for the whole conversation; a difference there raises an error.
 
 Defined cases: rows of a conversation come by turn, then role and text; null turns come
 first. Null texts and roles are empty. Repeated rows are turns of their own. A null id is
 one conversation. Other columns are not read; an empty table gives no rows. One output
-row holds one conversation, so its size is that of the conversation's text.
+row holds one conversation, so its size is that of the conversation's text. No pattern
+backtracks over more than it has matched, so long texts and roles take linear time.
 """
 
 from __future__ import annotations
@@ -28,15 +30,34 @@ from pyspark.sql import functions as F
 HEAD, STOP = "### ", "\n</turn>\n"
 CONTROL = r"### |</turn>"
 ASSISTANT = "assistant"
-_ROLE = r"(?s)^### ((?:[^\\:]|\\.|:(?! ))*): "
+#: What stands for a character in a role; the backslash comes last when it is read.
+ROLE_LETTERS = {":": "\\c", "<": "\\l", "\\": "\\b"}
 
 
 def _escape(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(\\*)({CONTROL})", r"\\$1$2")
+    return F.regexp_replace(text, rf"(?<!\\)(\\*+)({CONTROL})", r"\\$1$2")
 
 
 def _unescape(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\\(\\*)({CONTROL})", "$1$2")
+    return F.regexp_replace(text, rf"(?<!\\)\\(\\*+)({CONTROL})", "$1$2")
+
+
+def _safe_role(role: Column) -> Column:
+    for plain, shown in reversed(ROLE_LETTERS.items()):
+        role = F.replace(role, F.lit(plain), F.lit(shown))
+    return role
+
+
+def _read_role(turn: Column) -> Column:
+    role = F.substr(F.substring_index(turn, ": ", 1), F.lit(len(HEAD) + 1))
+    for plain, shown in ROLE_LETTERS.items():
+        role = F.replace(role, F.lit(shown), F.lit(plain))
+    return role
+
+
+def _text_at(turn: Column) -> Column:
+    """How many characters come before a turn's text."""
+    return F.locate(": ", turn) + 1
 
 
 def _written(role: Column, text: Column) -> Column:
@@ -50,8 +71,8 @@ def parse(formatted: Column) -> Column:
     return F.transform(
         turns,
         lambda t: F.struct(
-            F.regexp_replace(F.regexp_extract(t, _ROLE, 1), r"(?s)\\(.)", "$1").alias("role"),
-            _unescape(F.regexp_replace(t, _ROLE, "")).alias("text"),
+            _read_role(t).alias("role"),
+            _unescape(F.substr(t, _text_at(t) + 1)).alias("text"),
         ),
     )
 
@@ -65,8 +86,7 @@ def format_turns(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
     """conv_id, turn, role, text and the turn's written form."""
     turns = rows.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.coalesce(role_col, F.lit("")).alias("role"), F.coalesce(text_col, F.lit("")).alias("text"))
     role, text = F.col("role"), F.col("text")
-    # a role's backslashes and colons are escaped too, and "<", which opens the stop mark
-    safe_role = F.regexp_replace(role, r"([\\:<])", r"\\$1")
+    safe_role = _safe_role(role)
     plain = _faithful(role, text, role, text)
     raised = _faithful(role, text, safe_role, _escape(text))
     checked = turns.withColumn("plain", plain).withColumn("raised", F.when(F.col("plain"), F.lit(True)).otherwise(raised))
@@ -96,7 +116,7 @@ def _spans(shown: Column, role: Column) -> Column:
     zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
 
     def step(acc: Column, x: Column) -> Column:
-        head = F.length(F.regexp_extract(x["shown"], _ROLE, 0)).cast("bigint")
+        head = _text_at(x["shown"]).cast("bigint")
         size = F.length(x["shown"]).cast("bigint")
         span = F.struct((acc["at"] + head).alias("start"), (size - head - len(STOP)).alias("length"))
         return F.struct((acc["at"] + size).alias("at"), F.when(x["role"] == ASSISTANT, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))

@@ -99,6 +99,14 @@ def test_chat_random_texts(spark):
     check_turns(spark, [(i, k, r.choice(["user", "assistant"]), "".join(r.choice(parts) for _ in range(r.randint(0, 12)))) for i in range(200) for k in range(3)])
 
 
+def test_chat_long_texts_and_roles(spark):
+    """A megabyte of what the parser looks at, as text and as role."""
+    n = 1_000_000
+    texts = ["a\n</turn>\n### " + "x" * n, "\\" * n + "### ", "\\" * n, ("</turn>\n### b: c\n" * (n // 17)) + "\n</turn>\n", ":" * n, "a: " * (n // 3), "\n</turn>\n" * (n // 9)]
+    rows = [(i, 0, "assistant", t) for i, t in enumerate(texts)] + [(10 + i, 0, t, "x\n</turn>\n") for i, t in enumerate(texts)]
+    check_turns(spark, rows + [(30, 0, "\\c\\b:\\l<", "y"), (30, 1, "\\c", "y")])
+
+
 def test_plain_text_is_not_escaped(spark):
     made = chat.conversations(spark.createDataFrame([(1, 0, "user", r"a \ b ### c")], "conv_id bigint, turn bigint, role string, text string"))
     assert made.first().formatted == "### user: a \\ b ### c\n</turn>\n"
