@@ -7,7 +7,8 @@ cut even before normalisation and pattern. The fragments between are encoded
 independently and their ids concatenated. A fragment met before comes from a bounded
 cache. New ones are normalised and split into words by the tokenizer's own rules, cut
 again at forced byte pairs, and the parts go to a byte-pair merge engine that is given
-the vocabulary's merge ranks; no state crosses a cut.
+the vocabulary's merge ranks; no state crosses a cut. The engine's steps grow with the
+square of a part, so parts of over LONG bytes are merged by merge(), in n log n steps.
 
 Defined cases: null and empty texts have no ids and decode to the empty text. Special
 tokens' strings inside a text become their ids, as the tokenizer's encode() does. Rows
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import heapq
 import json
 import re
 from collections.abc import Iterator
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame
 CACHE = 400_000
 #: In the merge engine's input: the end of a word and a forced cut. White space is in no word.
 END, CUT = "\n", "\r"
-#: Words of more bytes go to the tokenizer, whose merging takes n log n steps.
+#: Parts of more bytes are merged by merge().
 LONG = 500
 #: Letters of ASCII and Latin-1, which normalisation only lower-cases, then ASCII signs without the apostrophe.
 PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]*)([!-&(-/:-@\[-`{-~]*)")
@@ -44,6 +46,39 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printed} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
 
 
+def merge(part: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Ranks of the tokens of one part: the pair of lowest rank is joined first, the leftmost of equals.
+
+    The last byte and the END after it are one symbol from the start.
+    """
+    cut = len(part) - 1 - part.endswith(END.encode())
+    starts = [*range(cut + 1), len(part)]  # symbol i spans starts[i] to that of its successor
+    after, before = list(range(1, len(starts))), list(range(-1, len(starts) - 2))
+    alive = [True] * (cut + 1)
+
+    def token(i: int, j: int) -> bytes:
+        return part[starts[i] : starts[after[j]]]
+
+    pairs = []
+    for i in range(cut):
+        if (rank := ranks.get(token(i, i + 1))) is not None:
+            pairs.append((rank, i, i + 1, starts[after[i + 1]]))
+    heapq.heapify(pairs)
+    while pairs:
+        _, i, j, end = heapq.heappop(pairs)
+        if not (alive[i] and alive[j]) or after[i] != j or starts[after[j]] != end:
+            continue
+        alive[j] = False
+        after[i] = after[j]
+        if after[i] <= cut:
+            before[after[i]] = i
+            if (rank := ranks.get(token(i, after[i]))) is not None:
+                heapq.heappush(pairs, (rank, i, after[i], starts[after[after[i]]]))
+        if before[i] >= 0 and (rank := ranks.get(token(before[i], i))) is not None:
+            heapq.heappush(pairs, (rank, before[i], i, starts[after[i]]))
+    return [ranks[token(i, i)] for i in range(cut + 1) if alive[i]]
+
+
 class Codec:
     """Encoder and decoder for a tokenizers JSON file of kind BPE, byte level, with word ends."""
 
@@ -66,7 +101,7 @@ class Codec:
         merges = [spelled(a) + spelled(b) for a, b in (m if isinstance(m, list) else m.split(" ") for m in model["merges"])]
         #: The engine's ranks: single bytes, then a byte with its word end, then the merges in their order.
         order = dict.fromkeys([*(bytes([i]) for i in range(256)), *(bytes([i]) + END.encode() for i in range(256)), *merges])
-        ranks = {t: i for i, t in enumerate(order)}
+        self.ranks = ranks = {t: i for i, t in enumerate(order)}
         self.engine = tiktoken.Encoding("words", pat_str=r"[^\n\r]+\n?|[\n\r]", mergeable_ranks=ranks, special_tokens={})
         self.id_of = np.array([ids.get(t, 0) for t in ranks], "<u4")
         self.ends = np.array([t.endswith(END.encode()) for t in ranks])
@@ -99,26 +134,37 @@ class Codec:
         words, new = [], []
         for raw in fragments:
             own = self.words(raw.decode())
-            if any(len(w) > LONG for w in own):
-                self.known[raw] = np.array([i for w in own for i in self.tokenizer.encode(w, add_special_tokens=False).ids], "<u4").tobytes()
-            elif own:
-                words += own
-                new.append((raw, len(words)))
-            else:
-                self.known[raw] = b""
-        if not new:
+            words += own
+            new.append((raw, len(words)))
+        if not words:
+            self.known.update((raw, b"") for raw, _ in new)
             return
         data = np.frombuffer((END.join(words) + END).encode(), np.uint8)
         forced = np.flatnonzero(~self.joined[data[:-1], data[1:]] & (data[1:] & 0xC0 != 0x80)) + 1  # between characters
-        data = np.insert(data, forced, ord(CUT))
-        ids = np.array(self.engine.encode_ordinary(data.tobytes().decode("utf-8")), np.int64)
+        marked = np.insert(data, forced, ord(CUT))
+        bounds = np.flatnonzero((marked == ord(END)) | (marked == ord(CUT)))
+        long = np.flatnonzero(np.diff(bounds, prepend=-1) > LONG)
+        if len(long):
+            ids = self._with_long(marked.tobytes(), bounds.tolist(), long.tolist())
+        else:
+            ids = np.array(self.engine.encode_ordinary(marked.tobytes().decode("utf-8")), np.int64)
         ids = ids[ids != self.cut]
-        stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
+        stops = np.concatenate([[0], (np.flatnonzero(self.ends[ids]) + 1) * 4])
         out, start = self.id_of[ids].tobytes(), 0
         for raw, last in new:
-            stop = int(stops[last - 1])
+            stop = int(stops[last])
             self.known[raw], start = out[start:stop], stop
 
+    def _with_long(self, marked: bytes, bounds: list[int], long: list[int]) -> np.ndarray:
+        """Ranks of the marked words, where the parts that end at the long bounds go to merge()."""
+        ids, at = [], 0
+        for k in long:
+            start, stop = bounds[k - 1] + 1 if k else 0, bounds[k]
+            ids += self.engine.encode_ordinary(marked[at:start].decode("utf-8"))
+            at = stop + (marked[stop : stop + 1] == END.encode())
+            ids += merge(marked[start:at], self.ranks)
+        return np.array(ids + self.engine.encode_ordinary(marked[at:].decode("utf-8")), np.int64)
+
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit integers."""
         rows = [self.fragments((text or "").encode()) for text in texts]

@@ -26,6 +26,7 @@ def test_codec_against_the_library(library):
     r = random.Random(1)
     letters = "abcdefghijklmnopqrstuvwxyzABC0123 '’.,!<|>\t\n\u200béßΣİςµ中文🙂日\x00\x85\u00a0ﬁ½e\u0301"
     texts = ["", "   ", "<|endoftext|>", "a<|startoftext|>b <|endoftext|>", "'SUPPER don't \"'s", "x" * 3000, "é" * 900, "the" * 2000, "----...!!!" * 90]
+    texts += ["".join(r.choice(part) for _ in range(n)) for part in ("the", "ab", "éa", "中文", "thingsé!-", "ø þß") for n in (499, 501, 700, 4000)] + ["b" * 200_000 + " x"]
     texts += ["".join(r.choice(letters) for _ in range(r.randint(0, 40))) for _ in range(3000)]
     texts += ["".join(r.choice(["th", "er", "ing", "tion", "é", "an"]) for _ in range(r.randint(1, 14))) for _ in range(1500)]
     codec = bpe.Codec(tokenizer_path())
@@ -44,6 +45,14 @@ def test_codec_property(text):
     assert np.frombuffer(bpe.codec(tokenizer_path()).encode(text), "<u4").tolist() == library_ids(lib, text)
 
 
+def test_merge_equals_the_engine(library):
+    """On parts that both can take."""
+    codec, r = bpe.codec(tokenizer_path()), random.Random(4)
+    for _ in range(500):
+        part = "".join(r.choice("theingaotisr") for _ in range(r.randint(1, 60))).encode() + r.choice([b"", b"\n"])
+        assert bpe.merge(part, codec.ranks) == codec.engine.encode_ordinary(part.decode())
+
+
 def test_forced_cuts_are_certain(library):
     """No token holds a space, and at a pair that no token holds the library's tokens end, too."""
     codec = bpe.Codec(tokenizer_path())
