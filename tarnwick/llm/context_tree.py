@@ -24,6 +24,10 @@ Defined cases: null texts are empty and have the end token alone; a null id coun
 empty text where ids decide what is held out. Repeated rows count and score one by one.
 Without training rows all estimates are even. Other columns are not read; an empty table
 gives no rows.
+
+The published method halves the weight once more at every depth that the corpus never saw
+on the way, which spends probability on contexts that can't tell anything. published=True
+scores that way; the default ends a path there, which is a distribution just the same.
 """
 
 from __future__ import annotations
@@ -42,7 +46,9 @@ from .simhash import LOWER
 
 DEPTH = 5
 HEAVY, HOT = 20, 22
-PIECE = 1 << 21
+PIECE = 1 << 20
+#: Different keys that a counting task holds before it hands out what it has.
+HELD = 1_000_000
 #: A byte that UTF-8 never uses: the end mark, and what stands before a text.
 MARK = b"\xff"
 END_WORD = b" "
@@ -74,29 +80,25 @@ def keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Tally:
-    """Counts of keys in bounded memory: parts are merged when there are many, and handed out at the end."""
-
-    def __init__(self):
-        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+    """Counts of keys of one kind. A task holds HELD of them and a part at most, and then hands them out; Spark adds the parts up."""
 
-    def add(self, key: np.ndarray, n: np.ndarray) -> None:
-        self.parts.append((key, n))
-        if sum(len(k) for k, _ in self.parts) > 4_000_000 and len(self.parts) > 1:
-            self.merge()
+    def __init__(self, kind: int):
+        self.kind, self.key, self.n = kind, np.zeros(0, _U), np.zeros(0, np.int64)
 
-    def merge(self) -> None:
-        key, at = np.unique(np.concatenate([k for k, _ in self.parts]), return_inverse=True)
-        n = np.bincount(at, np.concatenate([n for _, n in self.parts]), len(key)).astype(np.int64)
-        self.parts = [(key, n)]
+    def add(self, key: np.ndarray, n: np.ndarray):
+        both, counts = np.concatenate([self.key, key]), np.concatenate([self.n, n])
+        order = np.argsort(both, kind="stable")
+        both = both[order]
+        first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]])) if len(both) else np.zeros(0, np.int64)
+        self.key, self.n = both[first], np.add.reduceat(counts[order], first) if len(both) else counts
+        if len(self.key) > HELD:
+            yield from self.flush()
 
-    def flush(self, kind: int):
-        if self.parts:
-            self.merge()
-            key, n = self.parts[0]
-            self.parts = []
-            for i in range(0, len(key), 1 << 18):
-                part = key[i : i + (1 << 18)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, np.int32)), pa.array(part.view(np.int64)), pa.array(n[i : i + (1 << 18)])], ["kind", "key", "n"])
+    def flush(self):
+        for i in range(0, len(self.key), 1 << 18):
+            part = self.key[i : i + (1 << 18)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), self.kind, np.int32)), pa.array(part.view(np.int64)), pa.array(self.n[i : i + (1 << 18)])], ["kind", "key", "n"])
+        self.key, self.n = np.zeros(0, _U), np.zeros(0, np.int64)
 
 
 def _hashes(words) -> np.ndarray:
@@ -111,24 +113,22 @@ def count(docs: DataFrame, words: bool = True) -> DataFrame:
     def run(batches):
         from collections import Counter
 
-        grams, tally, own = _Tally(), _Tally(), Counter()
+        grams, tally, own = _Tally(0), _Tally(1), Counter()
         for batch in batches:
             for _, texts in pieces(batch, "text", PIECE):
                 low = [(t or "").encode().translate(LOWER) for t in texts]
-                grams.add(*np.unique(keys(low)[0], return_counts=True))
+                yield from grams.add(*np.unique(keys(low)[0], return_counts=True))
                 if not words:
                     continue
                 for t in low:
                     own.update(t.split())
                 own[END_WORD] += len(low)
-                if len(own) > 300_000:
-                    tally.add(_hashes(own), np.array(list(own.values()), np.int64))
+                if len(own) > HELD // 10:
+                    yield from tally.add(_hashes(own), np.array(list(own.values()), np.int64))
                     own.clear()
-                if sum(len(k) for k, _ in tally.parts) > 6_000_000:
-                    yield from tally.flush(1)
-        tally.add(_hashes(own), np.array(list(own.values()), np.int64))
-        yield from grams.flush(0)
-        yield from tally.flush(1)
+        yield from tally.add(_hashes(own), np.array(list(own.values()), np.int64))
+        yield from grams.flush()
+        yield from tally.flush()
 
     rows = docs.select("text").mapInArrow(run, "kind int, key bigint, n bigint")
     return rows.groupBy("kind", "key").agg(F.sum("n").alias("n"))
@@ -180,10 +180,12 @@ def trees(grams: DataFrame) -> list[DataFrame]:
     return out[::-1]
 
 
-def fold(levels: list[DataFrame]) -> list[DataFrame]:
+def fold(levels: list[DataFrame], published: bool = False) -> list[DataFrame]:
     """Per depth, node and p: the mixed probability of a one if the path ends at the node.
 
     With base and keep the mixture over depths 0 to d is base + keep * own estimate at d.
+    A node that the corpus never saw has the value of the path's last seen node, or, as
+    published, the mixture that goes on with an even estimate.
     """
     n = F.col("n0") + F.col("n1")
     own, seen = (F.col("n1") + 0.5) / (n + 1), n > 0
@@ -195,7 +197,7 @@ def fold(levels: list[DataFrame]) -> list[DataFrame]:
             rows = level.withColumn("parent", above).join(taken, "parent")
         else:
             rows = level.select("*", F.lit(0.5).alias("up"), F.lit(0.0).alias("more"), F.lit(1.0).alias("left"))
-        p = F.when(seen, F.col("more") + F.col("left") * own).otherwise(F.col("up"))
+        p = F.when(seen, F.col("more") + F.col("left") * own).otherwise(F.col("more") + F.col("left") * 0.5 if published else F.col("up"))
         base, keep = F.col("more") + F.col("left") * F.col("weight") * own, F.col("left") * (1 - F.col("weight"))
         extra = [c for c in ("asked0", "asked1") if c in level.columns]
         out.append(rows.select("node", p.alias("p"), base.alias("base"), keep.alias("keep"), *extra))
@@ -264,8 +266,8 @@ class Hot:
         return out
 
 
-def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, train, n_tokens, n_known, train_tokens, base_score, score; rows where train holds are learnt from."""
+def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", published: bool = False) -> DataFrame:
+    """Per row: doc_id, train, n_tokens, n_known, train_tokens, base_score, score, n_bytes (with the end mark), bits_per_byte; rows where train holds are learnt from."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), train.alias("train"))
     counts = written(count(rows.filter("train")), "corpus_counts")
@@ -278,7 +280,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     learnt = counts.filter("kind = 0").select("key", "n", F.col("n").alias("asked"))
     others = count(rows.filter(~F.coalesce("train", F.lit(False))), words=False).select("key", F.lit(0).cast("bigint").alias("n"), F.col("n").alias("asked"))
     grams = learnt.unionByName(others).groupBy("key").agg(F.sum("n").alias("n"), F.sum("asked").alias("asked"))
-    known = written(key_scores(fold(trees(grams))[-1]), "key_scores")
+    known = written(key_scores(fold(trees(grams), published)[-1]), "key_scores")
     n_bytes = known.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     is_hot = F.col("n") * (1 << HOT) >= n_bytes
     top = known.filter(is_hot).toArrow()  # at most 2**HOT keys have so large a share
@@ -321,17 +323,18 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
                 row = (part_id << 40) + number + np.arange(len(low))
                 number += len(low)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(row), part.column("doc_id"), part.column("train"), pa.array(np.add.reduceat(times, starts)), pa.array(np.add.reduceat(known, starts)), pa.array(np.add.reduceat(base, starts)), pa.array(scores), lists, rare_keys],
-                    ["row", "doc_id", "train", "n_tokens", "known", "base", "score", "rare", "rare_keys"],
+                    [pa.array(row), part.column("doc_id"), part.column("train"), pa.array(np.add.reduceat(times, starts)), pa.array(np.add.reduceat(known, starts)), pa.array(np.add.reduceat(base, starts)), pa.array(scores), pa.array([len(t) + 1 for t in low], pa.int64()), lists, rare_keys],
+                    ["row", "doc_id", "train", "n_tokens", "known", "base", "score", "n_bytes", "rare", "rare_keys"],
                 )
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    scored = written(rows.mapInArrow(run, f"row bigint, doc_id {kind}, train boolean, n_tokens bigint, known bigint, base double, score double, rare array<bigint>, rare_keys array<bigint>"), "scored")
+    scored = written(rows.mapInArrow(run, f"row bigint, doc_id {kind}, train boolean, n_tokens bigint, known bigint, base double, score double, n_bytes bigint, rare array<bigint>, rare_keys array<bigint>"), "scored")
     light = words.filter(F.col("c") * (1 << HEAVY) < n_train)
     met = scored.select("row", F.explode("rare").alias("word")).join(light, "word", "left").select("row", F.coalesce("c", F.lit(0)).alias("c"))
     sums = met.groupBy("row").agg(F.sum(F.log10(F.col("c") + 0.1)).alias("rest"), F.sum((F.col("c") > 0).cast("bigint")).alias("more"))
     read = scored.select("row", F.explode("rare_keys").alias("key")).join(known.filter(~is_hot).select("key", "log_p"), "key")
     bits = read.groupBy("row").agg(F.sum("log_p").alias("log_p"))
+    total = F.col("score") + F.coalesce("log_p", F.lit(0.0))
     out = scored.drop("rare", "rare_keys").join(sums, "row", "left").join(bits, "row", "left")
     return out.select(
         "doc_id",
@@ -340,5 +343,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(n_train).cast("bigint").alias("train_tokens"),
         (F.col("base") + F.coalesce("rest", F.lit(0.0)) - F.col("n_tokens") * math.log10(n_train + 0.1 * (types + 1))).alias("base_score"),
-        (F.col("score") + F.coalesce("log_p", F.lit(0.0))).alias("score"),
+        total.alias("score"),
+        "n_bytes",
+        (-total / math.log10(2) / F.col("n_bytes")).alias("bits_per_byte"),
     )

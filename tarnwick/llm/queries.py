@@ -63,7 +63,7 @@ def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = context_tree.score(table(spark, sf_dir, "documents"), ~context_tree.held_out(F.col("doc_id")))
-    return found.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return found.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte")
 
 
 def toxicity_weights(spark: SparkSession, sf_dir: str) -> dict[int, float]:
