@@ -58,7 +58,7 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.draws(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    return found.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), F.slice("shards", F.lit(1), F.col("copies")).alias("shards"))
 
 
 def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

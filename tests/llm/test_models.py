@@ -51,6 +51,53 @@ def test_mixture_holds_the_draws(spark, sf_dir):
     assert Counter(r.doc_id for r in mixed.collect()) == drawn
 
 
+def test_mixing_many_sources(spark):
+    """Four thousand sources over two chunks of the tree, with a source column that is no text."""
+    rows = [(i, " ".join(["w"] * (1 + i * 7 % 40)), i % 5000 if i % 11 else None) for i in range(30_000)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, source int")
+    found = mixing.draws(frame).collect()
+    assert len(found) == len(rows)
+    size, source = {i: len(t.split()) for i, t, _ in rows}, {i: s for i, _, s in rows}
+    names = sorted({s for s in source.values() if s is not None}) + [None]
+    own = Counter()
+    for i, s in source.items():
+        own[s] += size[i]
+    target = dict(zip(names, brute_targets([own[n] for n in names])))
+    taken, shards = Counter(), Counter()
+    for r in found:
+        assert r.target == pytest.approx(target[source[r.doc_id]], rel=1e-9) and 0 <= r.copies <= 2 and len(r.shards or []) >= r.copies
+        taken[source[r.doc_id]] += r.copies * size[r.doc_id]
+        shards.update((r.shards or [])[: r.copies])
+    assert all(abs(taken[n] - target[n]) <= 40 for n in names)
+    assert len(shards) == mixing.SHARDS and max(shards.values()) < 3 * min(shards.values())
+
+
+def test_taken_follows_the_leaves(spark):
+    """Every copy of a row has a shard, and each shard drew some."""
+    docs = spark.createDataFrame([(i, "a b c", f"s{i % 3}") for i in range(2000)], "doc_id bigint, text string, source string")
+    whole = mixing.draws(docs, shards=4).collect()
+    by_shard = Counter(x for r in whole for x in (r.shards or [])[: r.copies])
+    assert set(by_shard) == {0, 1, 2, 3}
+    assert sum(r.copies for r in whole) == sum(by_shard.values())
+
+
+def test_repeated_rows_are_taken_alike(spark):
+    rows = [(i % 90, f"text {i % 90} " + "w " * (i % 90), "s") for i in range(270)] + [(1000 + i, "x y", "t") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    copies = defaultdict(set)
+    for r in mixing.draws(docs).collect():
+        copies[r.doc_id].add(r.copies)
+    assert all(len(c) == 1 for c in copies.values())
+    drawn = Counter({i: next(iter(c)) * (3 if i < 90 else 1) for i, c in copies.items() if c != {0}})
+    assert Counter(r.doc_id for r in mixing.mix(docs).collect()) == drawn
+
+
+def test_nearest_subset_of_huge_sizes():
+    sizes = [10**12 + 7, 3 * 10**11, 5 * 10**10, 11]
+    found = mixing._nearest(sizes, 1.3e12)
+    assert sorted(found)[:2] == [0, 1]
+
+
 def test_split_keeps_quotas():
     quotas = np.array([100, 7, 0, 33])
     for shards in (1, 2, 7, 64):
