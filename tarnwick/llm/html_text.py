@@ -1,21 +1,30 @@
 """Main-text extraction by minimum-cut labelling.
 
-A page is cut into blocks at its block-level tags. Two costs come from a small classifier
-over a block's own signs: what it would cost to call it content, and what to call it
-boilerplate. They become the capacities from and to the terminals of a flow network;
-blocks that follow one another, and blocks next to each other in the same container, are
-joined by edges whose capacity falls with their distance in the tree. The maximum flow's
-cut separates content from boilerplate at least cost, so a short paragraph among long ones
-stays and a lone sentence in a list of links goes.
-
-Runs of neighbouring blocks in one container that lean the same way are one node with
-summed capacities, which keeps the network as small as the page has regions.
+A page is cut into blocks at its block-level tags. A logistic classifier over a block's
+length, links, tags, place and surroundings gives the cost of calling it content and of
+calling it boilerplate. They become the capacities from and to the terminals of a flow
+network; blocks that follow one another, and blocks next to each other in the same
+container, are joined by edges whose capacity falls with their distance in the tree. The
+maximum flow's cut separates content from boilerplate at least cost, so a short paragraph
+among long ones stays and a lone sentence in a list of links goes.
+
+The classifier is fitted to the pages themselves: TRAIN_PAGES of them at most, chosen by
+hash, with TRAIN_BLOCKS blocks each at most, where those with an article or main element
+say which blocks lie in it. It learns from each page as it is, without its class, id and
+role attributes, and without its telling tags either, so that it can do without them. The
+element article or main itself is no feature but evidence of fixed weight. PRIOR holds the
+weights that the fit starts from and is drawn to; it alone serves pages without a table.
+
+A block whose terminal outweighs all of its edges lies on that terminal's side in some
+minimum cut. Such blocks are settled first, one after another, and the flow is found for
+what is left, part by part; the result is a minimum cut of the whole network.
 
 Defined cases: null and empty pages, and pages without content, have the empty text.
 Unclosed tags end with their container; what is left open ends with the page. Scripts,
 styles, templates and comments of the markup are no blocks, nor is the head. Rows are
-handled one by one, and no length is cut. Columns of the input other than those named are
-not read; an empty table gives no rows.
+handled one by one, no length is cut, and the time to read a page is in proportion to its
+length. Columns of the input other than those named are not read; an empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -23,15 +32,22 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .bpe import pieces
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>|<[!?][^>]*+(?:>|\Z)""", re.S)
+TRAIN_PAGES, TRAIN_BLOCKS = 500, 200
+_COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)", re.S)
+_STRICT = re.compile(r"""<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
+_LOOSE = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>")
+#: Tags without an end outside quotes that a page may have before quotes are no longer heeded.
+STRICT_TRIES = 32
 _NAMED = re.compile(r"""(class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _WORD = re.compile(r"[a-z]+")
 #: Elements whose content is no text of the page.
@@ -48,71 +64,147 @@ _CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr",
 _ENDS_P = set("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
 
+#: Elements whose own text is a part of what surrounds them, and which of them are headings and paragraphs.
+TEXTUAL = set("p h1 h2 h3 h4 h5 h6 li dt dd td th blockquote pre figcaption caption summary address".split())
+HEADINGS, PARAGRAPHS = set("h1 h2 h3 h4 h5 h6".split()), set("p blockquote pre".split())
+_RIGHTS = re.compile(r"^\W*(?:\(c\)|copyright\b)|\u00A9|all rights reserved", re.I)
+
+FEATURES = ["bias", "length", "sentence", "linked", "paragraph", "heading", "item", "share", "paragraphs", "headed", "around_linked", "place", "repeated", "rights", "outside", "furniture", "away"]
+#: Those that come from attributes, and from attributes or telling tags.
+MARKED, TELLING = ["away"], ["furniture", "away"]
+PRIOR = dict(zip(FEATURES, [-1.5, 1.0, 0.8, -4.0, 0.8, 0.3, -0.3, 2.0, 0.5, 0.7, -3.0, 0.0, -0.5, -3.0, -0.7, -5.0, -6.0]))
+#: Evidence of an article or main element, and of words in attributes that speak for one.
+ARTICLE_WEIGHT, TOWARD_WEIGHT = 4.0, 2.0
+
+
 @dataclass
 class Block:
-    path: tuple[int, ...]
-    away: float
-    toward: float
-    text: list[str] = field(default_factory=list)
+    """A block, its container's number, the number of the group that surrounds it, and the steps of the tree from the block before."""
+
+    tag: str
+    box: int
+    group: int
+    steps: int
+    furniture: bool
+    away: bool
+    article: bool
+    toward: bool
+    text: str = ""
+    parts: list[str] = field(default_factory=list)
     linked: int = 0
 
 
 @dataclass
 class _Open:
+    """An open element with what holds for all within it."""
+
     name: str
     number: int
-    away: float
-    toward: float
-
-
-def _signs(name: str, attributes: str) -> tuple[float, float]:
-    away, toward = 6.0 * (name in FURNITURE), 4.0 * (name in ARTICLE)
-    if "=" in attributes:
-        words = {w for _, v in _NAMED.findall(attributes) for w in _WORD.findall(v.lower())}
-        away += 6.0 * bool(words & AWAY)
-        toward += 2.0 * (bool(words & TOWARD) and not words & AWAY)
-        away += 6.0 * ("hidden" in attributes.lower().split())
-    return away, toward
+    furniture: bool = False
+    away: bool = False
+    article: bool = False
+    toward: bool = False
+
+
+def _opened(name: str, number: int, attributes: str, within: _Open) -> _Open:
+    words = {w for _, v in _NAMED.findall(attributes) for w in _WORD.findall(v.lower())} if "=" in attributes else set()
+    away = bool(words & AWAY) or "hidden" in attributes.lower().split()
+    toward = bool(words & TOWARD) and not words & AWAY
+    return _Open(name, number, within.furniture or name in FURNITURE, within.away or away, within.article or name in ARTICLE, within.toward or toward)
+
+
+class _Stack:
+    """Open elements. Each step takes constant time, but for the elements that it closes."""
+
+    def __init__(self):
+        self.all, self.solid, self.by_name, self.links = [_Open("", 0)], [0], {}, 0  # solid: places of elements that are not inline
+
+    def push(self, element: _Open) -> None:
+        self.by_name.setdefault(element.name, []).append(len(self.all))
+        if element.name not in INLINE:
+            self.solid.append(len(self.all))
+        self.links += element.name == "a"
+        self.all.append(element)
+
+    def cut(self, place: int) -> None:
+        while len(self.all) > place:
+            gone = self.all.pop()
+            if gone.name:
+                self.by_name[gone.name].pop()
+            if self.solid[-1] == len(self.all):
+                self.solid.pop()
+            self.links -= gone.name == "a"
+
+    def close(self, name: str) -> None:
+        places = self.by_name.get(name)
+        if not places:
+            return
+        place = places[-1]
+        if name in INLINE and self.solid[-1] > place:  # it ends within other elements, which stay open
+            places.pop()
+            self.links -= name == "a"
+            self.all[place] = _Open("", 0)
+        else:
+            self.cut(place)
+
+
+def tags(page: str):
+    """Start, end, whether it closes, name and attributes of each tag; comments and declarations have no name."""
+    at, last, tries = 0, page.rfind(">"), STRICT_TRIES
+    while (at := page.find("<", at)) >= 0:
+        found = None
+        if page[at + 1 : at + 2] in ("!", "?"):
+            found = _COMMENT.match(page, at)
+            yield at, found.end(), False, "", ""
+        elif at < last:
+            found = _STRICT.match(page, at) if tries else None
+            if found is None and (loose := _LOOSE.match(page, at)):
+                found, tries = loose, max(0, tries - 1)
+            if found:
+                yield at, found.end(), bool(found[1]), found[2].lower(), found[3]
+        at = found.end() if found else at + 1
 
 
 def blocks(page: str) -> list[Block]:
     """The blocks with text, in page order."""
-    stack = [_Open("", 0, 0.0, 0.0)]
-    found: list[Block] = []
+    stack, found = _Stack(), []
     open_block: Block | None = None
-    number, at, silent, links = 0, 0, "", 0
+    number, at, silent, least, depth = 0, 0, "", 1, 1  # least: the shallowest place since the block before, whose depth is depth
 
     def take(run: str) -> None:
-        nonlocal open_block
+        nonlocal open_block, least, depth
         if not run or silent:
             return
         if open_block is None:
             if run.isspace():
                 return
-            open_block = Block(tuple(o.number for o in stack if o.name not in INLINE), max(o.away for o in stack), sum(o.toward for o in stack))
+            own, solid = stack.all[stack.solid[-1]], stack.solid
+            inner = stack.all[-1] if stack.all[-1].name else own
+            group = stack.all[solid[-2]].number if own.name in TEXTUAL and len(solid) > 1 else own.number
+            box = stack.all[solid[-2]].number if len(solid) > 1 else own.number
+            open_block = Block(own.name, box, group, depth + len(solid) - 2 * least, inner.furniture, inner.away, inner.article, inner.toward)
+            least = depth = len(solid)
             found.append(open_block)
         run = html.unescape(run) if "&" in run else run
-        open_block.text.append(run)
-        if links:
+        open_block.parts.append(run)
+        if stack.links:
             open_block.linked += len(run)
 
-    for m in _TOKEN.finditer(page):
-        if m.start() < at:
+    for start, end, closing, name, attributes in tags(page):
+        if start < at:
             continue
-        take(page[at : m.start()])
-        at = m.end()
-        name = (m[2] or m[5] or "").lower()
+        take(page[at:start])
+        at = end
         if not name:
             continue
-        closing, attributes = bool(m[1] or m[4]), m[3] or m[6] or ""
         if silent:
             if closing and name == silent:
                 silent = ""
             continue
         if name in SILENT and not closing:
             if name in ("script", "style", "title", "textarea"):  # raw text: only its own end tag ends it
-                end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+                stop = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+                at = stop.end() if stop else len(page)
             elif not attributes.endswith("/"):
                 silent = name
             if name not in INLINE:
@@ -120,48 +212,59 @@ def blocks(page: str) -> list[Block]:
             continue
         if name not in INLINE:
             open_block = None
-        elif name in ("br", "img", "wbr") and name == "br":
+        elif name == "br":
             take(" " if open_block else "")
         if name in VOID:
             continue
         if closing:
-            level = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].name == name), 0)
-            if level and not (name in INLINE and any(o.name not in INLINE for o in stack[level + 1 :])):
-                del stack[level:]
-            elif level:
-                del stack[level]
+            stack.close(name)
         else:
-            if name in _ENDS_P:
-                level = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].name not in INLINE), 0)
-                if level and stack[level].name == "p":
-                    del stack[level : level + 1]
-            elif name in _CLOSED_BY and stack[-1].name in _CLOSED_BY[name]:
-                stack.pop()
+            solid = stack.all[stack.solid[-1]]
+            if name in _ENDS_P and solid.name == "p":
+                stack.cut(stack.solid[-1])
+            elif name in _CLOSED_BY and stack.all[-1].name in _CLOSED_BY[name]:
+                stack.cut(len(stack.all) - 1)
             if not attributes.endswith("/"):
                 number += 1
-                stack.append(_Open(name, number, *_signs(name, attributes)))
-        links = sum(o.name == "a" for o in stack)
+                within = stack.all[-1] if stack.all[-1].name else stack.all[stack.solid[-1]]
+                stack.push(_opened(name, number, attributes, within))
+        least = min(least, len(stack.solid))
     take(page[at:])
-    return [b for b in found if (own := " ".join("".join(b.text).split())) and b.text.__setitem__(slice(None), [own]) is None]
-
-
-def costs(block: Block) -> tuple[float, float]:
-    """The cost of calling a block boilerplate, and of calling it content, from a logistic score."""
-    text = block.text[0]
-    linked = min(1.0, block.linked / max(1, len(text)))
-    score = -0.4 + min(2.5, 0.012 * len(text)) + 0.8 * text.rstrip().endswith((".", "!", "?", ":", '"', "…")) + block.toward - block.away - 5.0 * linked * (linked > 0.4)
-    keep = 1 / (1 + math.exp(-max(-30.0, min(30.0, score))))
-    return -math.log(max(1e-9, 1 - keep)), -math.log(max(1e-9, keep))
-
-
-def near(a: Block, b: Block) -> float:
-    """The capacity between blocks: 1 in the same container, halved with each step of the tree between them."""
-    shared = 0
-    for x, y in zip(a.path, b.path):
-        if x != y:
-            break
-        shared += 1
-    return 0.5 ** (len(a.path) + len(b.path) - 2 * shared) * 2
+    for b in found:
+        b.text = " ".join("".join(b.parts).split())
+    # a block of white space alone is none, but its steps belong to the next
+    kept, steps = [], 0
+    for b in found:
+        b.steps, steps = b.steps + steps, 0 if b.text else b.steps + steps
+        if b.text:
+            kept.append(b)
+    return kept
+
+
+def features(found: list[Block]) -> np.ndarray:
+    """A row for each block; columns as in FEATURES."""
+    n, same = len(found), Counter(b.text for b in found)
+    sizes = np.array([len(b.text) for b in found], float)
+    linked = np.array([min(b.linked, len(b.text)) for b in found], float)
+    _, groups = np.unique([b.group for b in found], return_inverse=True)
+    flag = lambda of: np.array([of(b) for b in found], float)
+    paragraph, heading = flag(lambda b: b.tag in PARAGRAPHS), flag(lambda b: b.tag in HEADINGS)
+    around = lambda x: np.bincount(groups, x)[groups]
+    total = max(1.0, sizes.sum())
+    headings = heading.cumsum()
+    columns = [
+        np.ones(n), np.log1p(sizes) / 4, flag(lambda b: b.text.endswith((".", "!", "?", ":", '"', "…"))), linked / np.maximum(1, sizes), paragraph, heading, flag(lambda b: b.tag in ("li", "dt", "dd", "td", "th")),
+        around(sizes) / total, np.minimum(3, np.log1p(around(paragraph))), (around(heading) > 0).astype(float), around(linked) / np.maximum(1, around(sizes)), (sizes.cumsum() - sizes / 2) / total,
+        flag(lambda b: same[b.text] > 1 and len(b.text) < 80), flag(lambda b: bool(_RIGHTS.search(b.text[:400]))), ((headings == 0) & (headings[-1] > 0)).astype(float), flag(lambda b: b.furniture), flag(lambda b: b.away),
+    ]
+    return np.stack(columns, axis=1)
+
+
+def costs(found: list[Block], weights: dict[str, float] = PRIOR) -> tuple[list[float], list[float]]:
+    """What it costs to call each block boilerplate, and to call it content, from the classifier."""
+    marks = np.array([ARTICLE_WEIGHT * b.article + TOWARD_WEIGHT * b.toward for b in found])
+    score = np.clip(features(found) @ np.array([weights[f] for f in FEATURES]) + marks, -20, 20)
+    return np.logaddexp(0, score).tolist(), np.logaddexp(0, -score).tolist()
 
 
 def min_cut(source: list[float], sink: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -220,39 +323,117 @@ def min_cut(source: list[float], sink: list[float], edges: list[tuple[int, int,
                 room[e ^ 1] += flow
 
 
-def extract(page: str | None) -> str:
+def label(source: list[float], sink: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
+    """min_cut(), after settling the nodes whose terminal outweighs their edges."""
+    n = len(source)
+    pull, near = [a - b for a, b in zip(source, sink)], [[] for _ in range(n)]
+    for a, b, c in edges:
+        near[a].append((b, c))
+        near[b].append((a, c))
+    ties, side = [sum(c for _, c in own) for own in near], [None] * n
+    todo = deque(range(n))
+    while todo:
+        i = todo.popleft()
+        if side[i] is not None or abs(pull[i]) < ties[i]:
+            continue
+        side[i] = pull[i] > 0
+        for j, c in near[i]:
+            if side[j] is None:
+                pull[j] += c if side[i] else -c
+                ties[j] -= c
+                todo.append(j)
+    for first in range(n):
+        if side[first] is not None:
+            continue
+        part, place = [first], {first: 0}
+        for i in part:
+            for j, _ in near[i]:
+                if side[j] is None and j not in place:
+                    place[j] = len(part)
+                    part.append(j)
+        inner = [(place[i], place[j], c) for i in part for j, c in near[i] if j in place and place[i] < place[j]]
+        for i, kept in zip(part, min_cut([max(0.0, pull[i]) for i in part], [max(0.0, -pull[i]) for i in part], inner)):
+            side[i] = kept
+    return side
+
+
+def joined(found: list[Block]) -> list[tuple[int, int, float]]:
+    """Edges between blocks: twice a half for each step of the tree between neighbours, and between those next in one container."""
+    edges, last = [], {}
+    for k, b in enumerate(found):
+        if k:
+            edges.append((k - 1, k, 2 * 0.5 ** min(b.steps, 60)))
+        if last.get(b.box, k) < k - 1:
+            edges.append((last[b.box], k, 0.5))
+        last[b.box] = k
+    return edges
+
+
+def extract(page: str | None, weights: dict[str, float] = PRIOR) -> str:
     """The main text: content blocks in page order, joined by one space."""
     found = blocks(page or "")
     if not found:
         return ""
-    nodes: list[list[int]] = []
-    own = [costs(b) for b in found]
-    for i, b in enumerate(found):
-        if nodes and found[nodes[-1][0]].path[:-1] == b.path[:-1] and (own[i][0] > own[i][1]) == (own[nodes[-1][0]][0] > own[nodes[-1][0]][1]):
-            nodes[-1].append(i)
-        else:
-            nodes.append([i])
-    edges, last = [], {}
-    for k, members in enumerate(nodes):
-        first = found[members[0]]
-        if k:
-            edges.append((k - 1, k, near(found[nodes[k - 1][-1]], first)))
-        box = first.path[:-1]
-        if box in last and last[box] < k - 1:
-            edges.append((last[box], k, near(found[nodes[last[box]][-1]], first)))
-        last[box] = k
-    side = min_cut([sum(own[i][0] for i in m) for m in nodes], [sum(own[i][1] for i in m) for m in nodes], edges)
-    return " ".join(found[i].text[0] for members, kept in zip(nodes, side) if kept for i in members)
+    return " ".join(b.text for b, kept in zip(found, label(*costs(found, weights), joined(found))) if kept)
+
+
+def fitted(x: np.ndarray, y: np.ndarray, pull: float = 20.0) -> dict[str, float]:
+    """Logistic weights of least loss and squared distance from PRIOR, by Newton's steps."""
+    prior = np.array(list(PRIOR.values()))
+    w = prior.copy()
+    for _ in range(25):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        slope = x.T @ (p - y) + pull * (w - prior)
+        step = np.linalg.solve((x.T * (p * (1 - p))) @ x + pull * np.eye(len(w)), slope)
+        w -= step * min(1.0, 2.0 / max(1e-9, np.abs(step).max()))
+        if np.abs(step).max() < 1e-6:
+            break
+    return dict(zip(FEATURES, w.tolist()))
+
+
+def training(page: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of a page that marks its article: as it is, without attributes' signs, and without any."""
+    found = blocks(page or "")
+    marked = np.array([b.article and not b.furniture and not b.away for b in found], float)
+    if not marked.any():
+        return np.zeros((0, len(FEATURES))), np.zeros(0)
+    x = features(found)
+    at = np.linspace(0, len(found) - 1, min(len(found), TRAIN_BLOCKS)).astype(int)  # evenly over a long page
+    copies = [x[at], x[at], x[at]]
+    for k, names in enumerate((MARKED, TELLING), 1):
+        copies[k] = copies[k].copy()
+        copies[k][:, [FEATURES.index(f) for f in names]] = 0
+    return np.concatenate(copies), np.tile(marked[at], 3)
+
+
+def fit(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", n_pages: int = TRAIN_PAGES) -> dict[str, float]:
+    """The classifier's weights from at most n_pages pages, those with the least hashes; PRIOR where none marks its article."""
+    rows = pages.select(F.xxhash64(F.col(id_col).cast("string"), F.col(url_col), F.col(html_col)).alias("hash"), F.col(html_col).alias("html"))
+    least = rows.select("hash").orderBy("hash").limit(n_pages).agg(F.max("hash")).first()[0]
+    if least is None:
+        return dict(PRIOR)
+
+    def run(batches):
+        for batch in batches:
+            for _, found in pieces(batch, "html"):
+                for x, y in map(training, found):
+                    yield pa.RecordBatch.from_arrays([pa.array([x.astype("<f8").tobytes()], pa.binary()), pa.array([y.astype("<f8").tobytes()], pa.binary())], ["x", "y"])
+
+    sample = rows.filter(F.col("hash") <= least).limit(n_pages).select("html").mapInArrow(run, "x binary, y binary").collect()  # n_pages * TRAIN_BLOCKS blocks
+    parts = sorted((bytes(r["x"]), bytes(r["y"])) for r in sample)
+    x = np.concatenate([np.frombuffer(a, "<f8") for a, _ in parts]).reshape(-1, len(FEATURES))
+    return fitted(x, np.concatenate([np.frombuffer(b, "<f8") for _, b in parts]))
 
 
-def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, url, text and n_chars (code points) of each row."""
+def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", weights: dict[str, float] | None = None) -> DataFrame:
+    """page_id, url, text and n_chars (code points) of each row; weights are fitted to pages if they are not given."""
+    weights = fit(pages, id_col, url_col, html_col) if weights is None else weights
     rows = pages.selectExpr(f"`{id_col}` AS page_id", f"`{url_col}` AS url", f"`{html_col}` AS html")
 
     def run(batches):
         for batch in batches:
             for part, found in pieces(batch, "html"):
-                texts = [extract(p) for p in found]
+                texts = [extract(p, weights) for p in found]
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return rows.mapInArrow(run, f"page_id {rows.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars bigint")

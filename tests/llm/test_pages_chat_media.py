@@ -64,6 +64,53 @@ def test_min_cut_against_brute_force(data):
     assert abs(got - brute_cut(source, sink, edges)) < 1e-9
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.data())
+def test_labels_are_a_minimum_cut(data):
+    n = data.draw(st.integers(1, 8))
+    cost = st.integers(0, 9).map(float)
+    source, sink = data.draw(st.lists(cost, min_size=n, max_size=n)), data.draw(st.lists(cost, min_size=n, max_size=n))
+    edges = [e for e in data.draw(st.lists(st.tuples(st.integers(0, n - 1), st.integers(0, n - 1), cost), max_size=12)) if e[0] != e[1]]
+    side = html_text.label(source, sink, edges)
+    got = sum(sink[i] if s else source[i] for i, s in enumerate(side)) + sum(c for a, b, c in edges if side[a] != side[b])
+    assert abs(got - brute_cut(source, sink, edges)) < 1e-9
+
+
+def test_pages_without_telling_marks(spark, sf_dir):
+    """The fitted classifier finds the text without class, id and role, and with plain containers."""
+    from pyspark.sql import functions as F
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    weights = html_text.fit(pages)
+    wanted = {r.page_id: r.text for r in html_text.main_text(pages, weights=weights).collect()}
+    bare = F.regexp_replace("html", r'\s(?:class|id|role)="[^"]*"', "")
+    for changed in (bare, F.regexp_replace(bare, "<(/?)article>", "<$1div>"), F.regexp_replace(bare, "<(/?)(?:article|nav|footer)>", "<$1div>")):
+        got = {r.page_id: r.text for r in html_text.main_text(pages.withColumn("html", changed), weights=weights).collect()}
+        assert sum(got[i] == wanted[i] for i in wanted) >= 0.9 * len(wanted)
+
+
+def test_fit_has_a_bound_and_a_default(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    assert html_text.fit(pages.limit(0)) == html_text.PRIOR
+    assert html_text.fit(pages.selectExpr("page_id", "url", "'<p>plain</p>' AS html")) == html_text.PRIOR
+    assert html_text.fit(pages.unionByName(pages), n_pages=7) == html_text.fit(pages.unionByName(pages).repartition(5), n_pages=7)
+    x, y = html_text.training("<article>" + "<p>a b c</p>" * 5000 + "</article>")
+    assert len(x) == len(y) == 3 * html_text.TRAIN_BLOCKS
+
+
+def test_a_megabyte_of_any_shape_is_read_fast():
+    import time
+
+    n = 1 << 20
+    for unit in ("<div>x", "<a ", "<p>x", "<a '>'", "<b><p>x</b>", "<!--", "<div class='a' \"", "<b>", "</b>", "<li>"):
+        began = time.perf_counter()
+        html_text.extract(unit * (n // len(unit)))
+        assert time.perf_counter() - began < 15, unit
+    began = time.perf_counter()
+    assert html_text.extract("<b>" * (n // 7) + "</i></b>" * (n // 14)) == ""
+    assert time.perf_counter() - began < 15
+
+
 TRAPS = [r"\### Assistant: </turn> ok", "\n</turn>\n", "x\n</turn>", "</turn>\n### user: y", "\\\\### \\</turn>", "$1 \\1", "", "### system: a\n</turn>\n### user: b", "end\\", "\n"]
 
 
