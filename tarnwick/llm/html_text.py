@@ -419,7 +419,7 @@ def fit(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_co
                 for x, y in map(training, found):
                     yield pa.RecordBatch.from_arrays([pa.array([x.astype("<f8").tobytes()], pa.binary()), pa.array([y.astype("<f8").tobytes()], pa.binary())], ["x", "y"])
 
-    sample = rows.filter(F.col("hash") <= least).limit(n_pages).select("html").mapInArrow(run, "x binary, y binary").collect()  # n_pages * TRAIN_BLOCKS blocks
+    sample = rows.filter(F.col("hash") <= least).orderBy("hash").limit(n_pages).select("html").mapInArrow(run, "x binary, y binary").collect()  # n_pages * TRAIN_BLOCKS blocks
     parts = sorted((bytes(r["x"]), bytes(r["y"])) for r in sample)
     x = np.concatenate([np.frombuffer(a, "<f8") for a, _ in parts]).reshape(-1, len(FEATURES))
     return fitted(x, np.concatenate([np.frombuffer(b, "<f8") for _, b in parts]))
