@@ -1,13 +1,18 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Features are the set of a text's lower-cased words, word pairs, and pairs with one or two
-words between, hashed to DIMENSIONS slots. Training takes at most TRAIN_ROWS labelled rows
-(those with the smallest hash of their id, so the sample does not depend on the order of
-the table; this bound and the slots bound the training task and the model). It runs over
-them EPOCHS times in a fixed order: each coordinate has its own learning rate, and the L1
+words between, and, for words never met before, the PREFIXES of its words, all hashed to
+DIMENSIONS slots. Training takes at most train_rows labelled rows (those with the smallest
+hash of their id, so the sample does not depend on the order of the table). It runs over
+them epochs times in a fixed order: each coordinate has its own learning rate, and the L1
 term keeps a weight at exactly zero until its evidence outgrows it. The model is the list
 of weights that are not zero.
 
+Each step of the method needs the weights of the step before, so one task trains. What it
+holds and how long it takes is bounded by train_rows and DIMENSIONS, whatever the size of
+the tables; features are computed before it and scores after it in as many tasks as there
+is data for.
+
 Only the text is an input of a score. Defined cases: null and empty texts score like a
 text without features, by the bias; without training rows, or with one label only, scores
 follow from that (0.5 without rows). Rows with a null label or id are not trained on. A
@@ -28,28 +33,37 @@ from .bpe import pieces
 
 DIMENSIONS = 1 << 18
 TRAIN_ROWS, EPOCHS = 40_000, 5
-ALPHA, BETA, L1, L2 = 1.0, 1.0, 10.0, 0.0
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 15.0, 0.0
 #: How much a row of label 1 counts, against one of label 0.
-POSITIVE = 2.0
+POSITIVE = 5.0
 THRESHOLD = 0.7
+#: Lengths of the beginnings of longer words.
+PREFIXES = (4, 5, 6, 7)
 WORD = re.compile(r"[^\W\d_]+")
-_codes: dict[str, int] = {}
+_codes: dict[str, tuple[int, tuple[int, ...]]] = {}
 
 
 def code(word: str) -> int:
+    return zlib.crc32(word.encode()) * 0x9E3779B1 & 0xFFFFFFFFFFFFFFFF
+
+
+def coded(word: str) -> tuple[int, tuple[int, ...]]:
+    """The codes of a word and of its beginnings."""
     found = _codes.get(word)
     if found is None:
         if len(_codes) > 100_000:
             _codes.clear()
-        found = _codes[word] = zlib.crc32(word.encode()) * 0x9E3779B1 & 0xFFFFFFFFFFFFFFFF
+        found = _codes[word] = code(word), tuple(code(word[:k] + "*") for k in PREFIXES if len(word) > k)
     return found
 
 
 def features(text: str | None) -> np.ndarray:
     """The slots of a text, each once, in order; slot 0 is the bias."""
     words = WORD.findall((text or "").lower())
-    h = np.array([code(w) for w in words], np.uint64)
-    parts = [h] + [(h[:-gap] * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(gap)) ^ (h[gap:] * np.uint64(0x165667B19E3779F9)) for gap in (1, 2, 3)]
+    known = {w: coded(w) for w in set(words)}
+    h = np.array([known[w][0] for w in words], np.uint64)
+    begun = np.array(list({c for _, own in known.values() for c in own}), np.uint64)
+    parts = [h, begun] + [(h[:-gap] * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(gap)) ^ (h[gap:] * np.uint64(0x165667B19E3779F9)) for gap in (1, 2, 3)]
     mixed = np.concatenate(parts)
     mixed ^= mixed >> np.uint64(29)
     mixed *= np.uint64(0xBF58476D1CE4E5B9)
@@ -80,11 +94,11 @@ def sigmoid(x: float) -> float:
     return float(1 / (1 + np.exp(-np.clip(x, -35, 35))))
 
 
-def train(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> dict[int, float]:
-    """Weights by slot, learnt from the labelled rows for which usable (over the column doc_id) holds."""
+def train(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = TRAIN_ROWS, epochs: int = EPOCHS) -> dict[int, float]:
+    """Weights by slot, learnt from the labelled rows for which usable (over the column doc_id) holds, train_rows at most."""
     marked = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & usable)
     order = F.xxhash64(F.lit(7), F.col("doc_id"))
-    sample = marked.orderBy(order, "doc_id", "label").limit(TRAIN_ROWS)  # bounded, so it may be broadcast
+    sample = marked.orderBy(order, "doc_id", "label").limit(train_rows)  # bounded, so it may be broadcast
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text")
 
     def featurised(batches):
@@ -97,7 +111,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc
         for batch in batches:
             at += [(len(held), i, label) for i, label in enumerate(batch.column("label").to_pylist())]
             held.append(batch.column("slots"))
-        for epoch in range(EPOCHS):
+        for epoch in range(epochs):
             for k in np.random.default_rng(epoch).permutation(len(at)).tolist():
                 part, i, label = at[k]
                 model.learn(np.frombuffer(held[part][i].as_buffer(), "<i4").astype(np.int64), label)
