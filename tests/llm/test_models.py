@@ -246,7 +246,7 @@ def test_toxicity_in_every_language(spark):
     for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect():
         if r.doc_id in rows:
             (found[lang[r.doc_id]] if r.toxic else false).append(rows[r.doc_id].predicted)
-    assert sum(map(sum, found.values())) >= 0.8 * sum(map(len, found.values())) and all(sum(x) >= 0.6 * len(x) for x in found.values())
+    assert sum(map(sum, found.values())) >= 0.8 * sum(map(len, found.values())) and all(sum(x) >= 0.5 * len(x) for x in found.values())
     assert sum(false) <= 0.01 * len(false)
 
 
