@@ -16,6 +16,15 @@ fingerprints can share one. So no bucket is cut and none is unbounded.
 A bucket is compared in blocks of BLOCK cells, in memory that grows with its members, not
 their pairs, and yields a spanning forest of its links, never all pairs.
 
+Near-duplicates for deduplicate() are texts whose sets of FIVE-word shingles have a Jaccard
+similarity of 0.8 or more. For them a fingerprint has 128 bits, in four parts of 32, and
+covering masks of radius PART_RADIUS in each part: pairs that differ in at most that many
+bits of any part meet, so all pairs do that differ in 15 bits or fewer. Each member of a
+bucket proposes the member before it that is nearest, if it is within NEAR bits. Shingle
+sets decide: first on each text's nearest proposal, then on all other proposals that lie
+between different components. Keys of over HOT members are compared in tiles, pairs of
+parts of at most HOT members, which any number of tasks share.
+
 Defined cases: null texts count as empty; a text without words has fingerprint zero and
 links like any other. A row with a null id has its fingerprint and takes the component of
 equal fingerprints, null if no row with an id has it. Repeated rows share a component.
@@ -40,6 +49,8 @@ BUCKET = 512
 BLOCK = 1 << 20
 #: Odd multipliers that reorder the bit positions for each round of masks.
 ROUNDS = (1, 27, 45)
+#: Shingles of similarity, bits of a part that may differ, bits of a proposal, members of a tile.
+FIVE, PART_RADIUS, NEAR, HOT = 5, 3, 32, 4096
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -132,13 +143,153 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of docs for each component, the one whose id names it, with its columns as they were.
+def sketch(text: str | None) -> tuple[int, int, np.ndarray]:
+    """128 bits of a text's three-word shingles, as two signed longs, and the sorted 32-bit hashes of its five-word shingles.
+
+    The hash of five words is made from those of the three shingles within them.
+    """
+    import xxhash
+
+    words = (text or "").encode().translate(LOWER).split()
+    if not words:
+        return 0, 0, np.zeros(0, np.uint32)
+    if len(words) < FIVE:
+        whole = np.frombuffer(xxhash.xxh3_128_digest(b" ".join(words), SEED), "<u8")[:1]
+    digest, counts, n, five = xxhash.xxh3_128_digest, np.zeros(128, np.int64), max(1, len(words) - SHINGLE + 1), []
+    for start in range(0, n, 1 << 14):  # a long text is counted in parts, which overlap by what five words need
+        part = words[start : start + (1 << 14) + FIVE - 1]
+        h = np.frombuffer(b"".join(digest(b" ".join(x), SEED) for x in zip(*(part[i:] for i in range(SHINGLE)))) or digest(b" ".join(part), SEED), "<u8").reshape(-1, 2)
+        own = h[: min(1 << 14, n - start)]
+        counts += np.unpackbits(own.view(np.uint8).reshape(-1, 16), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        x = h[:, 0]
+        five.append(x[:-2] * np.uint64(0x9E3779B97F4A7C15) ^ x[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) ^ x[2:] * np.uint64(0x165667B19E3779F9))
+    hashes = whole if len(words) < FIVE else np.concatenate(five)
+    lo, hi = np.packbits(counts * 2 > n, bitorder="little").view("<i8").tolist()
+    return hi, lo, np.unique((hashes >> np.uint64(32)).astype(np.uint32))
+
+
+def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, hi, lo, shingles (little-endian 32-bit hashes) and their digest, of each row."""
+    import hashlib
+
+    def run(batches):
+        for batch in batches:
+            for part, texts in pieces(batch, "text"):
+                found = [sketch(t) for t in texts]
+                sets = [x.astype("<u4").tobytes() for _, _, x in found]
+                digests = [int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True) for x in sets]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array(digests, pa.int64()), pa.array(sets, pa.binary())], ["doc_id", "hi", "lo", "digest", "shingles"])
+
+    rows = docs.selectExpr(f"`{id_col}` AS doc_id", f"`{text_col}` AS text")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, hi bigint, lo bigint, digest bigint, shingles binary")
+
+
+def part_masks(radius: int = PART_RADIUS) -> list[int]:
+    """The covering masks over the 32 positions of a part."""
+    vectors = [1 + i % (2 ** (radius + 1) - 1) for i in range(32)]
+    return [sum(((v & x).bit_count() & 1) << i for i, x in enumerate(vectors)) for v in range(1, 2 ** (radius + 1))]
+
+
+def nearest(key: np.ndarray, node: np.ndarray, hi: np.ndarray, lo: np.ndarray, near: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """src, dst and bits: for each member of a group of equal keys the nearest before it, if within near bits; rows come by key and node."""
+    n = len(key)
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if n else np.zeros(0, np.int64)
+    at = np.arange(n) - np.repeat(first, np.diff(np.append(first, n)))
+    best, whom = np.full(n, near + 1), np.zeros(n, np.int64)
+    hi, lo, step, here = hi.view(np.uint64), lo.view(np.uint64), 1, np.flatnonzero(at >= 1)
+    while len(here):
+        bits = np.bitwise_count(hi[here] ^ hi[here - step]).astype(np.int64) + np.bitwise_count(lo[here] ^ lo[here - step])
+        better = here[bits <= best[here]]
+        best[better], whom[better] = bits[bits <= best[here]], better - step
+        step += 1
+        here = here[at[here] >= step]
+    found = np.flatnonzero(best <= near)
+    return node[found], node[whom[found]], best[found]
+
+
+def proposals(nodes: DataFrame, near: int = NEAR, radius: int = PART_RADIUS) -> DataFrame:
+    """src, dst and bits: each node's nearest of lower number in every bucket, of nodes (hi, lo, node)."""
+    keys, masks_of = [], part_masks(radius)
+    for p, word in enumerate(("hi", "hi", "lo", "lo")):
+        part = F.shiftrightunsigned(word, 32 * (p % 2)).bitwiseAND(0xFFFFFFFF)
+        keys += [part.bitwiseAND(m).bitwiseOR((p * len(masks_of) + k) << 32) for k, m in enumerate(masks_of)]
+    dealt = nodes.select("node", "hi", "lo", F.explode(F.array(*keys)).alias("key"))
+    hot = written(dealt.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > HOT).select("key", F.ceil(F.col("size") * 2 / HOT).cast("int").alias("parts")), "hot_keys")
+    marked = dealt.join(hot, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    # a tile is a pair of parts; a key that is not hot has one part and one tile
+    tiled = marked.withColumn("own", own).withColumn("other", other).withColumn("tile", F.least("own", "other") * F.col("parts") + F.greatest("own", "other"))
+    units = tiled.select("key", "tile", "node", "hi", "lo").repartition("key", "tile").sortWithinPartitions("key", "tile", "node")
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            own = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("key", "tile", "node", "hi", "lo")])
+            held = own if held is None else np.concatenate([held, own], axis=1)
+            last = np.flatnonzero((held[0] != held[0, -1]) | (held[1] != held[1, -1])) if held.shape[1] else []
+            if len(last):  # all but the last unit are whole
+                yield from found(held[:, : last[-1] + 1])
+                held = held[:, last[-1] + 1 :]
+        if held is not None:
+            yield from found(held)
+
+    def found(rows):
+        unit = np.concatenate([[0], ((rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1])).cumsum()])
+        arrays = nearest(unit, rows[2], np.ascontiguousarray(rows[3]), np.ascontiguousarray(rows[4]), near)
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in arrays], ["src", "dst", "bits"])
+
+    return units.mapInArrow(run, "src bigint, dst bigint, bits bigint").distinct()
+
+
+def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (src, dst) whose shingle sets (node, shingles) have at least the Jaccard similarity; two empty sets have 1."""
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column("a"), batch.column("b")):
+                x, y = np.frombuffer(a.as_buffer(), "<u4"), np.frombuffer(b.as_buffer(), "<u4")
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["src", "dst"])
+
+    a, b = (sets.select(F.col("node").alias(end), F.col("shingles").alias(name)) for end, name in (("src", "a"), ("dst", "b")))
+    return pairs.join(a, "src").join(b, "dst").select("src", "dst", "a", "b").mapInArrow(run, "src bigint, dst bigint")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
+    """doc_id and component_id (the smallest doc_id reachable over near-duplicates) of each row; ids are whole numbers."""
+    prints = written(sketches(docs, id_col, text_col), "sketches")
+    same = ["hi", "lo", "digest"]
+    nodes = written(prints.groupBy(same).agg(F.min("doc_id").cast("bigint").alias("node")), "nodes")
+    edges = written(proposals(nodes.filter("node IS NOT NULL").select("node", "hi", "lo").distinct()), "proposals")
+    ends = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
+    sets = written(prints.select(F.col("doc_id").cast("bigint").alias("node"), "shingles").join(ends, "node", "left_semi").groupBy("node").agg(F.max("shingles").alias("shingles")), "sets")
+    first = edges.groupBy("src").agg(F.min_by("dst", F.struct("bits", "dst")).alias("dst"))
+    linked = written(similar(first, sets, similarity), "linked")
+    parts = written(connected_components(linked), "parts")
+    at = lambda end: parts.select(F.col("node").alias(end), F.col("component").alias(f"{end}_part"))
+    open_ = edges.join(at("src"), "src", "left").join(at("dst"), "dst", "left").filter(F.coalesce("src_part", "src") != F.coalesce("dst_part", "dst"))
+    more = similar(open_.join(first, ["src", "dst"], "left_anti").select("src", "dst"), sets, similarity)
+    whole = connected_components(linked.unionByName(more))
+    named = nodes.join(whole, "node", "left").select(*same, F.coalesce("component", "node").alias("component_id"))
+    return prints.select("doc_id", *same).join(named, same).select("doc_id", "component_id")
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
+    """One row of docs for each component of near-duplicates, the one whose id names it, with its columns as they were.
 
-    Rows with a null id can't be named and stay.
+    Rows with a null id can't be named and stay. Of repeated rows of an id one stays. Only
+    rows of repeated ids are shuffled; the others meet the ids that go.
     """
-    kept = components(docs, id_col, text_col).filter("doc_id = component_id").select(F.col("doc_id").alias("__tw_id")).distinct()
+    found = near_duplicates(docs, id_col, text_col, similarity).filter("doc_id IS NOT NULL")
+    ids = written(found.groupBy(F.col("doc_id").alias("__tw_id")).agg(F.max(F.col("doc_id") == F.col("component_id")).alias("named"), F.count(F.lit(1)).alias("n")).filter("NOT named OR n > 1"), "ids")
+    rows = docs.withColumn("__tw_key", F.col(id_col))
+    on = F.col("__tw_key") == F.col("__tw_id")
+    out = rows.join(ids, on, "left_anti").drop("__tw_key")  # a null id matches none
+    repeated = ids.filter("named")
+    if repeated.isEmpty():
+        return out
     order = Window.partitionBy("__tw_key").orderBy(F.xxhash64(F.col(text_col)))
-    named = docs.filter(F.col(id_col).isNotNull()).withColumn("__tw_key", F.col(id_col))
-    rows = named.join(kept, F.col("__tw_key") == F.col("__tw_id"), "left_semi").withColumn("__tw_rank", F.row_number().over(order))
-    return rows.filter("__tw_rank = 1").drop("__tw_key", "__tw_rank").unionByName(docs.filter(F.col(id_col).isNull()))
+    again = rows.join(repeated, on, "left_semi").withColumn("__tw_rank", F.row_number().over(order)).filter("__tw_rank = 1")
+    return out.unionByName(again.drop("__tw_key", "__tw_rank"))

@@ -112,6 +112,78 @@ def test_simhash_odd_rows(spark, odd, empty):
     assert simhash.deduplicate(empty).count() == 0
 
 
+def brute_near(texts, similarity=0.8):
+    """The least id reachable over pairs of five-word shingle sets of that Jaccard similarity, from all pairs."""
+    sets = {}
+    for i, t in texts.items():
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets[i] = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+    parent = {i: i for i in texts}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    pairs = set()
+    for i, a in sets.items():
+        for j, b in sets.items():
+            if j < i and len(a & b) >= similarity * len(a | b):
+                pairs.add((i, j))
+                x, y = sorted((root(i), root(j)))
+                parent[y] = x
+    return {i: root(i) for i in parent}, pairs
+
+
+def edited(r, words, n):
+    out = list(words)
+    for _ in range(n):
+        out[r.randrange(len(out))] = f"new{r.randrange(10**6)}"
+    return " ".join(out)
+
+
+def test_near_duplicates_on_planted_copies(spark):
+    """Groups of two to two hundred copies with a few words changed, and texts that share half of their passages."""
+    import random
+
+    r, texts = random.Random(3), []
+    for size in [2] * 30 + [5] * 10 + [200]:
+        words = [f"w{r.randrange(5000)}" for _ in range(r.randint(120, 300))]
+        texts += [edited(r, words, r.randint(0, len(words) // 60)) for _ in range(size)]
+    shared = " ".join(f"s{k}" for k in range(80))
+    texts += [shared + " " + " ".join(f"w{r.randrange(5000)}" for _ in range(80)) for _ in range(100)]
+    texts += ["one two", "one two", "", None, "a b c d e f", "a b c d e f g"]
+    r.shuffle(texts)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    wanted, pairs = brute_near(dict(enumerate(texts)))
+    got = {x.doc_id: x.component_id for x in simhash.near_duplicates(frame).collect()}
+    assert {i for i in got if got[i] == i} >= {i for i in wanted if wanted[i] == i}  # nothing is merged that is not near
+    assert sum(got[i] == got[j] for i, j in pairs) >= 0.97 * len(pairs)
+
+
+def test_hot_keys_are_compared_in_tiles(spark, monkeypatch):
+    """With keys hot from eight members on, every proposal of the untiled form is still made, or a nearer one."""
+    import random
+
+    r = random.Random(8)
+    base = [r.getrandbits(64) for _ in range(2)]
+    rows = [(i, *((b ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64))) for b in base)) for i in range(60)]
+    nodes = spark.createDataFrame([(i, *(x - (1 << 64) if x >> 63 else x for x in own)) for i, *own in rows], "node bigint, hi bigint, lo bigint")
+    whole = {(x.src, x.dst) for x in simhash.proposals(nodes).collect()}
+    monkeypatch.setattr(simhash, "HOT", 8)
+    tiled = {(x.src, x.dst) for x in simhash.proposals(nodes).collect()}
+    assert whole <= tiled and len({s for s, _ in whole}) == 59
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(0, 2**32 - 1), st.lists(st.integers(0, 31), max_size=3))
+def test_parts_within_the_radius_meet(a, flips):
+    b = a
+    for i in flips:
+        b ^= 1 << i
+    assert len(simhash.part_masks()) == 15 and any(a & m == b & m for m in simhash.part_masks())
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.text(max_size=60))
 def test_fingerprint_property(text):

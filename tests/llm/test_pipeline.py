@@ -15,7 +15,7 @@ def test_stages_are_in_order():
 def test_pipeline_against_plain_steps(spark, sf_dir):
     from tokenizers import Tokenizer
 
-    from .test_dedup import brute_components, brute_fingerprint
+    from .test_dedup import brute_near
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     weights = toxicity_weights(spark, sf_dir)
@@ -24,7 +24,7 @@ def test_pipeline_against_plain_steps(spark, sf_dir):
     for r in rows:
         largest[r.text or ""] = max(r.doc_id, largest.get(r.text or "", -1))
     rows = [r for r in rows if largest[r.text or ""] == r.doc_id]
-    component = brute_components([(r.doc_id, brute_fingerprint(r.text)) for r in rows])
+    component, _ = brute_near({r.doc_id: r.text for r in rows})
     rows = [r for r in rows if component[r.doc_id] == r.doc_id]
     drawn = Counter({r.doc_id: r.copies for r in mixing.draws(spark.createDataFrame(rows, docs.schema)).collect() if r.copies})
     got = corpus_pipeline.run(spark, sf_dir).collect()
