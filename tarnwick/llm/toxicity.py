@@ -1,8 +1,8 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Features are the set of a text's lower-cased words, word pairs, and pairs with one or two
-words between, and, for words never met before, the PREFIXES of its words, all hashed to
-DIMENSIONS slots. Training takes at most train_rows labelled rows (those with the smallest
+words between, and, for words never met before, the first bytes of its words (as many as in
+PREFIXES), all hashed to DIMENSIONS slots. Training takes at most train_rows labelled rows (those with the smallest
 hash of their id, so the sample does not depend on the order of the table). It runs over
 them epochs times in a fixed order: each coordinate has its own learning rate, and the L1
 term keeps a weight at exactly zero until its evidence outgrows it. The model is the list
@@ -22,7 +22,6 @@ label given twice counts twice. Other columns are not read; an empty table gives
 from __future__ import annotations
 
 import re
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -37,38 +36,49 @@ ALPHA, BETA, L1, L2 = 1.0, 1.0, 15.0, 0.0
 #: How much a row of label 1 counts, against one of label 0.
 POSITIVE = 5.0
 THRESHOLD = 0.7
-#: Lengths of the beginnings of longer words.
-PREFIXES = (4, 5, 6, 7)
+#: Lengths of the beginnings of longer words, in bytes of UTF-8, and what tells one from a word.
+PREFIXES, PREFIX_SALT = (4, 5, 6, 7), 0x51ED270B
 WORD = re.compile(r"[^\W\d_]+")
-_codes: dict[str, tuple[int, tuple[int, ...]]] = {}
-
-
-def code(word: str) -> int:
-    return zlib.crc32(word.encode()) * 0x9E3779B1 & 0xFFFFFFFFFFFFFFFF
-
-
-def coded(word: str) -> tuple[int, tuple[int, ...]]:
-    """The codes of a word and of its beginnings."""
-    found = _codes.get(word)
-    if found is None:
-        if len(_codes) > 100_000:
-            _codes.clear()
-        found = _codes[word] = code(word), tuple(code(word[:k] + "*") for k in PREFIXES if len(word) > k)
-    return found
+#: A word's code is the sum of its bytes times the powers of this odd number, modulo 2**64.
+BASE = 0x5851F42D4C957F2D
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers_of(n: int) -> list[np.ndarray]:
+    """The first powers of BASE and of its inverse, n at least."""
+    if len(_powers[0]) < n:
+        for k, base in enumerate((BASE, pow(BASE, -1, 1 << 64))):
+            table = np.full(2 * n, base, np.uint64)
+            table[0] = 1
+            _powers[k] = np.multiply.accumulate(table)
+    return _powers
+
+
+def codes(words: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The codes of words, and those of the beginnings of longer ones; in parts, so that tables stay small."""
+    own, begun = [np.zeros(0, np.uint64)], []
+    for i in range(0, len(words), 1 << 14):
+        data = np.frombuffer(" ".join(words[i : i + (1 << 14)]).encode() + b" ", np.uint8)
+        ends = np.flatnonzero(data == 32)
+        starts = np.concatenate([[0], ends[:-1] + 1])
+        up, down = _powers_of(len(data))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(data * up[: len(data)])])
+        own.append((sums[ends] - sums[starts]) * down[starts])
+        for k in PREFIXES:
+            longer = starts[ends - starts > k]
+            begun.append((sums[longer + k] - sums[longer]) * down[longer] ^ np.uint64(PREFIX_SALT))
+    return np.concatenate(own), begun
 
 
 def features(text: str | None) -> np.ndarray:
     """The slots of a text, each once, in order; slot 0 is the bias."""
-    words = WORD.findall((text or "").lower())
-    known = {w: coded(w) for w in set(words)}
-    h = np.array([known[w][0] for w in words], np.uint64)
-    begun = np.array(list({c for _, own in known.values() for c in own}), np.uint64)
-    parts = [h, begun] + [(h[:-gap] * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(gap)) ^ (h[gap:] * np.uint64(0x165667B19E3779F9)) for gap in (1, 2, 3)]
-    mixed = np.concatenate(parts)
+    h, begun = codes(WORD.findall((text or "").lower()))
+    pairs = [(h[:-gap] * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(gap)) ^ (h[gap:] * np.uint64(0x165667B19E3779F9)) for gap in (1, 2, 3)]
+    mixed = np.concatenate([h, *begun, *pairs])
     mixed ^= mixed >> np.uint64(29)
     mixed *= np.uint64(0xBF58476D1CE4E5B9)
     slots = (mixed >> np.uint64(40)) % np.uint64(DIMENSIONS - 1) + np.uint64(1)
-    return np.concatenate([np.zeros(1, np.int64), np.unique(slots.astype(np.int64))])
+    return np.concatenate([np.zeros(1, np.int64), np.unique(slots.astype(np.int32))])
 
 
 class Ftrl:

@@ -253,8 +253,10 @@ def test_toxicity_in_every_language(spark):
 def plain_features(text):
     """Slots by plain integers."""
     words = re.findall(r"[^\W\d_]+", (text or "").lower())
-    crc, mask = lambda w: zlib.crc32(w.encode()) * 0x9E3779B1, (1 << 64) - 1
-    codes = [crc(w) for w in words] + [crc(w[:k] + "*") for w in words for k in (4, 5, 6, 7) if len(w) > k]
+    mask = (1 << 64) - 1
+    crc = lambda b: sum(x * pow(0x5851F42D4C957F2D, i, 1 << 64) for i, x in enumerate(b)) & mask
+    words = [w.encode() for w in words]
+    codes = [crc(w) for w in words] + [crc(w[:k]) ^ 0x51ED270B for w in words for k in (4, 5, 6, 7) if len(w) > k]
     codes += [((crc(a) * 0xC2B2AE3D27D4EB4F + gap) ^ (crc(b) * 0x165667B19E3779F9)) & mask for gap in (1, 2, 3) for a, b in zip(words, words[gap:])]
     mixed = [(c ^ c >> 29) * 0xBF58476D1CE4E5B9 & mask for c in codes]
     return sorted({0} | {(m >> 40) % ((1 << 18) - 1) + 1 for m in mixed})
