@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .identity import NAMESPACE
+
 PREFIX, PREFIX_WEIGHT = 4, 0.1
 
 
@@ -70,6 +72,14 @@ def lexical_score(term: Column, label: Column, synonyms: Column) -> Column:
 
 
 def register(spark) -> None:
-    """Make the functions callable from SQL."""
+    """Make functions callable from SQL: jaro_winkler, bm25_tokens, uuid5, and parse_temporal for a year, a month or a day."""
     spark.udf.register("jaro_winkler", jaro_winkler)
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION bm25_tokens(x STRING) RETURNS ARRAY<STRING> RETURN filter(transform(split(lower(coalesce(x, '')), '[^a-z0-9.]+'), t -> regexp_replace(t, '^[.]+|[.]+$', '')), t -> t <> '')")
+    digest = f"sha1(concat(unhex('{NAMESPACE.hex}'), encode(x, 'UTF-8')))"
+    variant = f"substr('89ab', 1 + cast(conv(substr({digest}, 17, 1), 16, 10) AS INT) % 4, 1)"
+    cuts = f"substr({digest}, 1, 8), substr({digest}, 9, 4), concat('5', substr({digest}, 14, 3)), concat({variant}, substr({digest}, 18, 3)), substr({digest}, 21, 12)"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION uuid5(x STRING) RETURNS STRING RETURN concat_ws('-', {cuts})")
+    whole = "concat(trim(x), CASE length(trim(x)) WHEN 4 THEN '-01-01' WHEN 7 THEN '-01' ELSE '' END)"
+    day = f"CASE WHEN trim(x) RLIKE '^[0-9]{{4}}(-[0-9]{{2}}){{0,2}}$' AND left(trim(x), 4) >= '0001' THEN try_to_date({whole}, 'yyyy-MM-dd') END"
+    last = f"CASE length(trim(x)) WHEN 4 THEN last_day(add_months({day}, 11)) WHEN 7 THEN last_day({day}) ELSE {day} END"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION parse_temporal(x STRING) RETURNS STRUCT<lo: DATE, hi: DATE> RETURN CASE WHEN {day} IS NOT NULL THEN named_struct('lo', {day}, 'hi', {last}) END")

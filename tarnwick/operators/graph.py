@@ -70,10 +70,11 @@ def wire_children(nodes: DataFrame) -> DataFrame:
     return base.join(grouped, "iri", "left").withColumn("children_iris", F.coalesce("children_iris", F.array().cast("array<string>")))
 
 
-def closure(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """node, ancestor and the least depth at which it is reached, itself left out."""
+def closure(edges: DataFrame, max_depth: int | None = None, of: DataFrame | None = None) -> DataFrame:
+    """node, ancestor and the least depth at which it is reached, itself left out; of all nodes, or of those in of (node)."""
     step = written(edges.select("child", "parent").filter("child IS NOT NULL AND parent IS NOT NULL").distinct(), "edges")
-    found = written(step.filter("child <> parent").select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).alias("depth")), "closure")
+    first = step if of is None else step.join(of.select(F.col("node").alias("child")), "child", "left_semi")
+    found = written(first.filter("child <> parent").select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).alias("depth")), "closure")
     fresh, depth = found, 1
     while max_depth is None or depth < max_depth:
         depth += 1
@@ -132,14 +133,17 @@ def induced(kept: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(left, "child", "left_semi").join(right, "parent", "left_semi")
 
 
-def check_bounds(nodes: DataFrame, edges: DataFrame, max_nodes: int = 100, max_edges: int = 500, max_iri: int = 512) -> None:
-    """Raise ValueError where a graph exceeds its bounds; each count stops one above its bound."""
+def check_bounds(nodes: DataFrame, edges: DataFrame, max_nodes: int = 100, max_edges: int = 500, max_iri: int = 512, max_list: int = 25) -> None:
+    """Raise ValueError where a graph or a list of a node exceeds its bounds; each count stops one above its bound."""
     if nodes.limit(max_nodes + 1).count() > max_nodes:
         raise ValueError(f"more than {max_nodes} nodes")
     if edges.limit(max_edges + 1).count() > max_edges:
         raise ValueError(f"more than {max_edges} edges")
     if not nodes.filter(F.length("iri") > max_iri).isEmpty():
         raise ValueError(f"an identifier is longer than {max_iri}")
+    for name in ("superclass_iris", "superproperty_iris", "children_iris", "alt_labels"):
+        if name in nodes.columns and not nodes.filter(F.size(name) > max_list).isEmpty():
+            raise ValueError(f"a node has more than {max_list} entries in {name}")
 
 
 def diagnostics(nodes: DataFrame, limit: int = 100) -> DataFrame:
@@ -200,7 +204,15 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_depth: int | None = N
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
-    return reduce(DataFrame.unionByName, done).withColumn("length", F.size("path") - 1)
+    found = reduce(DataFrame.unionByName, done).withColumn("length", F.size("path") - 1)
+    return found
+
+
+def truncated_ancestry(edges: DataFrame, nodes: DataFrame, max_depth: int) -> DataFrame:
+    """node and ancestry_truncated: whether a node has ancestors beyond max_depth."""
+    up = closure(edges, max_depth + 1, nodes.select("node"))
+    beyond = up.groupBy("node").agg((F.max("depth") > max_depth).alias("ancestry_truncated"))
+    return nodes.select("node").join(beyond, "node", "left").select("node", F.coalesce("ancestry_truncated", F.lit(False)).alias("ancestry_truncated"))
 
 
 def ancestor_distances(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
@@ -212,14 +224,16 @@ def lowest_common_ancestors(edges: DataFrame, pairs: DataFrame) -> DataFrame:
 
     Nearest is the least sum of distances, then the least larger one, then the identifier.
     """
-    up = closure(edges)
-    wanted = pairs.select("a", "b").distinct()
-    ends = wanted.select(F.col("a").alias("node")).unionByName(wanted.select(F.col("b").alias("node"))).distinct()
-    lines = written(up.join(ends, "node", "left_semi").unionByName(ends.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth"))), "lines")
+    wanted = written(pairs.select("a", "b").distinct(), "pairs")
+    ends = written(wanted.select(F.col("a").alias("node")).unionByName(wanted.select(F.col("b").alias("node"))).distinct(), "ends")
+    up = closure(edges, of=ends)
+    lines = written(up.unionByName(ends.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth"))), "lines")
     left = lines.select(F.col("node").alias("a"), F.col("ancestor").alias("lca"), F.col("depth").alias("da"))
     right = lines.select(F.col("node").alias("b"), F.col("ancestor").alias("lca"), F.col("depth").alias("db"))
     common = written(wanted.join(left, "a").join(right, ["b", "lca"]), "common")
-    above = common.join(up.select(F.col("node").alias("lca"), F.col("ancestor").alias("over")), "lca").select("a", "b", F.col("over").alias("lca")).distinct()
+    # what lies above a common ancestor: only those are closed, not all nodes
+    over = closure(edges, of=common.select(F.col("lca").alias("node")).distinct())
+    above = common.join(over.select(F.col("node").alias("lca"), F.col("ancestor").alias("over")), "lca").select("a", "b", F.col("over").alias("lca")).distinct()
     lowest = common.join(above, ["a", "b", "lca"], "left_anti")
     key = F.struct(F.col("da") + F.col("db"), F.greatest("da", "db"), F.col("lca"))
     best = lowest.groupBy("a", "b").agg(F.min_by(F.struct("lca", "da", "db"), key).alias("r"), F.count(F.lit(1)).alias("n_lowest"))

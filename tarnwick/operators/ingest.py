@@ -6,7 +6,7 @@ from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -70,6 +70,12 @@ def split_rows(df: DataFrame, registered: Mapping[str, str]) -> tuple[DataFrame,
     A row is bad if a value is there and its cast is null. Registered columns that the file
     lacks are null.
     """
+    cells, bad = _casts(df, registered)
+    return df.filter(~bad).select(cells), df.filter(bad)
+
+
+def _casts(df: DataFrame, registered: Mapping[str, str]) -> tuple[list[Column], Column]:
+    """Typed cells, and whether a row is bad."""
     by_name = {c.lower(): c for c in df.columns}
     cells, bad = [], F.lit(False)
     for name, kind in registered.items():
@@ -81,7 +87,7 @@ def split_rows(df: DataFrame, registered: Mapping[str, str]) -> tuple[DataFrame,
             cells.append(cast.alias(name))
         else:
             cells.append(F.lit(None).cast(sql_type).alias(name))
-    return df.filter(~bad).select(cells), df.filter(bad)
+    return cells, bad
 
 
 def audited(df: DataFrame, run_id: str, provider_id: str, dataset_id: str, process: str = "file") -> DataFrame:
@@ -139,9 +145,11 @@ def ingest(spark: SparkSession, dataset: Dataset, log_path: str, archive: bool =
             status, extra, missing = compare_columns(raw.columns, dataset.columns)
             if len(missing) == len(dataset.columns):
                 raise ValueError("no registered column is in the file")
-            good, bad = split_rows(raw, dataset.columns)
-            audited(good, run["run_id"], dataset.provider_id, dataset.dataset_id).write.mode("append").parquet(dataset.target)
-            found, skipped = raw.count(), bad.count()
+            cells, bad = _casts(raw, dataset.columns)
+            counts = Observation("rows")  # the counts come with the write, so the file is read once
+            seen = raw.observe(counts, F.count(F.lit(1)).alias("found"), F.count_if(bad).alias("skipped"))
+            audited(seen.filter(~bad).select(cells), run["run_id"], dataset.provider_id, dataset.dataset_id).write.mode("append").parquet(dataset.target)
+            found, skipped = counts.get["found"], counts.get["skipped"]
             result = {"run_status": "partial" if skipped else "success", "column_status": status, "records_found": found, "records_loaded": found - skipped, "records_skipped": skipped, "status_notes": "; ".join([*(f"extra {c}" for c in extra), *(f"missing {c}" for c in missing)])}
             if archive and not move(spark, f["path"], dataset.folder):
                 result |= {"run_status": "partial", "status_notes": "file was not moved"}
@@ -211,7 +219,7 @@ def replace_partition(df: DataFrame, path: str, column: str = "dataset_id") -> N
 def graph_digests(quads: DataFrame) -> DataFrame:
     """Per graph a digest of its triples that doesn't depend on their order."""
     line = F.to_json(F.struct("subject", "predicate", "object"))
-    return quads.select("graph", line.alias("line")).groupBy("graph").agg(unordered_digest(F.collect_set("line")).alias("digest"))
+    return quads.select("graph", line.alias("line")).distinct().groupBy("graph").agg(unordered_digest(F.col("line")).alias("digest"))
 
 
 def to_publish(quads: DataFrame, published: DataFrame) -> DataFrame:

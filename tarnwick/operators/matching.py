@@ -95,10 +95,14 @@ def completeness(name: Column, description: Column) -> Column:
 def validations(options: Options = Options()) -> Column:
     """The ordered array of checks of a product against its first candidate.
 
+    Classes are compared only where options.asset_class is set; a class missing on either
+    side passes.
+
     Columns read: allowed, node_iri, node_in_store, name, description, raw, node_class,
     temporal_coverage, node_coverage.
     """
-    vendor_class, node_class = data_class(F.col("raw")), F.lower(blank_to_null(F.col("node_class")))
+    vendor_class = data_class(F.col("raw"))
+    node_class = F.lower(blank_to_null(F.col("node_class"))) if options.asset_class else F.lit(None).cast("string")
     differ = F.coalesce(vendor_class != node_class, F.lit(False))
     name, description = F.coalesce("name", F.lit("")), F.coalesce("description", F.lit(""))
     checks = [

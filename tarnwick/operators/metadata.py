@@ -14,6 +14,17 @@ def current(entities: DataFrame) -> DataFrame:
     return entities.filter("current_flag = 'y'")
 
 
+def with_provider(datasets: DataFrame, providers: DataFrame) -> DataFrame:
+    """Current datasets that have a current provider, with its name."""
+    return current(datasets).join(current(providers).select("provider_id", "provider_name"), "provider_id")
+
+
+def with_roles(users: DataFrame, roles: DataFrame, grants: DataFrame) -> DataFrame:
+    """Users with the sorted names of their roles; one without roles has none."""
+    named = grants.join(roles.select("role_id", "role_name"), "role_id").groupBy("user_id").agg(F.array_sort(F.collect_set("role_name")).alias("roles"))
+    return users.join(named, "user_id", "left").withColumn("roles", F.coalesce("roles", F.array().cast("array<string>")))
+
+
 def latest_version(entities: DataFrame, key: str, version: str = "version") -> DataFrame:
     """The row with the highest version of each key; a partial maximum per task, no sort."""
     names = [c for c in entities.columns if c != key]
@@ -42,7 +53,7 @@ def scd2_apply(entities: DataFrame, changes: DataFrame, key: str) -> DataFrame:
 
 def next_version(versions: DataFrame, column: str = "version", minimum: int = 1) -> DataFrame:
     """One above the highest version that is an integer, the minimum at least."""
-    return versions.agg(F.greatest(F.lit(minimum), F.coalesce(F.max(F.col(column).try_cast("int")) + 1, F.lit(minimum))).alias("next_version"))
+    return versions.agg(F.greatest(F.lit(minimum), F.coalesce(F.max(F.col(column).try_cast("bigint")) + 1, F.lit(minimum))).alias("next_version"))
 
 
 def run_report(log: DataFrame, providers: DataFrame, datasets: DataFrame, status: str | None = None, search: str | None = None, from_date: str | None = None, to_date: str | None = None, limit: int = REPORT_ROWS) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.identity import unordered_digest
 from ..functions.text import vendor_signature
 from .ingest import upsert
 
@@ -86,9 +87,9 @@ def conflicts(positives: DataFrame) -> DataFrame:
 
 
 def taxonomy_hash(nodes: DataFrame) -> DataFrame:
-    """One row: the digest of all nodes, whatever their order. A node is hashed where it lies; only digests are gathered."""
-    line = F.sha2(F.to_json(F.struct("iri", "label", "parent_iri")), 256)
-    return nodes.agg(F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list(line))), 256).alias("taxonomy_hash"))
+    """One row: the digest of all nodes, whatever their order. A node is hashed where it lies; only sums are gathered."""
+    line = F.concat_ws("\u001f", "iri", F.coalesce("label", F.lit("")), F.coalesce("parent_iri", F.lit("")))
+    return nodes.agg(unordered_digest(line).alias("taxonomy_hash"))
 
 
 def export_bundle(events: DataFrame) -> DataFrame:

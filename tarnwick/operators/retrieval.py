@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,7 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.similarity import jaro_winkler, jaro_winkler_of
-from ..functions.text import tokens
+from ..functions.text import dense_text, lexical_text, query_text, tokens
+from ..runtime import written
+from .matching import Options
 
 K1, B = 1.5, 0.75
 RRF_K = 60
@@ -64,9 +67,23 @@ def top_k(scored: DataFrame, by: str, order: list[Column], k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("rank") <= k)
 
 
-def nominate(scored: DataFrame, k: int = NOMINATED) -> DataFrame:
-    """The k best documents of each query, ties by id; scores are rounded so that the order of sums decides nothing."""
-    return top_k(scored.withColumn("score", F.round("score", 6)), "query", [F.desc("score"), F.asc("doc")], k)
+def nominate(scored: DataFrame, k: int = NOMINATED, queries: DataFrame | None = None, docs: DataFrame | None = None) -> DataFrame:
+    """The k best documents of each query, ties by id; scores are rounded so that the order of sums decides nothing.
+
+    With queries (query) and docs (doc) given, documents of score zero fill up what is
+    lacking, in the order of their ids. The 2 * k least ids are enough for that, since at
+    most k of them have a score.
+    """
+    best = top_k(scored.withColumn("score", F.round("score", 6)), "query", [F.desc("score"), F.asc("doc")], k)
+    if queries is None or docs is None:
+        return best
+    best = written(best, "nominated")
+    found = best.groupBy("query").agg(F.collect_list("doc").alias("have"))  # k at most
+    least = docs.select("doc").distinct().orderBy("doc").limit(2 * k).agg(F.array_sort(F.collect_list("doc")).alias("least"))
+    short = queries.select("query").distinct().join(found, "query", "left").withColumn("have", F.coalesce("have", F.array().cast(found.schema["have"].dataType))).filter(F.size("have") < k)
+    rest = short.join(F.broadcast(least)).withColumn("more", F.slice(F.array_except("least", "have"), F.lit(1), k - F.size("have")))  # least is one row
+    filled = rest.select("query", F.posexplode("more").alias("pos", "doc"), F.size("have").alias("n"))
+    return best.unionByName(filled.select("query", "doc", F.lit(0.0).alias("score"), (F.col("n") + F.col("pos") + 1).alias("rank")))
 
 
 def fuse(rankings: DataFrame, by: str = "query", node: str = "doc", order: str = "ord") -> DataFrame:
@@ -148,6 +165,72 @@ def rank_all(products: DataFrame, nodes: DataFrame, k: int = 10, min_similarity:
     return products.mapInPandas(run, f"product {kind}, iri string, rank int, similarity double, fused double")
 
 
+def guarded(scorer: Callable[[pd.Series, pd.Series], pd.Series]) -> Callable[[Column, Column], Column]:
+    """A scorer of two series, as a function of columns that never fails: scores are held within 0 and 1.
+
+    Where it raises, or has no number for a pair, the pair is scored alone, and has the
+    degraded score if that fails too.
+    """
+    def alone(a, b) -> float:
+        try:
+            value = float(scorer(pd.Series([a]), pd.Series([b])).iloc[0])
+        except Exception:
+            return DEGRADED
+        return DEGRADED if math.isnan(value) else value
+
+    @F.pandas_udf("double")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        try:
+            found = pd.Series(scorer(a, b), dtype="float64").reset_index(drop=True)
+            if len(found) != len(a):
+                raise ValueError("a score is missing")
+        except Exception:
+            found = pd.Series([math.nan] * len(a))
+        again = [alone(x, y) if math.isnan(s) else s for x, y, s in zip(a, b, found)]
+        return pd.Series(again, dtype="float64").clip(0.0, 1.0)
+
+    return run
+
+
+def multi_path(products: DataFrame, nodes: DataFrame, edges: DataFrame, negatives: DataFrame, boosts: DataFrame, options: Options = Options(), k: int = 10, min_similarity: float = 0.0, scorer=jaro_winkler) -> DataFrame:
+    """The multi-path form as a whole: product, iri, similarity, order and rank of the best candidates of each product.
+
+    Nominated are the NOMINATED nodes whose texts score best by BM25, those of score zero
+    by iri; options.taxonomy_text and signal_text choose the texts, options.subsumption
+    adds neighbours in edges (child, parent). Then negatives (product, iri) go, the rest
+    is scored by label, or by label and definition with taxonomy_text, and ordered by the
+    score and the tilt of boosts (product, iri, n).
+
+    products: product, name, description. nodes: iri, label, alt_labels, definition,
+    signals (array of text).
+    """
+    asked = products.select("product", query_text(F.col("name"), F.col("description"), F.col("product").cast("string")).alias("text"))
+    signals = F.array_join(F.array_distinct(F.array_compact("signals")), " ")
+    lexical = lexical_text(F.col("label"), F.col("alt_labels"), F.col("definition"), [signals], options.taxonomy_text, options.signal_text)
+    docs = nodes.select("iri", lexical.alias("text"))
+    scored = bm25(asked, docs, "product", F.col("text"), "iri", F.col("text"))
+    found = nominate(scored, NOMINATED, asked.select(F.col("product").alias("query")), docs.select(F.col("iri").alias("doc"))).select("query", "doc")
+    found = expand(found, edges).join(docs.select(F.col("iri").alias("doc")), "doc", "left_semi") if options.subsumption else found
+    pairs = drop_negatives(found.select(F.col("query").alias("product"), F.col("doc").alias("iri")), negatives, ["product", "iri"])
+    labels = nodes.select("iri", dense_text(F.col("label"), F.col("definition"), options.taxonomy_text).alias("label"))
+    full = pairs.join(labels, "iri").join(asked.withColumnRenamed("text", "query"), "product").join(boosts.select("product", "iri", F.col("n").alias("confirmed")), ["product", "iri"], "left")
+    return rescore(full, "query", "label", "product", "iri", tilt(F.col("confirmed")), k, min_similarity, scorer).select("product", "iri", "similarity", "order", "rank")
+
+
+def retrieve(products: DataFrame, nodes: DataFrame, edges: DataFrame, negatives: DataFrame, boosts: DataFrame, options: Options = Options(), k: int = 10, min_similarity: float = 0.0, scorer=jaro_winkler) -> DataFrame:
+    """Candidates of each product by the path that options.multi_path chooses: product, iri, similarity and rank."""
+    if options.multi_path:
+        return multi_path(products, nodes, edges, negatives, boosts, options, k, min_similarity, scorer).select("product", "iri", "similarity", "rank")
+    barred = negatives.groupBy("product").agg(F.collect_set("iri").alias("negatives"))
+    counts = boosts.groupBy("product").agg(F.map_from_entries(F.collect_list(F.struct("iri", F.col("n").cast("bigint")))).alias("boosts"))
+    asked = products.select("product", query_text(F.col("name"), F.col("description"), F.col("product").cast("string")).alias("query"))
+    asked = asked.join(barred, "product", "left").join(counts, "product", "left")
+    signals = F.array_join(F.array_distinct(F.array_compact("signals")), " ")
+    lexical = lexical_text(F.col("label"), F.col("alt_labels"), F.col("definition"), [signals], options.taxonomy_text, options.signal_text)
+    texts = nodes.select("iri", dense_text(F.col("label"), F.col("definition"), options.taxonomy_text).alias("label"), lexical.alias("lexical"), F.col("iri").alias("ord"))
+    return rank_all(asked, texts, k, min_similarity).select("product", "iri", "similarity", "rank")
+
+
 def rescore(nominated: DataFrame, query: str, label: str, product: str, iri: str, boost: Column, k: int = 10, min_similarity: float = 0.0, scorer=jaro_winkler) -> DataFrame:
     """The multi-path form's last steps: a dense score at four places, a floor on it, and order by score plus tilt.
 

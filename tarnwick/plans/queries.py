@@ -26,8 +26,8 @@ ORACLE_SQL: dict[str, str] = {}
 
 DECISIONS = "CASE event_type WHEN 'purchase' THEN 'approve' WHEN 'signup' THEN 'override' WHEN 'error' THEN 'reject' END"
 EVENTS_SQL = f"""d AS (
-    SELECT event_id AS seq, epoch_us(ts) // 1000 AS decided_at_ms, 'v' || (user_id % 4) AS vendor, CAST(user_id % 50 AS VARCHAR) AS product_id,
-           'Product ' || (user_id % 50) AS name, 'catalog:n' || CAST(floor(value / 50) AS BIGINT) AS node_iri, {DECISIONS} AS decision
+    SELECT event_id AS seq, epoch_us(ts) // 1000 AS decided_at_ms, 'v' || (user_id % 4) AS vendor, CAST(user_id // 2 AS VARCHAR) AS product_id,
+           'Product ' || (user_id // 2) AS name, 'catalog:n' || CAST(floor(value / 50) AS BIGINT) AS node_iri, {DECISIONS} AS decision
     FROM events WHERE event_type IN ('purchase', 'signup', 'error'))"""
 POSITIVE_SQL = f"""{EVENTS_SQL},
     p AS (SELECT * FROM d WHERE decision <> 'reject' QUALIFY row_number() OVER (PARTITION BY vendor, product_id ORDER BY decided_at_ms DESC, seq DESC) = 1),
@@ -53,7 +53,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").filter(F.col("event_type").isin("purchase", "signup", "error"))
-    product = F.col("user_id") % 50
+    product = F.floor(F.col("user_id") / 2)
     return events.select(
         F.col("event_id").alias("seq"),
         F.unix_millis(F.col("ts").cast("timestamp")).alias("decided_at_ms"),
@@ -90,10 +90,14 @@ def cross_vendor_conflict(spark, sf_dir):
     return precedents.conflicts(precedents.current_positive(decisions(spark, sf_dir))).select("vendor", "product_id", "node_iri")
 
 
-@query(f"WITH {EVENTS_SQL} SELECT vendor, product_id, min_by(vendor || '::' || lower(name), (decided_at_ms, seq)) AS signature FROM d GROUP BY ALL")
+@query(f"""WITH {EVENTS_SQL}, i AS (SELECT 'v' || (user_id % 4) AS vendor, CAST(user_id // 2 AS VARCHAR) AS product_id, max_by('Views ' || event_id, ts) AS name FROM events WHERE event_type = 'view' GROUP BY ALL),
+    f AS (SELECT vendor, product_id, min_by(vendor || '::' || lower(name), (decided_at_ms, seq)) AS first FROM d GROUP BY ALL)
+    SELECT vendor, product_id, coalesce(vendor || '::' || lower(name), first) AS signature FROM i FULL JOIN f USING (vendor, product_id)""")
 def frozen_signature(spark, sf_dir):
-    nothing = spark.createDataFrame([], "vendor string, product_id string, name string, ingested_at timestamp")
-    return precedents.frozen_signatures(nothing, decisions(spark, sf_dir))
+    """Views are ingests, whose latest name wins over decisions."""
+    views = table(spark, sf_dir, "events").filter("event_type = 'view'")
+    ingested = views.select(F.concat(F.lit("v"), F.col("user_id") % 4).alias("vendor"), F.floor(F.col("user_id") / 2).cast("string").alias("product_id"), F.concat(F.lit("Views "), "event_id").alias("name"), F.col("ts").cast("timestamp").alias("ingested_at"))
+    return precedents.frozen_signatures(ingested, decisions(spark, sf_dir))
 
 
 @query(f"WITH {EVENTS_SQL} SELECT vendor, product_id, node_iri, decision, count(*) AS n FROM (SELECT DISTINCT vendor, product_id, node_iri, decision, decided_at_ms FROM d) GROUP BY ALL")
@@ -128,11 +132,14 @@ def decision_validation(spark, sf_dir):
     return both.groupBy("decision", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT 'key' || (user_id % 50) AS memory_key, epoch_us(ts) // 1000 AS updated_at_ms, props AS payload FROM events
-    QUALIFY row_number() OVER (PARTITION BY user_id % 50 ORDER BY ts DESC, event_id DESC) = 1""")
+@query("""SELECT 'key' || user_id AS memory_key, epoch_us(ts) // 1000 AS updated_at_ms, props AS payload FROM events
+    QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000 DESC, event_type = 'click' DESC, props DESC) = 1""")
 def memory_upsert(spark, sf_dir):
-    events = table(spark, sf_dir, "events").select(F.concat(F.lit("key"), F.col("user_id") % 50).alias("memory_key"), F.unix_millis(F.col("ts").cast("timestamp")).alias("updated_at_ms"), F.col("props").alias("payload"))
-    return precedents.remember(events.limit(0), events)
+    """Clicks are written into the memory that all other events left."""
+    order = F.struct("updated_at_ms", "payload")
+    entries = table(spark, sf_dir, "events").select(F.concat(F.lit("key"), F.col("user_id")).alias("memory_key"), F.unix_millis(F.col("ts").cast("timestamp")).alias("updated_at_ms"), F.col("props").alias("payload"), (F.col("event_type") == "click").alias("new"))
+    latest = lambda rows: rows.groupBy("memory_key").agg(F.max("updated_at_ms").alias("updated_at_ms"), F.max_by("payload", order).alias("payload"))
+    return precedents.remember(latest(entries.filter("NOT new")), latest(entries.filter("new")))
 
 
 @query("SELECT event_id AS memory_key, epoch_us(ts) // 1000 AS updated_at_ms FROM events ORDER BY ts DESC, event_id LIMIT 100")
@@ -493,13 +500,10 @@ def degree_counts(spark, sf_dir):
     return graph.degrees(nodes, tree).drop("ambiguous")
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS a, -1 - l_suppkey AS b FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_totalprice > 495000),
-    bi AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT DISTINCT a AS node, a AS component FROM bi UNION SELECT bi.b, r.component FROM r JOIN bi ON bi.a = r.node)
-    SELECT node, min(component) AS component FROM r GROUP BY 1""")
+@query("""WITH e AS (SELECT o_orderkey AS a, -1 - o_custkey AS b FROM orders) SELECT a AS node, b AS component FROM e UNION ALL SELECT DISTINCT b, b FROM e""")
 def graph_components(spark, sf_dir):
-    rich = table(spark, sf_dir, "orders").filter("o_totalprice > 495000").select(F.col("o_orderkey").alias("l_orderkey"))
-    edges = table(spark, sf_dir, "lineitem").join(rich, "l_orderkey", "left_semi").select(F.col("l_orderkey").alias("src"), (-1 - F.col("l_suppkey")).alias("dst"))
-    return connected_components(edges)
+    """Orders with their customers: a star for each customer."""
+    return connected_components(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("src"), (-1 - F.col("o_custkey")).alias("dst")))
 
 
 @query()
@@ -508,11 +512,13 @@ def line_item_components(spark, sf_dir):
     return connected_components(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("src"), (-1 - F.col("l_suppkey")).alias("dst")))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT user_id AS a, (user_id * 7 + 2) % 150 AS b FROM events WHERE user_id % 2 = 0), r AS (SELECT a AS node, b AS reach FROM e UNION SELECT node, b FROM r JOIN e ON a = reach)
-    SELECT x.node, least(x.node, min(x.reach)) AS component FROM r x JOIN r y ON x.node = y.reach AND x.reach = y.node GROUP BY x.node""")
+@query("""SELECT user_id AS node, 3 * (user_id // 3) AS component FROM (SELECT DISTINCT user_id FROM events) QUALIFY count(*) OVER (PARTITION BY user_id // 3) = 3""")
 def cyclic_components(spark, sf_dir):
-    edges = table(spark, sf_dir, "events").filter("user_id % 2 = 0").select(F.col("user_id").alias("child"), ((F.col("user_id") * 7 + 2) % 150).alias("parent"))
-    return graph.cyclic_components(edges)
+    """Each user leads to the next of three, the third to the first and to the next three: cycles where all three have events."""
+    users = table(spark, sf_dir, "events").select("user_id").distinct()
+    first, place = 3 * F.floor(F.col("user_id") / 3), F.col("user_id") % 3
+    steps = F.array(first + (place + 1) % 3, F.when(place == 2, first + 3))
+    return graph.cyclic_components(users.select(F.col("user_id").alias("child"), F.explode(steps).alias("parent")).filter("parent IS NOT NULL"))
 
 
 @query()
@@ -528,8 +534,8 @@ def user_cycles(spark, sf_dir):
 def pagerank(spark, sf_dir):
     """Ranks from one region over the region tree; iterative, so the tests compare it with dense algebra."""
     seeds = spark.createDataFrame([("r1",)], "node string")
-    ranks, converged = graph.pagerank(_tree(spark, sf_dir), seeds, tolerance=1e-6)
-    return ranks.withColumn("converged", F.lit(converged))
+    ranks, converged = graph.pagerank(_tree(spark, sf_dir), seeds)
+    return ranks.withColumn("converged", F.lit(converged)).filter("converged")
 
 
 @query(f"""WITH {EDGES_SQL} SELECT 'd' || c_custkey AS query, x AS doc FROM (SELECT c_custkey, 'n' || c_nationkey AS x FROM customer UNION SELECT c_custkey, 'r' || n_regionkey FROM customer JOIN nation ON n_nationkey = c_nationkey

@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tarnwick.functions import identity
 from tarnwick.operators import catalog, evaluation, graph, matching, precedents, retrieval
 from tarnwick.operators.components import connected_components
 
@@ -217,8 +218,35 @@ def test_ladder(spark):
     assert ladder(spark, matching.Options(margin_gate=True), candidates=close).status == "needs_review"
 
 
+def names_of(row):
+    return {v.name: v.status for v in row.validations}
+
+
+def test_scorer_never_fails(spark):
+    def broken(a, b):
+        if (a == "x").any():
+            raise RuntimeError("no answer")
+        return a.str.len() * 0.4
+
+    pairs = spark.createDataFrame([("p", "n1", "x", "l"), ("q", "n2", "a", "l"), ("q", "n3", "abcd", "l")], "product string, iri string, query string, label string")
+    got = retrieval.rescore(pairs, "query", "label", "product", "iri", F.lit(0.0), scorer=retrieval.guarded(broken)).collect()
+    assert {r.iri: r.similarity for r in got} == {"n1": 0.5, "n2": 0.4, "n3": 1.0}
+
+
+def test_functions_from_sql(spark):
+    from tarnwick.functions import similarity
+
+    similarity.register(spark)
+    row = spark.sql("SELECT uuid5('a::b') AS u, parse_temporal('2020-02') AS m, parse_temporal('2021') AS y, parse_temporal('2021-13') AS bad, parse_temporal(' 2021-03-04 ') AS d, bm25_tokens('A.b c') AS t, jaro_winkler('abc', 'abd') AS j").first()
+    assert row.u == str(__import__("uuid").uuid5(identity.NAMESPACE, "a::b"))
+    assert [str(x) for x in (*row.m, *row.y, *row.d)] == ["2020-02-01", "2020-02-29", "2021-01-01", "2021-12-31", "2021-03-04", "2021-03-04"] and row.bad is None
+    assert row.t == ["a.b", "c"] and 0.8 < row.j < 1
+
+
 def test_validation_switches(spark):
-    full = matching.Options(input_completeness=True, temporal=True)
+    full = matching.Options(input_completeness=True, temporal=True, asset_class=True)
+    off = ladder(spark, matching.Options(), raw={"asset_class": "FX"}, node_class="Bond")
+    assert names_of(off)["data_class_match"] == "pass"  # classes are compared only where the switch is set
     names = lambda r: {v.name: v.status for v in r.validations}
     assert list(names(ladder(spark))) == ["scope_compatible", "identifier_resolves", "data_class_match", "name_length", "description_length"]
     got = ladder(spark, full, name="EQ-01", raw={"coverage_start": "2021", "asset_class": "FX"}, node_class="Bond", node_coverage="2019-2020")

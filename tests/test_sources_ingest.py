@@ -174,6 +174,8 @@ def test_publish_is_idempotent(spark):
 def test_csvw_aliases():
     from tarnwick.sources import csvw
 
-    found = csvw.aliases({"tableSchema": {"columns": [{"name": "Instrument_Code", "titles": ["RIC"]}, {"name": "x1", "canonical": "name"}, {"name": "zzz"}]}})
-    assert "instrument_code" in found["product_id"] and "ric" in found["product_id"] and "x1" in found["name"]
-    assert all("zzz" not in v for v in found.values())
+    columns = [{"name": "Ticker_Code", "titles": ["RIC"]}, {"name": "x1", "canonical": "name"}, {"name": "Instrument_Code"}, {"titles": {"en": ["Summary"]}}, {"name": "x2", "propertyUrl": "http://purl.org/dc/terms/identifier"}]
+    found = csvw.aliases({"tableSchema": {"columns": columns}})
+    assert {"ticker_code", "ric", "x2"} <= set(found["product_id"]) and "x1" in found["name"] and "summary" in found["description"]
+    assert all("instrument_code" not in v for v in found.values())  # no hint for it
+    assert csvw.aliases({}) == csvw.ALIASES and csvw.aliases({"tableSchema": {"columns": {"name": "id"}}})["product_id"][0] == "product_id"
