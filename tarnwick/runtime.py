@@ -32,14 +32,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A folder of this session below ``spark.checkpoint.dir``.
 
-    All executors must see that folder. Where it is unset, as in local tests, a
-    temporary folder of this machine takes its place and is set on the context.
+    All executors must see that folder. Where it is unset in local mode, as in tests, a
+    temporary folder of this machine takes its place and is set on the context; on a
+    cluster that raises an error.
     """
     sc = spark.sparkContext
     key = sc.applicationId
     if key not in _SCRATCH:
         top = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
         if not top:
+            if sc.master != "local" and not sc.master.startswith("local["):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors see")
             top = "file://" + tempfile.mkdtemp(prefix="tarnwick-")
             sc.setCheckpointDir(top)
         _SCRATCH[key] = f"{top.rstrip('/')}/tarnwick-{uuid.uuid4().hex}"
