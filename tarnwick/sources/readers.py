@@ -131,6 +131,19 @@ def json_lines(spark: SparkSession, path: str, schema: str, comments: bool = Tru
     return kept.select(parsed.alias("p")).select("p.*")
 
 
+def golden_set(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON lines of a golden set; blank lines and # lines are skipped, one that doesn't parse is an error that names its file and line.
+
+    Each file is read whole, for its line numbers; such files are small.
+    """
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("at", "line"))
+    kept = files.filter((F.trim("line") != "") & ~F.startswith(F.trim("line"), F.lit("#")))
+    parsed = kept.withColumn("p", F.from_json("line", f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
+    wrong = F.raise_error(F.concat(F.col("file"), F.lit(":"), (F.col("at") + 1).cast("string"), F.lit(": no case of the golden set")))
+    checked = parsed.withColumn("p", F.when(F.col("p").isNull() | F.col("p._corrupt").isNotNull(), wrong).otherwise(F.col("p")))
+    return checked.select("p.*").drop("_corrupt")
+
+
 def taxonomy_json(spark: SparkSession, path: str) -> DataFrame:
     """Nodes of a JSON-LD catalogue under @graph or nodes: iri, label, parent_iri, definition, alt_labels."""
     whole = spark.read.option("multiLine", True).json(path)

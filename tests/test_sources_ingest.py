@@ -179,3 +179,11 @@ def test_csvw_aliases():
     assert {"ticker_code", "ric", "x2"} <= set(found["product_id"]) and "x1" in found["name"] and "summary" in found["description"]
     assert all("instrument_code" not in v for v in found.values())  # no hint for it
     assert csvw.aliases({}) == csvw.ALIASES and csvw.aliases({"tableSchema": {"columns": {"name": "id"}}})["product_id"][0] == "product_id"
+
+
+def test_golden_set_names_file_and_line(spark, tmp_path):
+    (tmp_path / "good.jsonl").write_text('# cases\n{"case_id": 1}\n\n{"case_id": 2}\n')
+    (tmp_path / "bad.jsonl").write_text('{"case_id": 1}\n# x\n{broken\n')
+    assert sorted(r.case_id for r in readers.golden_set(spark, str(tmp_path / "good.jsonl"), "case_id int").collect()) == [1, 2]
+    with pytest.raises(Exception, match=r"bad\.jsonl:3: no case"):
+        readers.golden_set(spark, str(tmp_path / "bad.jsonl"), "case_id int").collect()
