@@ -11,7 +11,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import identity, similarity, temporal
 from ..functions import text as tx
@@ -360,7 +359,12 @@ PAIRS_SQL = f"""names AS (SELECT DISTINCT p_name AS product FROM part), labels A
 def _labels(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     labels = part.select(F.col("p_type").alias("iri")).union(part.select("p_brand")).distinct()
-    return labels.select("iri", F.lower("iri").alias("label"), F.lower("iri").alias("lexical"), F.row_number().over(Window.orderBy("iri")).alias("ord"))
+    return labels.select("iri", F.lower("iri").alias("label"), F.lower("iri").alias("lexical"), F.col("iri").alias("ord"))
+
+
+def _nearest(spark, sf_dir):
+    names = table(spark, sf_dir, "part").select(F.col("p_name").alias("product")).distinct()
+    return retrieval.nearest(names.withColumn("query", F.col("product")), _labels(spark, sf_dir), 5)
 
 
 def _ranked(spark, sf_dir, k, **options):
@@ -379,10 +383,7 @@ def rrf_fuse(spark, sf_dir):
 
 @query(f"""WITH {PAIRS_SQL} SELECT product, iri, round(s, 4) AS similarity FROM jw QUALIFY row_number() OVER (PARTITION BY product ORDER BY round(s, 4) DESC, iri) <= 5""")
 def jw_candidates(spark, sf_dir):
-    names = table(spark, sf_dir, "part").select(F.col("p_name").alias("product")).distinct()
-    pairs = names.join(F.broadcast(_labels(spark, sf_dir)))  # one row per part type and brand
-    scored = retrieval.rescore(pairs, "product", "label", "product", "iri", F.lit(0.0), 5)
-    return scored.select("product", "iri", "similarity")
+    return _nearest(spark, sf_dir).select("product", "iri", "similarity")
 
 
 CANDIDATES_SQL = f"{PAIRS_SQL}, c AS (SELECT product, iri, round(s, 4) AS similarity, row_number() OVER (PARTITION BY product ORDER BY round(s, 4) DESC, iri) AS rank FROM jw QUALIFY rank <= 5)"
@@ -390,18 +391,14 @@ CANDIDATES_SQL = f"{PAIRS_SQL}, c AS (SELECT product, iri, round(s, 4) AS simila
 
 @query(f"WITH {CANDIDATES_SQL} SELECT product, max(similarity) FILTER (rank = 1) AS top, max(similarity) FILTER (rank > 1) AS challenger, round(max(similarity) FILTER (rank = 1) - max(similarity) FILTER (rank > 1), 6) AS margin FROM c GROUP BY 1")
 def margin_gate(spark, sf_dir):
-    names = table(spark, sf_dir, "part").select(F.col("p_name").alias("product")).distinct()
-    scored = retrieval.rescore(names.join(F.broadcast(_labels(spark, sf_dir))), "product", "label", "product", "iri", F.lit(0.0), 5)
-    return retrieval.margin(scored).withColumn("margin", F.round("margin", 6))
+    return retrieval.margin(_nearest(spark, sf_dir)).withColumn("margin", F.round("margin", 6))
 
 
 @query(f"""WITH {CANDIDATES_SQL}, b AS (SELECT product, max(similarity) FILTER (rank = 1) AS best, max(similarity) FILTER (rank = 2) AS second, max(iri) FILTER (rank = 1) AS iri FROM c GROUP BY 1)
     SELECT product, iri AS mapped_node_iri, best AS confidence, CASE WHEN best >= 0.6 THEN 'pass' WHEN best >= 0.5 THEN 'borderline' ELSE 'fail' END AS band,
            CASE WHEN best >= 0.55 AND round(best - second, 6) >= 0.02 THEN 'auto_mapped' ELSE 'needs_review' END AS status FROM b""")
 def ladder_bands(spark, sf_dir):
-    names = table(spark, sf_dir, "part").select(F.col("p_name").alias("product")).distinct()
-    scored = retrieval.rescore(names.join(F.broadcast(_labels(spark, sf_dir))), "product", "label", "product", "iri", F.lit(0.0), 5)
-    listed = scored.groupBy("product").agg(F.array_sort(F.collect_list(F.struct("rank", "iri", "similarity"))).alias("c"))
+    listed = _nearest(spark, sf_dir).groupBy("product").agg(F.array_sort(F.collect_list(F.struct("rank", "iri", "similarity"))).alias("c"))
     text, no = F.lit(None).cast("string"), F.lit(None)
     rows = listed.select(
         "product", F.transform("c", lambda x: F.struct(x["iri"].alias("iri"), x["similarity"].alias("similarity"))).alias("candidates"), F.lit(True).alias("allowed"),

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tarnwick.functions import identity
+from tarnwick.functions import identity, similarity
 from tarnwick.operators import catalog, evaluation, graph, matching, precedents, retrieval
 from tarnwick.operators.components import connected_components
 
@@ -164,6 +164,38 @@ def test_bm25_relational_and_in_task(spark):
     assert list(lexicon.bm25(query, list(range(4))).values()) == pytest.approx(wanted)
 
 
+def test_bm25_joins_terms_beyond_the_broadcast_size(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "fx spot rates"), (2, None), (3, ""), (4, "spot spot")], "id int, text string")
+    asked = spark.createDataFrame([(1, "spot fx"), (2, None)], "q int, text string")
+    run = lambda: sorted((r.query, r.doc, round(r.score, 9)) for r in retrieval.bm25(asked, docs, "q", F.col("text"), "id", F.col("text")).collect())
+    small = run()
+    monkeypatch.setattr(retrieval, "BROADCAST_BYTES", -1)
+    assert run() == small and [r[:2] for r in small] == [(1, 1), (1, 4)]
+
+
+@given(st.lists(st.text("abAB é漢", max_size=8), max_size=12), st.text("abAB é漢", max_size=8), st.integers(1, 4), st.sampled_from([0.0, 0.5]))
+@settings(max_examples=300, deadline=None)
+def test_nearest_equals_comparing_all(labels, query, k, least):
+    scored = [(round(similarity.jaro_winkler_of(query, label), 4), f"n{i:02}") for i, label in enumerate(labels)]
+    wanted = sorted(((s, iri) for s, iri in scored if s >= least), key=lambda x: (-x[0], x[1]))[:k]
+    found = retrieval._Labels([(f"n{i:02}", label) for i, label in enumerate(labels)]).best(query, k, least)
+    assert [(s, iri) for iri, s in found] == wanted
+
+
+def test_nearest_on_odd_rows(spark, monkeypatch):
+    nodes = spark.createDataFrame([("b", "Spot"), ("a", "spot"), ("c", None), ("d", ""), (None, "spat"), ("e", "x" * 100_000)], "iri string, label string")
+    products = spark.createDataFrame([(1, "spot", "x"), (1, "spot", "y"), (2, None, None), (None, "x" * 100_000, None)], "product int, query string, iri string")
+    rows = sorted(((r.product or 0, r["rank"], r.iri, r.similarity) for r in retrieval.nearest(products, nodes, 3).collect()), key=str)
+    spot = [(1, 1, "a", 1.0), (1, 2, "b", 1.0), (1, 3, None, 0.8667)]
+    assert [r for r in rows if r[0] == 1] == sorted(spot * 2, key=str)
+    assert [r[1:] for r in rows if r[0] == 2][:2] == [(1, "c", 1.0), (2, "d", 1.0)]
+    assert [r[1:] for r in rows if r[0] == 0][0] == (1, "e", 1.0)
+    assert retrieval.nearest(products, nodes.limit(0)).count() == 0 and retrieval.nearest(products.limit(0), nodes).count() == 0
+    monkeypatch.setattr(retrieval, "MOST_NODES", 5)
+    with pytest.raises(ValueError):
+        retrieval.nearest(products, nodes)
+
+
 def test_default_path(spark):
     nodes = spark.createDataFrame([("n1", "equity prices", "equity prices", 1), ("n2", "equity index", "equity index", 2), ("n3", "zz", "zz", 3)], "iri string, label string, lexical string, ord int")
     schema = "product string, query string, negatives array<string>, boosts map<string,bigint>"
