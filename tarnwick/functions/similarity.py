@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .identity import NAMESPACE
+from .text import TOKEN
 
 PREFIX, PREFIX_WEIGHT = 4, 0.1
 
@@ -74,7 +75,7 @@ def lexical_score(term: Column, label: Column, synonyms: Column) -> Column:
 def register(spark) -> None:
     """Make functions callable from SQL: jaro_winkler, bm25_tokens, uuid5, and parse_temporal for a year, a month or a day."""
     spark.udf.register("jaro_winkler", jaro_winkler)
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION bm25_tokens(x STRING) RETURNS ARRAY<STRING> RETURN filter(transform(split(lower(coalesce(x, '')), '[^a-z0-9.]+'), t -> regexp_replace(t, '^[.]+|[.]+$', '')), t -> t <> '')")
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION bm25_tokens(x STRING) RETURNS ARRAY<STRING> RETURN regexp_extract_all(lower(coalesce(x, '')), '{TOKEN}', 0)")
     digest = f"sha1(concat(unhex('{NAMESPACE.hex}'), encode(x, 'UTF-8')))"
     variant = f"substr('89ab', 1 + cast(conv(substr({digest}, 17, 1), 16, 10) AS INT) % 4, 1)"
     cuts = f"substr({digest}, 1, 8), substr({digest}, 9, 4), concat('5', substr({digest}, 14, 3)), concat({variant}, substr({digest}, 18, 3)), substr({digest}, 21, 12)"

@@ -78,10 +78,13 @@ def identifier(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(trim(c)), "[^a-z0-9]+", "_"), "^_+|_+$", "")
 
 
+#: A token: from the first letter or digit of a run to its last, with dots between.
+TOKEN = "[a-z0-9](?:[a-z0-9.]*[a-z0-9])?"
+
+
 def tokens(c: Column) -> Column:
     """Lower-case runs of a-z, 0-9 and dots, without dots at their ends; empty ones dropped. Null gives an empty array."""
-    parts = F.split(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9.]+")
-    return F.filter(F.transform(parts, lambda t: F.regexp_replace(t, r"^\.+|\.+$", "")), lambda t: t != "")
+    return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(TOKEN), F.lit(0))
 
 
 def collapse(c: Column) -> Column:

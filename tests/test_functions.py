@@ -1,4 +1,5 @@
 import datetime
+import re
 import uuid
 
 from hypothesis import given, settings
@@ -27,6 +28,14 @@ def test_dates(spark):
     assert one(spark, tx.reformat_date(F.lit("nope"), "%d-%m-%Y", "%Y%m%d")) is None
 
 
+def test_tokens_equal_split_and_strip(spark):
+    runs = ["", ".", "..a", "a..", "a.b", "..a..b..", "É.x", "A1.2-b", "x" * 1_000_000, "a" + "." * 1_000_000, "." * 1_000_000 + "b", "a. " * 300_000]
+    frame = spark.createDataFrame([(i, r) for i, r in enumerate([*runs, " ".join(runs[:8])])], "i int, t string")
+    got = {r.i: r.x for r in frame.select("i", tx.tokens(F.col("t")).alias("x")).collect()}
+    plain = lambda t: [p for p in (p.strip(".") for p in re.split(r"[^a-z0-9.]+", t.lower())) if p]
+    assert got == {r.i: plain(r.t) for r in frame.collect()}
+
+
 def test_identifier_and_tokens(spark):
     assert one(spark, tx.identifier(F.lit("  Fee (EUR) / Day! "))) == "fee_eur_day"
     assert one(spark, tx.tokens(F.lit("U.S. rates, v2.1 -- ..x.. "))) == ["u.s", "rates", "v2.1", "x"]
