@@ -25,16 +25,18 @@ def windowed_counts(stream: DataFrame, time: str, key: str, late: str = "10 minu
     return stream.withWatermark(time, late).groupBy(F.window(time, width), key).agg(F.count(F.lit(1)).alias("n"))
 
 
-def outbox(stream: DataFrame, sink: str, checkpoint: str, project: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
+def outbox(stream: DataFrame, sink: str, checkpoint: str, project: Callable[[DataFrame], DataFrame] | None = None, order: str = "created_at", most: int = 10_000) -> StreamingQuery:
     """Deliver published rows at least once to a keyed Parquet sink; a batch that runs again writes the same folder.
 
-    Other rows are consumed without being projected. Readers take the sink through
-    delivered(), which keeps one row per key.
+    Other rows are consumed without being projected. A micro-batch is delivered in files of
+    at most ``most`` rows, in the order of the column ``order``, nulls first. Its own size
+    is bounded by the source (files_per_trigger of landing()). Readers take the sink
+    through delivered(), which keeps one row per key.
     """
     def batch(rows: DataFrame, number: int) -> None:
-        kept = rows.filter("detail_type = 'published'")
+        kept = rows.filter("detail_type = 'published'").orderBy(order)
         kept = project(kept) if project else kept
-        kept.write.mode("overwrite").parquet(f"{sink}/batch={number}")
+        kept.write.mode("overwrite").option("maxRecordsPerFile", most).parquet(f"{sink}/batch={number}")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -24,6 +24,16 @@ def test_outbox_delivers_each_key_once(spark, tmp_path):
     assert sorted(r.event_id for r in streams.delivered(spark, sink).collect()) == ["1", "3"]
 
 
+def test_outbox_delivers_in_order_and_in_bounded_files(spark, tmp_path):
+    folder, sink = tmp_path / "in", f"file://{tmp_path}/sink"
+    lines(folder, "a.json", [{"event_id": str(i), "detail_type": "published", "created_at": f"2024-01-01T00:00:{i * 7 % 60:02}Z"} for i in range(50)])
+    streams.outbox(streams.landing(spark, f"file://{folder}", EVENT), sink, f"file://{tmp_path}/check", most=8).awaitTermination()
+    files = sorted((tmp_path / "sink" / "batch=0").glob("*.parquet"))
+    times = [[r.created_at for r in spark.read.parquet(f"file://{f}").collect()] for f in files]
+    assert max(map(len, times)) <= 8 and sum(map(len, times)) == 50
+    assert sum(times, []) == sorted(sum(times, []))
+
+
 def test_watermark_is_exclusive(spark, tmp_path):
     folder = tmp_path / "in"
     lines(folder, "a.json", [{"event_id": "1", "created_at": "2024-01-01T00:00:00Z"}, {"event_id": "2", "created_at": "2024-01-01T00:00:01Z"}])
