@@ -116,8 +116,9 @@ class Words:
         seen = chars[at]
         for k in range(2):
             values = _BYTES[k][seen] * _LOW[k][place & 4095]
-            if len(place) and place.max() >= 4096:
-                values *= _HIGH[k][(place >> 12) & 4095] + (place >> 24).astype(_U)
+            far = place >= 4096
+            if far.any():
+                values[far] *= _HIGH[k][(place[far] >> 12) & 4095] + (place[far] >> 24).astype(_U)
             self.hashes[k, low:high] += np.add.reduceat(values, offsets)
 
     def phrases(self, n: int) -> np.ndarray:

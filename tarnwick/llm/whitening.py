@@ -30,6 +30,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import written
+
 SCALE, SHIFT = 1024, 100_000
 COMPONENTS = 8
 #: Pairs of dimensions in one aggregation.
@@ -67,12 +69,15 @@ class Model:
 
 
 def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """vec_id and x, an array of whole numbers, of each usable vector."""
-    finite = F.forall("c", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")))
+    """vec_id and x, an array of whole numbers, of each usable vector; written, since every pass reads it."""
+    usable = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
+    finite = F.forall("c", usable)
     good = vectors.select(F.col(id_col).alias("vec_id"), F.transform(vector_col, lambda c: c.cast("double")).alias("c")).filter(F.coalesce(finite, F.lit(False)))
     sizes = good.groupBy(F.size("c").alias("size")).count().orderBy(F.desc("count"), F.desc("size")).first()
     dims = sizes["size"] if sizes else 0
-    return good.filter(F.size("c") == dims).select("vec_id", F.transform("c", lambda c: F.floor(c * SCALE).cast("bigint") + SHIFT).alias("x"))
+    # asked again for each entry, since Spark may compute x before it filters
+    whole = F.transform("c", lambda c: F.when(usable(c), F.floor(c * SCALE).cast("bigint") + SHIFT))
+    return written(good.filter(F.size("c") == dims).select("vec_id", whole.alias("x")), "vectors")
 
 
 def _centred(n: int, sums: tuple[int, ...]) -> list[str]:
