@@ -4,7 +4,7 @@ An entry c becomes the whole number x = floor(1024 * c) + 100000. Counts and sum
 Each entry is centred before anything is multiplied: the whole number nearest to the mean is
 taken off exactly, then the rest of the mean, which is below one. Spark SQL expressions,
 one for each pair of dimensions of the upper triangle, sum the centred products in one
-aggregation (one for every PAIRS pairs where there are more), so no row per pair is made
+aggregation for every PAIRS pairs, so no row per pair is made
 and a task sends one row. The driver gets those sums only, fills the matrix and decomposes
 it with LAPACK. The whitened values are expressions again, and their covariance is measured
 over all rows in one more aggregation.
@@ -34,8 +34,8 @@ from ..runtime import written
 
 SCALE, SHIFT = 1024, 100_000
 COMPONENTS = 8
-#: Pairs of dimensions in one aggregation.
-PAIRS = 4096
+#: Pairs of dimensions in one aggregation; plans of some thousand expressions take more of a small driver than it has.
+PAIRS = 520
 #: Share of the trace below which a component's variance counts as zero.
 ZERO = 1e-12
 
@@ -80,17 +80,16 @@ def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     return written(good.filter(F.size("c") == dims).select("vec_id", whole.alias("x")), "vectors")
 
 
-def _centred(n: int, sums: tuple[int, ...]) -> list[str]:
-    """SQL expressions z0, z1 and so on: each entry of x less its mean, as a double."""
-    found = []
-    for i, s in enumerate(sums):
-        near = round(Fraction(s, n))
-        found.append(f"CAST(x[{i}] - {near}L AS DOUBLE) - {_double(Fraction(s, n) - near)} AS z{i}")
-    return found
+def _array(values, kind: str) -> str:
+    return f"array({', '.join(f'{v!r}{kind}' for v in values)})"
 
 
-def _double(value) -> str:
-    return f"({float(value)!r}D)"
+def _centred(n: int, sums: tuple[int, ...]) -> str:
+    """SQL for z: each entry of x less its mean, as a double."""
+    near = [round(Fraction(s, n)) for s in sums]
+    rest = [float(Fraction(s, n) - k) for s, k in zip(sums, near)]
+    whole = f"zip_with(x, {_array(near, 'L')}, (e, k) -> CAST(e - k AS DOUBLE))"
+    return f"zip_with({whole}, {_array(rest, 'D')}, (e, k) -> e - k) AS z"
 
 
 def fit(quantised: DataFrame, components: int = COMPONENTS) -> Model | None:
@@ -99,13 +98,13 @@ def fit(quantised: DataFrame, components: int = COMPONENTS) -> Model | None:
     if not first:
         return None
     dims = first["dims"]
-    row = quantised.selectExpr("count(1)", *(f"sum(x[{i}])" for i in range(dims))).first()
+    row = quantised.selectExpr("count(1)", *(f"sum(x[{i}])" for i in range(dims))).collect()[0]
     n, sums = row[0], tuple(row[1:])
-    centred = quantised.selectExpr(*_centred(n, sums))
+    centred = quantised.selectExpr(_centred(n, sums))
     pairs = list(combinations_with_replacement(range(dims), 2))
     products: list[float] = []
     for k in range(0, len(pairs), PAIRS):
-        products += centred.selectExpr(*(f"sum(z{i} * z{j})" for i, j in pairs[k : k + PAIRS])).first()
+        products += centred.selectExpr(*(f"sum(z[{i}] * z[{j}])" for i, j in pairs[k : k + PAIRS])).collect()[0]
     covariance = np.zeros((dims, dims))
     for (i, j), total in zip(pairs, products):
         covariance[i, j] = covariance[j, i] = total / n
@@ -116,10 +115,10 @@ def fit(quantised: DataFrame, components: int = COMPONENTS) -> Model | None:
 
 
 def _with_whitened(quantised: DataFrame, model: Model, *keep: str) -> DataFrame:
-    """The columns keep of quantised(), and w0, w1 and so on: the whitened value of each component."""
-    centred = quantised.selectExpr(*keep, *_centred(model.n, model.sums))
-    projected = [" + ".join(f"z{i} * {_double(v)}" for i, v in enumerate(row)) for row in model.scaled]
-    return centred.selectExpr(*centred.columns[: len(keep)], *(f"{sql} AS w{k}" for k, sql in enumerate(projected)))
+    """The columns keep of quantised(), and w: the whitened value of each component."""
+    centred = quantised.selectExpr(*keep, _centred(model.n, model.sums))
+    projected = [f"aggregate(zip_with(z, {_array(row.tolist(), 'D')}, (e, v) -> e * v), 0D, (total, e) -> total + e)" for row in model.scaled]
+    return centred.selectExpr(*centred.columns[: len(keep)], f"array({', '.join(projected)}) AS w")
 
 
 def _identity_error(quantised: DataFrame, model: Model) -> float:
@@ -127,16 +126,16 @@ def _identity_error(quantised: DataFrame, model: Model) -> float:
     pairs = list(combinations_with_replacement(np.flatnonzero(model.usable).tolist(), 2))
     if not pairs:
         return 0.0
-    found = _with_whitened(quantised, model).selectExpr(*(f"covar_pop(w{a}, w{b})" for a, b in pairs)).first()
+    found = _with_whitened(quantised, model).selectExpr(*(f"covar_pop(w[{a}], w[{b}])" for a, b in pairs)).collect()[0]
     return max(abs(x - (a == b)) for x, (a, b) in zip(found, pairs))
 
 
 def whiten(quantised: DataFrame, model: Model) -> DataFrame:
     """vec_id, deviation and whitened (an array with the value of each component) of each row."""
-    off = f"zip_with(x, array({', '.join(f'{s}L' for s in model.sums)}), (e, s) -> CAST({model.n}L * e - s AS DECIMAL(19,0)))"
+    off = f"zip_with(x, {_array(model.sums, 'L')}, (e, s) -> CAST({model.n}L * e - s AS DECIMAL(19,0)))"
     deviation = f"aggregate({off}, CAST(0 AS DECIMAL(38,0)), (total, d) -> CAST(total + d * d AS DECIMAL(38,0))) AS deviation"
     rows = _with_whitened(quantised, model, "vec_id", deviation)
-    return rows.selectExpr("vec_id", "deviation", f"array({', '.join(f'w{k}' for k in range(len(model.eigenvalues)))}) AS whitened")
+    return rows.withColumnRenamed("w", "whitened")
 
 
 def components(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", count: int = COMPONENTS) -> DataFrame:
