@@ -1,14 +1,14 @@
 """Phrase collocation mining: sketch upper bounds give candidates, guarded automata count them.
 
-1. Sketches. Tasks hash every phrase of two words into one of 2^bits cells and send counts
-   by cell; a cell's sum over all tasks is an upper bound of the count of each phrase in
-   it. Cells that reach LEAST become a bitmap. Phrases of three and four words are put in a
-   second sketch, but only those whose pairs all lie in cells of the first bitmap. bits
-   follows the size of the texts within MOST_BITS, so a bitmap has a fixed greatest size; a
-   full one passes more candidates and changes no result.
+1. Sketches. Tasks hash every word into one of 2^bits cells and send counts by cell; a
+   cell's sum over all tasks is an upper bound of the count of each word in it. Cells that
+   reach LEAST become a bitmap. Pairs of words that are both marked are sketched likewise,
+   then phrases of three and four words whose pairs are all marked. bits follows the size
+   of the texts within MOST_BITS, so a bitmap has a fixed greatest size; a full one passes
+   more candidates and changes no result.
 2. Candidates. A further pass takes the different phrases whose cells all pass, as
-   strings. No phrase that reaches LEAST can be missing. Words are told apart by 128 bits of
-   hash there.
+   strings. No phrase that reaches LEAST can be missing: within a task phrases are told
+   apart by 64 bits of hash and their length.
 3. Counts. Candidates, with the words that are parts of them, are dealt into shards of at
    most SHARD phrases in the order of lang and phrase. Each shard is compiled into one
    pyahocorasick automaton for each lang, whose patterns have a space on both sides, as
@@ -56,9 +56,9 @@ PARTS = 64
 NORMAL = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 _U = np.uint64
 _SEED = np.random.default_rng(11)
-_BYTES = _SEED.integers(0, 1 << 64, (2, 256), dtype=_U)
+_BYTES = _SEED.integers(0, 1 << 64, 256, dtype=_U)
 #: Odd factors by place in a word (low part, high part of the place) and by place in a phrase.
-_LOW, _HIGH, _PLACE = (_SEED.integers(0, 1 << 63, (2, n), dtype=_U) * _U(2) + _U(1) for n in (4096, 4096, LONGEST))
+_LOW, _HIGH, _PLACE = (_SEED.integers(0, 1 << 63, n, dtype=_U) * _U(2) + _U(1) for n in (4096, 4096, LONGEST))
 
 
 def segments(text: str | None) -> Iterator[tuple[bytes, bytes]]:
@@ -82,7 +82,7 @@ def segments(text: str | None) -> Iterator[tuple[bytes, bytes]]:
 
 
 class Words:
-    """The words of normalised bytes: where they start and end, two hashes of each, whether a piece begins at them, and whether they count."""
+    """The words of normalised bytes: where they start and end, a hash of each, whether a piece begins at them, and whether they count."""
 
     def __init__(self, data: bytes, contexts: list[tuple[int, int]]):
         chars = np.frombuffer(data, np.uint8)
@@ -98,7 +98,7 @@ class Words:
         self.fresh = np.ones(len(self.starts), bool)
         for a, b in contexts:
             self.fresh[np.searchsorted(self.starts, a) : np.searchsorted(self.starts, b)] = False
-        self.hashes = np.zeros((2, len(self.starts)), _U)
+        self.hashes = np.zeros(len(self.starts), _U)
         for at in range(0, len(chars), CHUNK // 4):
             self._hash(chars, at, min(at + CHUNK // 4, len(chars)))
         self.hashes ^= self.hashes >> _U(32)
@@ -113,13 +113,11 @@ class Words:
         offsets = np.r_[0, sizes.cumsum()[:-1]]
         inside = np.arange(sizes.sum()) - np.repeat(offsets, sizes)
         at, place = inside + np.repeat(a, sizes), inside + np.repeat(a - self.starts[low:high], sizes)
-        seen = chars[at]
-        for k in range(2):
-            values = _BYTES[k][seen] * _LOW[k][place & 4095]
-            far = place >= 4096
-            if far.any():
-                values[far] *= _HIGH[k][(place[far] >> 12) & 4095] + (place[far] >> 24).astype(_U)
-            self.hashes[k, low:high] += np.add.reduceat(values, offsets)
+        values = _BYTES[chars[at]] * _LOW[place & 4095]
+        far = place >= 4096
+        if far.any():
+            values[far] *= _HIGH[(place[far] >> 12) & 4095] + (place[far] >> 24).astype(_U)
+        self.hashes[low:high] += np.add.reduceat(values, offsets)
 
     def phrases(self, n: int) -> np.ndarray:
         """Where phrases of n words within a piece begin whose last word counts."""
@@ -129,10 +127,10 @@ class Words:
             good &= ~self.first[k : k + size]
         return np.flatnonzero(good)
 
-    def hash(self, at: np.ndarray, n: int, k: int = 0) -> np.ndarray:
+    def hash(self, at: np.ndarray, n: int) -> np.ndarray:
         found = np.full(len(at), n, _U)
         for j in range(n):
-            found += self.hashes[k][at + j] * _PLACE[k][j]
+            found += self.hashes[at + j] * _PLACE[j]
         found ^= found >> _U(29)
         found *= _U(0xBF58476D1CE4E5B9)
         return found ^ (found >> _U(32))
@@ -146,11 +144,11 @@ def _marked(bitmap: np.ndarray, cells: np.ndarray) -> np.ndarray:
     return (bitmap[cells >> 6] >> (cells & 63).astype(_U)) & _U(1) == 1
 
 
-def _long(words: Words, n: int, pairs: np.ndarray, bits: int) -> np.ndarray:
-    """Where phrases of n words begin whose pairs are all marked."""
+def _passing(words: Words, n: int, size: int, marks: np.ndarray, bits: int) -> np.ndarray:
+    """Where phrases of n words begin whose contiguous parts of size words are all marked."""
     at = words.phrases(n)
-    for k in range(n - 1):
-        at = at[_marked(pairs, _cells(words.hash(at + k, 2), bits))]
+    for k in range(n - size + 1):
+        at = at[_marked(marks, _cells(words.hash(at + k, size), bits))]
     return at
 
 
@@ -189,13 +187,13 @@ def _lang_seed(lang: str) -> np.uint64:
     return _U(xxhash.xxh64_intdigest(lang.encode()))
 
 
-def sketch(texts: DataFrame, bits: int, pairs=None) -> DataFrame:
-    """cell and total: pairs of words, or, with the bitmap of pairs (broadcast), phrases of three and four words."""
+def sketch(texts: DataFrame, bits: int, sizes: tuple[int, ...], parts: int = 0, marks=None) -> DataFrame:
+    """cell and total of the phrases of these sizes; with marks (broadcast), of those whose parts of so many words are all marked."""
     def run(batches):
         for lang, data, contexts in _chunks(batches):
             words, salt = Words(data, contexts), _lang_seed(lang)
-            words.hashes[0] ^= salt
-            found = [words.hash(words.phrases(2), 2)] if pairs is None else [words.hash(_long(words, n, pairs.value, bits), n) for n in range(3, LONGEST + 1)]
+            words.hashes ^= salt
+            found = [words.hash(_passing(words, n, parts, marks.value, bits) if marks else words.phrases(n), n) for n in sizes]
             cells, counts = np.unique(np.concatenate([_cells(h, bits) for h in found]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(counts.astype(np.int64))], ["cell", "total"])
 
@@ -217,20 +215,22 @@ def candidates(texts: DataFrame, bits: int, pairs, longer) -> DataFrame:
         seen: dict[str, np.ndarray] = {}
         for lang, data, contexts in _chunks(batches):
             words, salt = Words(data, contexts), _lang_seed(lang)
-            words.hashes[0] ^= salt
+            words.hashes ^= salt
             own, out = seen.get(lang, np.zeros(0, _U)), []
+            sizes = np.r_[0, (words.ends - words.starts).cumsum()]
             for n in range(2, LONGEST + 1):
-                at = _long(words, n, pairs.value, bits)
+                at = _passing(words, n, 2, pairs.value, bits)
                 h = words.hash(at, n)
                 if n > 2:
                     passed = _marked(longer.value, _cells(h, bits))
                     at, h = at[passed], h[passed]
-                other = words.hash(at, n, 1)
+                size = sizes[at + n] - sizes[at]
                 kept, first, back = np.unique(h, return_index=True, return_inverse=True)
-                clash = np.flatnonzero(other != other[first][back])  # another phrase of the same hash
-                fresh = ~np.isin(kept ^ other[first], own)
+                clash = np.flatnonzero(size != size[first][back])  # another phrase of the same hash
+                named = kept ^ (size[first].astype(_U) * _PLACE[0])
+                fresh = ~np.isin(named, own)
                 out += [(i, n) for i in (*at[first[fresh]].tolist(), *at[clash].tolist())]
-                own = np.union1d(own, (kept ^ other[first])[fresh])
+                own = np.union1d(own, named[fresh])
             seen[lang] = own
             if sum(map(len, seen.values())) > 1 << 21:
                 seen.clear()
@@ -344,11 +344,13 @@ def phrase_counts(texts: DataFrame, least: int = LEAST, bits: int | None = None,
     if bits is None:
         size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(size / 4 + 1))))
-    pairs = sc.broadcast(bitmap(sketch(texts, bits), bits, least))
-    longer = sc.broadcast(bitmap(sketch(texts, bits, pairs), bits, least))
+    words = sc.broadcast(bitmap(sketch(texts, bits, (1,)), bits, least))
+    pairs = sc.broadcast(bitmap(sketch(texts, bits, (2,), 1, words), bits, least))
+    longer = sc.broadcast(bitmap(sketch(texts, bits, tuple(range(3, LONGEST + 1)), 2, pairs), bits, least))
+    words.unpersist()
     found = written(candidates(texts, bits, pairs, longer), "candidates")
-    words = F.split("phrase", " ", -1)
-    ends = found.select("lang", F.explode(F.array(words[0], F.element_at(words, -1))).alias("phrase")).distinct()
+    split = F.split("phrase", " ", -1)
+    ends = found.select("lang", F.explode(F.array(split[0], F.element_at(split, -1))).alias("phrase")).distinct()
     counted = count(texts, found.unionByName(ends), shard_size)
     return written(counted.filter((F.col("n") >= least) | ~F.contains("phrase", F.lit(" "))), "phrase-counts")
 
