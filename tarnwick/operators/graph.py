@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.text import definition
 from ..runtime import written
 from .components import connected_components
+from .cycles import cyclic_components  # noqa: F401  one of the graph operators
 
 SKOS, DCT, RDFS = "http://www.w3.org/2004/02/skos/core#", "http://purl.org/dc/terms/", "http://www.w3.org/2000/01/rdf-schema#"
 DCAT, OWL, RDF = "http://www.w3.org/ns/dcat#", "http://www.w3.org/2002/07/owl#", "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
@@ -160,27 +161,6 @@ def diagnostics(nodes: DataFrame, limit: int = 100) -> DataFrame:
     return missing.unionByName(crossed).unionByName(asymmetric).distinct().orderBy("o", "source", "target").limit(limit).drop("o")
 
 
-def cyclic_components(edges: DataFrame) -> DataFrame:
-    """node and component of every strong component with over one node, and of nodes with a self loop.
-
-    Nodes that lose all edges in one direction can't lie on a cycle and are trimmed first;
-    what is left is split by who reaches whom.
-    """
-    step = written(edges.select("child", "parent").distinct(), "edges")
-    loops = step.filter("child = parent").select(F.col("child").alias("node"))
-    core = step.filter("child <> parent")
-    while True:
-        trimmed = written(core.join(core.select(F.col("parent").alias("child")).distinct(), "child", "left_semi").join(core.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi"), "core")
-        if trimmed.count() == core.count():
-            break
-        core = trimmed
-    up = closure(core)
-    mutual = up.join(up.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("node")), ["node", "ancestor"])
-    strong = mutual.groupBy("node").agg(F.least(F.min("ancestor"), F.col("node")).alias("component"))
-    alone = loops.join(strong, "node", "left_anti").select("node", F.col("node").alias("component"))
-    return strong.unionByName(alone)
-
-
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """node, component and orphan (without any edge) of every node."""
     found = connected_components(edges.filter("child <> parent"), "child", "parent")
