@@ -156,7 +156,7 @@ def notification_refs(spark, sf_dir):
     wrap = lambda body: F.to_json(F.struct(F.array(F.struct(body.alias("body"))).alias("Records")))
     kind = F.col("event_id") % 4
     body = F.when(kind == 0, direct).when(kind == 1, record).when(kind == 2, wrap(record)).otherwise(wrap(wrap(direct)))
-    return readers.object_refs(e.select(body.alias("body")), depth=4)
+    return readers.object_refs(e.select(body.alias("body")))
 
 
 RDF_SQL = """SELECT 'urn:n' || n_nationkey AS subject, 'http://www.w3.org/2004/02/skos/core#prefLabel' AS predicate, n_name AS object, false AS object_is_iri, 'g' AS graph FROM nation

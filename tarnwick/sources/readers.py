@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import first_truthy
+from ..runtime import written
 from . import rdf, xlsx
 
 #: Largest upload that read_upload() takes as a whole.
@@ -168,15 +169,20 @@ def taxonomy_json(spark: SparkSession, path: str) -> DataFrame:
 _REF = "struct<detail:struct<bucket:struct<name:string>,object:struct<key:string>>,Records:array<struct<body:string,s3:struct<bucket:struct<name:string>,object:struct<key:string>>>>>"
 
 
-def object_refs(events: DataFrame, body: str = "body", depth: int = 3) -> DataFrame:
-    """bucket and key of every object that notifications name, directly or wrapped in queue messages up to depth times."""
+def object_refs(events: DataFrame, body: str = "body") -> DataFrame:
+    """bucket and key of every object that notifications name, directly or wrapped in queue messages, however often.
+
+    Each level of wrapping is one round, written; the last one holds no wrapped record.
+    """
     found, level = [], events.select(F.col(body).alias("b"))
-    for _ in range(depth):
+    while True:
         parsed = level.select(F.from_json("b", _REF).alias("e"))
         found.append(parsed.select(F.col("e.detail.bucket.name").alias("bucket"), F.col("e.detail.object.key").alias("key")))
         records = parsed.filter("e.detail.bucket.name IS NULL").select(F.explode("e.Records").alias("r"))
         found.append(records.filter("r.body IS NULL").select(F.col("r.s3.bucket.name").alias("bucket"), F.col("r.s3.object.key").alias("key")))
-        level = records.filter("r.body IS NOT NULL").select(F.col("r.body").alias("b"))
+        level = written(records.filter("r.body IS NOT NULL").select(F.col("r.body").alias("b")), "wrapped")
+        if level.isEmpty():
+            break
     refs = reduce(DataFrame.unionByName, found).filter("bucket IS NOT NULL AND key IS NOT NULL")
     return refs.select("bucket", F.url_decode("key").alias("key"))
 

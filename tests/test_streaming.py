@@ -58,3 +58,19 @@ def test_journal_folds(spark, tmp_path):
     streams.journal(streams.landing(spark, f"file://{folder}", DECISION), table, f"file://{tmp_path}/check").awaitTermination()
     positive, negative = streams.state(spark, table)
     assert positive.count() == 0 and [r.node_iri for r in negative.select(F.col("node_iri")).collect()] == ["a"]
+
+
+def test_sweep_isolates_rows_and_delivers_once_to_readers(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame([(i, i, "published" if i % 2 else "draft", str(i)) for i in range(12)], "event_id bigint, created_at int, detail_type string, payload string")
+    sink, ledger = f"{tmp_path}/sink", f"{tmp_path}/ledger"
+
+    def project(payload):
+        return f"doc {1 // (int(payload) - 5) * 0 + int(payload)}"
+
+    first = streams.sweep(rows, sink, ledger, project, most=4)
+    assert [(r.event_id, r.error[:17]) for r in first.collect()] == [(5, "ZeroDivisionError")]
+    assert sorted(r.event_id for r in streams.delivered(spark, sink).collect()) == [1, 3, 7]
+    spark.read.parquet(ledger).filter("event_id <> 7").write.parquet(f"{ledger}-lost")  # a crash before 7 was acknowledged
+    assert streams.sweep(rows, sink, f"{ledger}-lost", project).count() == 1
+    assert sorted((r.event_id, r.body) for r in streams.delivered(spark, sink).collect()) == [(i, f"doc {i}") for i in (1, 3, 7, 9, 11)]
+    assert [r.event_id for r in streams.sweep(rows, sink, f"{ledger}-lost", project).collect()] == [5]
