@@ -50,6 +50,8 @@ SHARE = 80
 WORD = r"[^\x20\x09.,;:!?\x0A-\x0D]+"
 SHARD, SEGMENT, CHUNK = 200_000, 1 << 20, 1 << 22
 LEAST_BITS, MOST_BITS = 16, 30
+#: Tasks for each core in passes that give out every phrase once a task, and the most input partitions that one of them takes.
+WAVES, MERGED = 2, 16
 #: Rows of a lang are first ranked in so many parts.
 PARTS = 64
 #: Lower-cases A-Z; ends of pieces become line ends and tabs spaces.
@@ -181,6 +183,12 @@ def _texts(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
 
 
+def _gathered(texts: DataFrame) -> DataFrame:
+    """texts in fewer, larger partitions: most tasks meet most phrases, so what they give out grows with their number."""
+    n, cores = texts.rdd.getNumPartitions(), texts.sparkSession.sparkContext.defaultParallelism
+    return texts.coalesce(max(WAVES * cores, -(-n // MERGED)))
+
+
 def _lang_seed(lang: str) -> np.uint64:
     import xxhash
 
@@ -237,7 +245,7 @@ def candidates(texts: DataFrame, bits: int, pairs, longer) -> DataFrame:
             found = [" ".join(data[words.starts[i + j] : words.ends[i + j]].decode() for j in range(n)) for i, n in out]
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found, pa.string())], ["lang", "phrase"])
 
-    return texts.mapInArrow(run, "lang string, phrase string").distinct()
+    return _gathered(texts).mapInArrow(run, "lang string, phrase string").distinct()
 
 
 @functools.lru_cache(maxsize=1)
@@ -284,7 +292,7 @@ def _scanned(texts: DataFrame, shard) -> DataFrame:
             some = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array([shard.value[lang][k] for k in some], pa.string()), pa.array(own[some])], ["lang", "phrase", "n"])
 
-    return texts.mapInArrow(run, "lang string, phrase string, n bigint").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    return _gathered(texts).mapInArrow(run, "lang string, phrase string, n bigint").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
 
 def _guarded(data: bytes) -> str:
