@@ -2,31 +2,29 @@
 
 from __future__ import annotations
 
-import bisect
 import math
 import re
 from collections import Counter
 from collections.abc import Callable
-from decimal import ROUND_HALF_UP, Decimal
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.similarity import PREFIX, PREFIX_WEIGHT, jaro_winkler, jaro_winkler_of
+from ..functions.similarity import jaro_winkler, jaro_winkler_of
 from ..functions.text import dense_text, lexical_text, query_text, tokens
 from ..runtime import written
+from .label_search import MOST_RESULTS, nearest  # noqa: F401  nearest is part of retrieval
 from .matching import Options
 
 K1, B = 1.5, 0.75
 RRF_K = 60
-NOMINATED, MOST_RESULTS = 25, 25
+NOMINATED = 25
 TILT, MOST_TILT = 0.02, 0.10
 #: What a candidate scores where no dense scorer works.
 DEGRADED = 0.5
-#: Largest taxonomy that rank_all() and nearest() hold in each task; a larger one goes through nominate() first.
+#: Largest taxonomy that rank_all() holds in each task; a larger one goes through nominate() first.
 MOST_NODES = 50_000
 #: Query terms up to this size are broadcast to the documents, larger sets are joined on terms.
 BROADCAST_BYTES = 64 << 20
@@ -148,72 +146,6 @@ def _held(nodes: DataFrame) -> list[tuple]:
     return [tuple(r) for r in rows]
 
 
-class _Labels:
-    """Labels with what bounds their Jaro-Winkler similarity from above: length, first characters and counts of characters.
-
-    Characters are counted in FOLD classes. Matching characters agree in their class, so
-    the common part of two counts is at least their number.
-    """
-
-    FOLD = 64
-
-    def __init__(self, nodes: list[tuple[str, str]]):
-        self.nodes = [(iri, (label or "").lower().strip()) for iri, label in nodes]
-        self.counts = np.array([self._count(label) for _, label in self.nodes], dtype=np.int32).reshape(-1, self.FOLD)
-        self.heads = np.array([self._head(label, -1) for _, label in self.nodes], dtype=np.int64).reshape(-1, PREFIX)
-        self.sizes = np.array([len(label) for _, label in self.nodes], dtype=np.int64)
-
-    def _count(self, text: str):
-        return np.bincount(np.array([ord(c) % self.FOLD for c in text], dtype=np.int64), minlength=self.FOLD)
-
-    def _head(self, text: str, missing: int) -> list[int]:
-        return [ord(c) for c in text[:PREFIX]] + [missing] * (PREFIX - len(text))
-
-    def bounds(self, query: str):
-        if not query:
-            return (self.sizes == 0).astype(float)
-        common = np.minimum(self.counts, self._count(query)).sum(axis=1)
-        jaro = (common / len(query) + common / np.maximum(self.sizes, 1) + 1) / 3
-        prefix = np.cumprod(self.heads == self._head(query, -2), axis=1).sum(axis=1)
-        return np.where(common > 0, jaro + prefix * PREFIX_WEIGHT * (1 - jaro), 0.0)
-
-    def best(self, query: str | None, k: int, least: float) -> list[tuple[str, float]]:
-        query = (query or "").lower().strip()
-        bounds = self.bounds(query)
-        found: list[tuple] = []
-        for i in np.argsort(-bounds, kind="stable"):
-            iri, label = self.nodes[i]
-            if bounds[i] + 1e-4 < (-found[k - 1][0] if len(found) >= k else least):  # 1e-4: more than rounding adds
-                break
-            score = float(Decimal(repr(jaro_winkler_of(query, label))).quantize(Decimal("0.0001"), ROUND_HALF_UP))
-            if score >= least:
-                bisect.insort(found, (-score, iri is not None, iri or ""))
-                del found[k:]
-        return [(iri if named else None, -score) for score, named, iri in found]
-
-
-def nearest(products: DataFrame, nodes: DataFrame, k: int = 10, min_similarity: float = 0.0) -> DataFrame:
-    """product, iri, similarity and rank of the k nodes most similar to each product, without a row per pair.
-
-    products: product, query. nodes: iri, label. The similarity is Jaro-Winkler at four
-    places, equal ones are ordered by iri. Nodes are taken in the order of an upper bound of
-    their similarity until none of the rest can be among the best, so the result is that
-    of comparing all. A null text is empty; a repeated product has its nodes once for
-    each row, a repeated node counts each time; without nodes there are no rows.
-    """
-    k = max(1, min(k, MOST_RESULTS))
-    shared = products.sparkSession.sparkContext.broadcast(_held(nodes.select("iri", "label")))
-
-    def run(frames):
-        labels = _Labels(shared.value)
-        for frame in frames:
-            rows = [(product, iri, score, rank) for product, query in frame[["product", "query"]].itertuples(index=False) for rank, (iri, score) in enumerate(labels.best(query, k, min_similarity), 1)]
-            yield pd.DataFrame(rows, columns=["product", "iri", "similarity", "rank"])
-
-    kind = products.schema["product"].dataType.simpleString()
-    return products.select("product", "query").mapInPandas(run, f"product {kind}, iri string, similarity double, rank int")
-
-
 def rank_all(products: DataFrame, nodes: DataFrame, k: int = 10, min_similarity: float = 0.0) -> DataFrame:
     """The default path: every product against every node, without a row per pair.
 

@@ -386,6 +386,17 @@ def jw_candidates(spark, sf_dir):
     return _nearest(spark, sf_dir).select("product", "iri", "similarity")
 
 
+@query(f"""WITH parts AS (SELECT p_partkey AS product, concat_ws(' ', p_name, p_type, p_size) AS text FROM part), asked AS (SELECT DISTINCT text FROM parts), labels AS (SELECT concat_ws('/', p_brand, p_name) AS iri, lower(concat_ws(' ', p_name, p_brand)) AS label FROM part GROUP BY ALL),
+    jw AS (SELECT text, iri, round({JW_SQL.format(a="lower(text)", b="label")}, 4) AS similarity FROM asked, labels), best AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY similarity DESC, iri) AS rank FROM jw QUALIFY rank <= 3)
+    SELECT product, iri, similarity, rank FROM parts JOIN best USING (text)""")
+def nearest_labels(spark, sf_dir):
+    """Every part against every name of a brand, by blocks of labels as for a taxonomy that no task could hold."""
+    part = table(spark, sf_dir, "part")
+    asked = part.select(F.col("p_partkey").alias("product"), F.concat_ws(" ", "p_name", "p_type", F.col("p_size").cast("string")).alias("query"))
+    labels = part.select(F.concat_ws("/", "p_brand", "p_name").alias("iri"), F.concat_ws(" ", "p_name", "p_brand").alias("label")).distinct()
+    return retrieval.nearest(asked, labels, 3, held_bytes=0, block=128).withColumn("rank", F.col("rank").cast("bigint"))
+
+
 CANDIDATES_SQL = f"{PAIRS_SQL}, c AS (SELECT product, iri, round(s, 4) AS similarity, row_number() OVER (PARTITION BY product ORDER BY round(s, 4) DESC, iri) AS rank FROM jw QUALIFY rank <= 5)"
 
 

@@ -1,5 +1,6 @@
 import datetime
 import json
+import random
 
 import numpy as np
 import pytest
@@ -8,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tarnwick.functions import identity, similarity
-from tarnwick.operators import catalog, evaluation, graph, matching, precedents, retrieval
+from tarnwick.operators import catalog, evaluation, graph, label_search, matching, precedents, retrieval
 from tarnwick.operators.components import connected_components
 
 NAMED = "vendor string, product_id string, name string, node_iri string, decision string, decided_by string, confidence double, provisional boolean, decided_at_ms bigint, seq bigint"
@@ -178,22 +179,45 @@ def test_bm25_joins_terms_beyond_the_broadcast_size(spark, monkeypatch):
 def test_nearest_equals_comparing_all(labels, query, k, least):
     scored = [(round(similarity.jaro_winkler_of(query, label), 4), f"n{i:02}") for i, label in enumerate(labels)]
     wanted = sorted(((s, iri) for s, iri in scored if s >= least), key=lambda x: (-x[0], x[1]))[:k]
-    found = retrieval._Labels([(f"n{i:02}", label) for i, label in enumerate(labels)]).best(query, k, least)
+    found = label_search.Labels([(f"n{i:02}", label) for i, label in enumerate(labels)]).best(query, k, least)
     assert [(s, iri) for iri, s in found] == wanted
 
 
-def test_nearest_on_odd_rows(spark, monkeypatch):
+@given(st.lists(st.text("abAB é漢", max_size=8), min_size=1, max_size=12), st.text("abAB é漢", max_size=8))
+@settings(max_examples=300, deadline=None)
+def test_summaries_bound_every_label(labels, query):
+    summary = label_search.Summaries([label_search.Summaries.of(label_search.Labels([(None, x) for x in labels[i : i + 5]]), 7) for i in range(0, len(labels), 5)])
+    best = max(similarity.jaro_winkler_of(query, x) for x in labels)
+    assert summary.blocks.tolist() == [7] and summary.bounds(query.lower().strip())[0] >= best - 1e-9
+
+
+@pytest.mark.parametrize("held", [1 << 20, 0])
+def test_nearest_on_odd_rows(spark, held):
     nodes = spark.createDataFrame([("b", "Spot"), ("a", "spot"), ("c", None), ("d", ""), (None, "spat"), ("e", "x" * 100_000)], "iri string, label string")
     products = spark.createDataFrame([(1, "spot", "x"), (1, "spot", "y"), (2, None, None), (None, "x" * 100_000, None)], "product int, query string, iri string")
-    rows = sorted(((r.product or 0, r["rank"], r.iri, r.similarity) for r in retrieval.nearest(products, nodes, 3).collect()), key=str)
+    run = lambda a, b: retrieval.nearest(a, b, 3, held_bytes=held, block=2)
+    rows = sorted(((r.product or 0, r["rank"], r.iri, r.similarity) for r in run(products, nodes).collect()), key=str)
     spot = [(1, 1, "a", 1.0), (1, 2, "b", 1.0), (1, 3, None, 0.8667)]
     assert [r for r in rows if r[0] == 1] == sorted(spot * 2, key=str)
     assert [r[1:] for r in rows if r[0] == 2][:2] == [(1, "c", 1.0), (2, "d", 1.0)]
     assert [r[1:] for r in rows if r[0] == 0][0] == (1, "e", 1.0)
-    assert retrieval.nearest(products, nodes.limit(0)).count() == 0 and retrieval.nearest(products.limit(0), nodes).count() == 0
-    monkeypatch.setattr(retrieval, "MOST_NODES", 5)
-    with pytest.raises(ValueError):
-        retrieval.nearest(products, nodes)
+    assert run(products, nodes.limit(0)).count() == 0 and run(products.limit(0), nodes).count() == 0
+    assert run(products, nodes.filter("iri IS NULL")).count() == 4
+
+
+def test_nearest_by_blocks_equals_comparing_all(spark, monkeypatch):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(0, 14)))
+    labels = [word() for _ in range(400)]
+    nodes = [(f"n{i:03}", x) for i, x in enumerate(labels + labels[:50] + ["same"] * 60)]
+    asked = [(i, word() if i % 3 else "hot text") for i in range(90)] + [(90, "same")]
+    monkeypatch.setattr(label_search, "VISITS", 8)
+    found = retrieval.nearest(spark.createDataFrame(asked, "product int, query string"), spark.createDataFrame(nodes, "iri string, label string"), 4, 0.3, held_bytes=0, block=16).collect()
+    wanted = []
+    for product, query in asked:
+        scored = [(-round(similarity.jaro_winkler_of(query, label), 4), iri) for iri, label in nodes]
+        wanted += [(product, rank, iri, -s) for rank, (s, iri) in enumerate(sorted(x for x in scored if -x[0] >= 0.3)[:4], 1)]
+    assert sorted((r.product, r["rank"], r.iri, r.similarity) for r in found) == sorted(wanted)
 
 
 def test_default_path(spark):
