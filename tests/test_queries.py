@@ -6,7 +6,7 @@ import decimal
 import duckdb
 import pytest
 
-from tarnwick.plans import rule_queries, source_queries  # noqa: F401  they add to QUERIES
+from tarnwick.plans import rule_queries, source_queries, stream_queries  # noqa: F401  they add to QUERIES
 from tarnwick.plans.queries import ORACLE_SQL, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
