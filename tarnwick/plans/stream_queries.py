@@ -33,7 +33,7 @@ def swept_orders(spark, sf_dir):
     kept = (F.col("o_orderstatus") != "P") | (F.col("o_orderkey") % 2 == 0)
     line = F.to_json(F.struct("o_orderkey", "o_custkey", "o_orderstatus"))
     orders.filter(kept).select(line.alias("value"), F.col("o_orderstatus").alias("status")).write.partitionBy("status").text(f"{folder}/good")
-    orders.filter(~kept).select(F.concat(line, F.lit("}")).alias("value")).unionByName(spark.createDataFrame([("{broken",)], "value string")).write.text(f"{folder}/bad")
+    orders.filter(~kept).select(F.concat(F.lit("{"), line).alias("value")).write.text(f"{folder}/bad")
     schema = "o_orderkey bigint, o_custkey bigint, o_orderstatus string"
     for _ in range(3):
         etl.sweep_folder(spark, "orders", folder, schema, sink, ledger)
