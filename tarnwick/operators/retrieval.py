@@ -183,30 +183,48 @@ def rank_all(products: DataFrame, nodes: DataFrame, k: int = 10, min_similarity:
 def guarded(scorer: Callable[[pd.Series, pd.Series], pd.Series]) -> Callable[[Column, Column], Column]:
     """A scorer of two series, as a function of columns that never fails: scores are held within 0 and 1.
 
-    Where it raises, or has no number for a pair, the pair is scored alone, and has the
-    degraded score if that fails too.
+    Where it raises, halves are scored until the pairs that fail are found; a pair without a
+    number is scored alone. What fails alone has the degraded score.
     """
-    def alone(a, b) -> float:
+    def some(a: pd.Series, b: pd.Series) -> list[float]:
+        """Scores of a part; where it raises, of its halves."""
         try:
-            value = float(scorer(pd.Series([a]), pd.Series([b])).iloc[0])
+            found = [float(s) for s in pd.Series(scorer(a, b), dtype="float64")]
+            if len(found) != len(a):
+                raise ValueError("a score is missing")
         except Exception:
-            return DEGRADED
-        return DEGRADED if math.isnan(value) else value
+            half = len(a) // 2
+            halves = [(a[:half], b[:half]), (a[half:], b[half:])] if half else []
+            return [s for x, y in halves for s in some(x.reset_index(drop=True), y.reset_index(drop=True))] if halves else [DEGRADED] * len(a)
+        if len(found) == 1:
+            return [DEGRADED if math.isnan(found[0]) else found[0]]
+        return [some(a[i : i + 1].reset_index(drop=True), b[i : i + 1].reset_index(drop=True))[0] if math.isnan(s) else s for i, s in enumerate(found)]
 
     @F.pandas_udf("double")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        try:
-            found = pd.Series(scorer(a, b), dtype="float64").reset_index(drop=True)
-            if len(found) != len(a):
-                raise ValueError("a score is missing")
-        except Exception:
-            found = pd.Series([math.nan] * len(a))
-        again = [alone(x, y) if math.isnan(s) else s for x, y, s in zip(a, b, found)]
-        return pd.Series(again, dtype="float64").clip(0.0, 1.0)
+        return pd.Series(some(a, b), dtype="float64").clip(0.0, 1.0)
 
     return run
 
 
+def _asked(products: DataFrame) -> DataFrame:
+    return products.select("product", query_text(F.col("name"), F.col("description"), F.col("product").cast("string")).alias("text"))
+
+
+def nominations(products: DataFrame, nodes: DataFrame, edges: DataFrame, options: Options = Options()) -> DataFrame:
+    """query (a product) and doc (an iri) of all nominated pairs of the multi-path form, with neighbours where options.subsumption is set.
+
+    shadow_diff() of two of these shows what a switch would change without letting it decide.
+    """
+    asked = _asked(products)
+    signals = F.array_join(F.array_distinct(F.array_compact("signals")), " ")
+    lexical = lexical_text(F.col("label"), F.col("alt_labels"), F.col("definition"), [signals], options.taxonomy_text, options.signal_text)
+    docs = nodes.select("iri", lexical.alias("text"))
+    scored = bm25(asked, docs, "product", F.col("text"), "iri", F.col("text"))
+    found = nominate(scored, NOMINATED, asked.select(F.col("product").alias("query")), docs.select(F.col("iri").alias("doc"))).select("query", "doc")
+    return expand(found, edges).join(docs.select(F.col("iri").alias("doc")), "doc", "left_semi") if options.subsumption else found
+
+
 def multi_path(products: DataFrame, nodes: DataFrame, edges: DataFrame, negatives: DataFrame, boosts: DataFrame, options: Options = Options(), k: int = 10, min_similarity: float = 0.0, scorer=jaro_winkler) -> DataFrame:
     """The multi-path form as a whole: product, iri, similarity, order and rank of the best candidates of each product.
 
@@ -219,16 +237,10 @@ def multi_path(products: DataFrame, nodes: DataFrame, edges: DataFrame, negative
     products: product, name, description. nodes: iri, label, alt_labels, definition,
     signals (array of text).
     """
-    asked = products.select("product", query_text(F.col("name"), F.col("description"), F.col("product").cast("string")).alias("text"))
-    signals = F.array_join(F.array_distinct(F.array_compact("signals")), " ")
-    lexical = lexical_text(F.col("label"), F.col("alt_labels"), F.col("definition"), [signals], options.taxonomy_text, options.signal_text)
-    docs = nodes.select("iri", lexical.alias("text"))
-    scored = bm25(asked, docs, "product", F.col("text"), "iri", F.col("text"))
-    found = nominate(scored, NOMINATED, asked.select(F.col("product").alias("query")), docs.select(F.col("iri").alias("doc"))).select("query", "doc")
-    found = expand(found, edges).join(docs.select(F.col("iri").alias("doc")), "doc", "left_semi") if options.subsumption else found
+    found = nominations(products, nodes, edges, options)
     pairs = drop_negatives(found.select(F.col("query").alias("product"), F.col("doc").alias("iri")), negatives, ["product", "iri"])
     labels = nodes.select("iri", dense_text(F.col("label"), F.col("definition"), options.taxonomy_text).alias("label"))
-    full = pairs.join(labels, "iri").join(asked.withColumnRenamed("text", "query"), "product").join(boosts.select("product", "iri", F.col("n").alias("confirmed")), ["product", "iri"], "left")
+    full = pairs.join(labels, "iri").join(_asked(products).withColumnRenamed("text", "query"), "product").join(boosts.select("product", "iri", F.col("n").alias("confirmed")), ["product", "iri"], "left")
     return rescore(full, "query", "label", "product", "iri", tilt(F.col("confirmed")), k, min_similarity, scorer).select("product", "iri", "similarity", "order", "rank")
 
 

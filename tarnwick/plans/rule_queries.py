@@ -208,6 +208,87 @@ def multi_path_precedents(spark, sf_dir):
     return retrieval.retrieve(products, nodes, _nothing(spark)[0], pairs.filter(number % 4 == 0), boosts, matching.Options(multi_path=True), 3).select("product", "iri", "similarity")
 
 
+# The multi-path form where nomination decides: a node for every name of a brand, hundreds in all, of which 25 are nominated.
+
+
+def _chosen_sql(name: str, text: str, expand: bool = False) -> str:
+    """The nominated pairs (product, iri) by BM25 of text as a table of this name."""
+    wide = f"""SELECT product, iri FROM {name}_best UNION SELECT product, parent FROM {name}_best JOIN nodes USING (iri) UNION SELECT product, n.iri FROM {name}_best b JOIN nodes n ON n.parent = b.iri"""
+    return f"""{name}_docs AS (SELECT iri, {TOKENS_SQL.format(f'({text})')} AS terms FROM nodes), {name}_stats AS (SELECT count(*) AS n, avg(len(terms)) AS avgdl FROM {name}_docs),
+    {name}_tf AS (SELECT iri, dl, term, count(*) AS tf FROM (SELECT iri, len(terms) AS dl, unnest(terms) AS term FROM {name}_docs) GROUP BY ALL), {name}_df AS (SELECT term, count(*) AS df FROM {name}_tf GROUP BY 1),
+    {name}_s AS (SELECT product, iri, round(sum(qf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM qf JOIN {name}_df USING (term) JOIN {name}_tf USING (term), {name}_stats GROUP BY ALL),
+    {name}_best AS (SELECT product, iri FROM {name}_s QUALIFY row_number() OVER (PARTITION BY product ORDER BY score DESC, iri) <= 25), {name} AS ({wide if expand else f"SELECT product, iri FROM {name}_best"})"""
+
+
+NAMED_SQL = f"""nodes AS (SELECT p_brand || '/' || p_name AS iri, p_name || ' ' || p_brand AS label, 'kind ' || min(p_type) AS definition, 'grade' || min(p_size) AS signal, p_brand || '/' || min(min(p_name)) OVER (PARTITION BY p_brand) AS parent FROM part GROUP BY p_brand, p_name),
+    asked AS (SELECT p_partkey AS product, p_name || ' ' || p_type || ' grade' || p_size AS text FROM part),
+    q AS (SELECT product, unnest({TOKENS_SQL.format('text')}) AS term FROM asked), qf AS (SELECT product, term, count(*) AS qf FROM q GROUP BY ALL)"""
+LEXICAL_SQL = {"label": "label", "text": "label || ' ' || definition", "signal": "label || ' ' || definition || ' ' || signal"}
+
+
+def _named_sql(lexical: str, dense: str = "lower(label || ' ' || definition)", expand: bool = False, score: str | None = None) -> str:
+    score = score or JW_SQL.format(a="lower(text)", b=dense)
+    return f"""WITH {NAMED_SQL}, {_chosen_sql("nom", LEXICAL_SQL[lexical], expand)}, jw AS (SELECT product, iri, round({score}, 4) AS similarity FROM nom JOIN asked USING (product) JOIN nodes USING (iri))
+    SELECT product, iri, similarity FROM jw QUALIFY row_number() OVER (PARTITION BY product ORDER BY similarity DESC, iri) <= 3"""
+
+
+def _named(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Products, nodes and edges; a brand's first name is the parent of its others."""
+    part = table(spark, sf_dir, "part")
+    iri = F.concat("p_brand", F.lit("/"), "p_name").alias("iri")
+    nodes = part.groupBy("p_brand", "p_name").agg(F.concat(F.lit("kind "), F.min("p_type")).alias("definition"), F.array(F.concat(F.lit("grade"), F.min("p_size"))).alias("signals"))
+    first = part.groupBy("p_brand").agg(F.min("p_name").alias("first"))
+    edges = nodes.join(first, "p_brand").select(iri.alias("child"), F.concat("p_brand", F.lit("/"), "first").alias("parent"))
+    nodes = nodes.select(iri, F.concat("p_name", F.lit(" "), "p_brand").alias("label"), F.array().cast("array<string>").alias("alt_labels"), "definition", "signals")
+    return part.select(F.col("p_partkey").alias("product"), F.col("p_name").alias("name"), F.concat("p_type", F.lit(" grade"), "p_size").alias("description")), nodes, edges
+
+
+def _named_path(spark, sf_dir, scorer=similarity.jaro_winkler, **switches):
+    products, nodes, edges = _named(spark, sf_dir)
+    return retrieval.retrieve(products, nodes, edges, *_nothing(spark)[1:], matching.Options(multi_path=True, **switches), 3, scorer=scorer).select("product", "iri", "similarity")
+
+
+@query(_named_sql("label", "lower(label)"))
+def nominated_labels(spark, sf_dir):
+    return _named_path(spark, sf_dir)
+
+
+@query(_named_sql("text"))
+def nominated_texts(spark, sf_dir):
+    return _named_path(spark, sf_dir, taxonomy_text=True)
+
+
+@query(_named_sql("signal"))
+def nominated_signals(spark, sf_dir):
+    return _named_path(spark, sf_dir, taxonomy_text=True, signal_text=True)
+
+
+@query(_named_sql("label", "lower(label)", expand=True))
+def nominated_neighbours(spark, sf_dir):
+    """With subsumption: parents and children of nominated nodes are scored too."""
+    return _named_path(spark, sf_dir, subsumption=True)
+
+
+@query(_named_sql("label", score=f"CASE WHEN text LIKE '%hot gear%' THEN 0.5 ELSE {JW_SQL.format(a='lower(text)', b='lower(label)')} END"))
+def nominated_degraded(spark, sf_dir):
+    """A scorer that fails on some products gives their candidates the degraded score."""
+    def fragile(a, b):
+        if a.str.contains("hot gear").any():
+            raise ConnectionError("no answer")
+        return similarity.jaro_winkler.func(a, b)
+
+    return _named_path(spark, sf_dir, scorer=retrieval.guarded(fragile))
+
+
+@query(f"""WITH {NAMED_SQL}, {_chosen_sql("live", LEXICAL_SQL["label"])}, {_chosen_sql("shadow", LEXICAL_SQL["text"])}
+    SELECT product, iri, 'live' AS side FROM (FROM live EXCEPT FROM shadow) UNION ALL SELECT product, iri, 'shadow' FROM (FROM shadow EXCEPT FROM live)""")
+def text_shadow(spark, sf_dir):
+    """What indexing the texts would change in the nominations."""
+    products, nodes, edges = _named(spark, sf_dir)
+    live, shadow = (retrieval.nominations(products, nodes, edges, matching.Options(multi_path=True, taxonomy_text=text)) for text in (False, True))
+    return retrieval.shadow_diff(live, shadow).select(F.col("query").alias("product"), F.col("doc").alias("iri"), "side")
+
+
 @query(f"""WITH {BM25_SQL}, best AS (SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM scored QUALIFY rank <= 25)
     SELECT query, doc, score, rank FROM best UNION ALL SELECT * FROM (SELECT -1 AS query, doc_id AS doc, 0 AS score, row_number() OVER (ORDER BY doc_id) AS rank FROM documents QUALIFY rank <= 25)""")
 def zero_score_nomination(spark, sf_dir):
