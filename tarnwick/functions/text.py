@@ -189,3 +189,34 @@ def iri_kind(iri: Column, prefix: str = ":") -> Column:
 def whitelisted(fields: Column, raw: Column) -> Column:
     """Of an array of structs with a name, those whose name is a key of the raw row."""
     return F.filter(fields, lambda f: F.map_contains_key(raw, f["name"]))
+
+
+#: Logical types that a proposed field may have.
+DATA_TYPES = ("string", "date", "decimal", "integer", "boolean")
+
+
+def proposed_fields(text: Column, raw: Column) -> Column:
+    """Fields proposed as a JSON array, held to what the raw row has: name, label, data_type, primary_key, nullable and sequence_number.
+
+    Elements that are no objects, or whose vendor_field_name is missing or no key of raw, go.
+    An unknown type is string, a key only what is true itself, and a nullable or sequence
+    number of another JSON type null. Text that is no array gives null.
+    """
+    def typed(v: Column, name: str, json_type: str, sql_type: str) -> Column:
+        inner = F.try_variant_get(v, f"$.{name}", "variant")
+        return F.when(F.schema_of_variant(inner) == json_type, F.try_variant_get(v, f"$.{name}", sql_type))
+
+    def field(v: Column) -> Column:
+        get = lambda name: F.try_variant_get(v, f"$.{name}", "string")
+        kind = F.lower(F.trim(get("data_type")))
+        return F.struct(
+            get("vendor_field_name").alias("name"),
+            F.coalesce(F.nullif(get("label"), F.lit("")), get("vendor_field_name")).alias("label"),
+            F.when(kind.isin(*DATA_TYPES), kind).otherwise("string").alias("data_type"),
+            F.coalesce(typed(v, "primary_key", "BOOLEAN", "boolean"), F.lit(False)).alias("primary_key"),
+            typed(v, "nullable", "BOOLEAN", "boolean").alias("nullable"),
+            typed(v, "sequence_number", "BIGINT", "bigint").alias("sequence_number"),
+        )
+
+    listed = F.when(F.startswith(F.trim(text), F.lit("[")), F.from_json(text, "array<variant>"))
+    return F.filter(F.transform(listed, field), lambda f: f["name"].isNotNull() & F.map_contains_key(raw, f["name"]))

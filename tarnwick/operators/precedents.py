@@ -102,6 +102,12 @@ def export_bundle(events: DataFrame) -> DataFrame:
     return held.join(rank, ["signature", "node_iri"]).select("vendor", "product_id", F.to_json(pattern).alias("pattern"))
 
 
+def bundle_manifest(events: DataFrame, nodes: DataFrame, version: str = f"{BUNDLE_MAJOR}.0.0") -> DataFrame:
+    """One row for a bundle: its format version, the fingerprint of the taxonomy that its mappings point into, and its patterns."""
+    patterns = current_positive(events).agg(F.count(F.lit(1)).alias("patterns"))
+    return taxonomy_hash(nodes).join(patterns).select(F.lit(version).alias("version"), "taxonomy_hash", "patterns")  # one row each
+
+
 PATTERN = "vendor string, product_id string, product_name string, signature string, mapped_node_iri string, confidence double, rank bigint, provenance struct<decided_by:string,decided_at:string,decision:string>"
 
 

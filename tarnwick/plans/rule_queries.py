@@ -74,6 +74,20 @@ def enrichment_whitelist(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.array_join(F.transform(kept, lambda f: F.concat_ws(":", f["name"], f["value"])), ",").alias("kept"))
 
 
+@query("""SELECT event_id, 'k' AS name, CASE WHEN event_id % 3 = 0 THEN event_type ELSE 'k' END AS label, CASE WHEN event_id % 4 = 0 THEN 'date' ELSE 'string' END AS data_type, event_id % 5 = 0 AS primary_key,
+    CASE WHEN event_id % 2 = 0 THEN event_id % 5 = 0 END AS nullable, CASE WHEN event_id % 3 = 1 THEN event_id END AS sequence_number FROM events""")
+def coerced_fields(spark, sf_dir):
+    """Two proposed fields for each event, one of them unknown; a type, a nullable or a number of the wrong kind is coerced."""
+    n = F.col("event_id")
+    pick = lambda *branches: F.concat(*(F.lit(b) if isinstance(b, str) else b for b in branches))
+    label = F.when(n % 3 == 0, F.concat(F.lit('"'), "event_type", F.lit('"'))).otherwise("null")
+    kind, key = F.when(n % 4 == 0, '" DATE"').otherwise('"money"'), (n % 5 == 0).cast("string")
+    nullable = F.when(n % 2 == 0, key).otherwise(F.concat(F.lit('"'), key, F.lit('"')))
+    number = F.when(n % 3 == 1, n.cast("string")).when(n % 3 == 2, F.concat(n.cast("string"), F.lit(".5"))).otherwise("true")
+    text = pick('[{"vendor_field_name": "absent"}, 7, {"vendor_field_name": "k", "label": ', label, ', "data_type": ', kind, ', "primary_key": ', key, ', "nullable": ', nullable, ', "sequence_number": ', number, "}]")
+    return table(spark, sf_dir, "events").select("event_id", F.inline(tx.proposed_fields(text, F.create_map(F.lit("k"), F.lit("v")))))
+
+
 @query("""SELECT p_partkey, CASE WHEN contains(lower(p_name), 'ring') THEN 0.95 WHEN contains(lower(p_brand), 'ring') THEN 0.85 ELSE 0.0 END AS lone,
     CASE WHEN contains(lower(p_name), 'red ring') THEN 0.95 WHEN contains('a ring thing', 'red') OR contains('a ring thing', 'ring') THEN 0.6 ELSE 0.0 END AS by_word FROM part""")
 def lexical_scores(spark, sf_dir):
@@ -147,10 +161,22 @@ def replaced_partitions(spark, sf_dir):
     return spark.read.parquet(path).groupBy("dataset_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("name") == "new").alias("replaced"))
 
 
-@query("SELECT sha256(concat_ws(':', CAST(sum(CAST('0x' || h[1:15] AS HUGEINT)) AS VARCHAR), CAST(sum(CAST('0x' || h[16:30] AS HUGEINT)) AS VARCHAR), CAST(count(*) AS VARCHAR))) AS taxonomy_hash FROM (SELECT sha256('catalog:' || c_custkey || chr(31) || c_name || chr(31) || CASE WHEN c_nationkey = 0 THEN '' ELSE 'n' || c_nationkey END) AS h FROM customer)")
+TAXONOMY_HASH_SQL = "SELECT sha256(concat_ws(':', CAST(sum(CAST('0x' || h[1:15] AS HUGEINT)) AS VARCHAR), CAST(sum(CAST('0x' || h[16:30] AS HUGEINT)) AS VARCHAR), CAST(count(*) AS VARCHAR))) AS taxonomy_hash FROM (SELECT sha256('catalog:' || c_custkey || chr(31) || c_name || chr(31) || CASE WHEN c_nationkey = 0 THEN '' ELSE 'n' || c_nationkey END) AS h FROM customer)"
+
+
+def _customers(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select(F.concat(F.lit("catalog:"), "c_custkey").alias("iri"), F.col("c_name").alias("label"), F.when(F.col("c_nationkey") != 0, F.concat(F.lit("n"), "c_nationkey")).alias("parent_iri"))
+
+
+@query(TAXONOMY_HASH_SQL)
 def taxonomy_digest(spark, sf_dir):
-    nodes = table(spark, sf_dir, "customer").select(F.concat(F.lit("catalog:"), "c_custkey").alias("iri"), F.col("c_name").alias("label"), F.when(F.col("c_nationkey") != 0, F.concat(F.lit("n"), "c_nationkey")).alias("parent_iri"))
-    return precedents.taxonomy_hash(nodes.repartition(5))
+    return precedents.taxonomy_hash(_customers(spark, sf_dir).repartition(5))
+
+
+@query(f"WITH {POSITIVE_SQL} SELECT '1.0.0' AS version, taxonomy_hash, (SELECT count(*) FROM held) AS patterns FROM ({TAXONOMY_HASH_SQL})")
+def bundle_manifest(spark, sf_dir):
+    return precedents.bundle_manifest(decisions(spark, sf_dir), _customers(spark, sf_dir))
+
 
 
 # Matching.

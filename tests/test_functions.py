@@ -117,3 +117,11 @@ def test_registered_functions(spark):
     similarity.register(spark)
     row = spark.sql("SELECT bm25_tokens('A b.') AS t, round(jaro_winkler('martha', 'marhta'), 4) AS j").first()
     assert row.t == ["a", "b"] and row.j == 0.9611
+
+
+def test_proposed_fields_are_coerced_by_json_type(spark):
+    raw = F.create_map(F.lit("a"), F.lit("x"), F.lit("1"), F.lit("y"))
+    ask = lambda text: spark.range(1).select(tx.proposed_fields(F.lit(text).cast("string"), raw).alias("f")).first().f
+    rows = ask('[{"vendor_field_name": "a", "label": "", "primary_key": "true", "nullable": true, "sequence_number": true}, {"vendor_field_name": 1, "data_type": "Integer ", "primary_key": true, "nullable": 1, "sequence_number": 3}, {"label": "b"}, {"vendor_field_name": "z"}, null, 3]')
+    assert [tuple(r) for r in rows] == [("a", "a", "string", False, True, None), ("1", "1", "integer", True, None, 3)]
+    assert ask("[]") == [] and ask(None) is None and ask("{}") is None
