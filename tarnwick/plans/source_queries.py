@@ -9,7 +9,7 @@ from ..functions import text as tx
 from ..operators import graph
 from ..operators.ingest import compare_columns, loaded_before
 from ..runtime import scratch_path, table
-from ..sources import csvw, readers
+from ..sources import csvw, readers, xlsx
 from .queries import query
 
 
@@ -67,6 +67,15 @@ def xml_scan(spark, sf_dir):
     return readers.read(spark, "xml", _copy(spark, _part(spark, sf_dir), "xml", rowTag="part", rootTag="parts"), row_tag="part", schema=SCHEMA)
 
 
+@query(PART_SQL)
+def xlsx_scan(spark, sf_dir):
+    """Workbooks that tasks write, read back by name."""
+    xlsx.register(spark)
+    path = scratch_path(spark, "xlsx")
+    _part(spark, sf_dir).repartition(4, "p_partkey").write.format("xlsx").mode("append").save(path)
+    return readers.read(spark, "xlsx", path).withColumn("p_size", F.col("p_size").cast("int"))
+
+
 @query(PART_SQL)
 def parquet_scan(spark, sf_dir):
     return readers.read(spark, "parquet", _copy(spark, _part(spark, sf_dir), "parquet"))

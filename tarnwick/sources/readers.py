@@ -46,7 +46,7 @@ def _parquet(spark: SparkSession, path: str, options: Mapping) -> DataFrame:
 
 
 def _xlsx(spark: SparkSession, path: str, options: Mapping) -> DataFrame:
-    return xlsx.read(spark, path, options.get("sheet_name"))
+    return xlsx.read(spark, path, options.get("sheet_name"), options.get("schema"))
 
 
 READERS: dict[str, Reader] = {"csv": lambda s, p, o: _csv(s, p, {**o, "delimiter": ","}), "txt": _csv, "json": _json, "xlsx": _xlsx, "xml": _xml, "parquet": _parquet}

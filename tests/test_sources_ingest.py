@@ -142,8 +142,47 @@ def test_snapshot_files(spark, tmp_path):
 
 def test_workbook_sheet(spark, tmp_path):
     workbook(tmp_path / "a.xlsx", [(1, "x", 2.5)])
-    with pytest.raises(ValueError):
-        xlsx.read(spark, f"file://{tmp_path}/a.xlsx", "Nope")
+    with pytest.raises(Exception, match="no sheet named 'Nope'"):
+        xlsx.read(spark, f"file://{tmp_path}/a.xlsx", "Nope").collect()
+
+
+def test_workbooks_of_different_columns(spark, tmp_path):
+    """Columns go by name: other orders, missing ones, and repeated and empty names."""
+    workbook(tmp_path / "a.xlsx", [(1, "x", 2.5)])
+    workbook(tmp_path / "b.xlsx", [("y", 2), ("z", 3)], names=("name", "id"))
+    workbook(tmp_path / "_c.xlsx", [(9, "hidden", 9)])
+    got = xlsx.read(spark, f"file://{tmp_path}")
+    assert got.columns == ["id", "name", "amount"] and [f.dataType.simpleString() for f in got.schema] == ["bigint", "string", "double"]
+    assert sorted(tuple(r) for r in got.collect()) == [(1, "x", 2.5), (2, "y", None), (3, "z", None)]
+    wanted = xlsx.read(spark, f"{tmp_path}/*.xlsx", schema="amount double, id int, extra string")
+    assert sorted(tuple(r) for r in wanted.collect() if r.id > 1) == [(None, 2, None), (None, 3, None)]
+    assert xlsx.header(["a", None, "a", "a", ""]) == ["a", "Unnamed: 1", "a.1", "a.2", "Unnamed: 4"]
+    (tmp_path / "empty").mkdir()
+    assert xlsx.read(spark, f"file://{tmp_path}/empty").columns == []
+
+
+def test_workbooks_written_and_read(spark, tmp_path, monkeypatch):
+    """Every value comes back, also those that XML cannot hold; overwriting leaves only the new workbooks."""
+    texts = [" a  b ", "x\x01y\r\n", "_x0041_", "<&>\"'", "", "\U0001F600", None]
+    rows = [(i, t, i / 3, i % 2 == 0) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "id bigint, `the text` string, v double, b boolean")
+    xlsx.register(spark)
+    for mode in ("append", "overwrite", "append"):
+        frame.repartition(3).write.format("xlsx").option("sheet", "D & E").mode(mode).save(f"file://{tmp_path}/out")
+    got = xlsx.read(spark, f"file://{tmp_path}/out", "D & E")
+    assert got.schema.simpleString() == frame.schema.simpleString()
+    assert sorted(map(tuple, got.collect())) == sorted(rows * 2)
+    assert not list((tmp_path / "out").glob("_*"))
+    first = spark.read.format("xlsx").load(f"file://{tmp_path}/out")
+    assert first.columns == frame.columns and {f.dataType.simpleString() for f in first.schema} == {"string"}
+
+
+def test_a_failed_write_of_workbooks_leaves_nothing(spark, tmp_path):
+    xlsx.register(spark)
+    bad = spark.range(10).selectExpr("CASE WHEN id = 7 THEN cast(raise_error('stop') AS BIGINT) ELSE id END AS id")
+    with pytest.raises(Exception, match="stop"):
+        bad.write.format("xlsx").mode("append").save(f"file://{tmp_path}/out")
+    assert not list(tmp_path.glob("out/**/*.xlsx"))
 
 
 def test_versions(spark):
