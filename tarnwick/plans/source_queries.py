@@ -9,7 +9,7 @@ from ..functions import text as tx
 from ..operators import graph
 from ..operators.ingest import compare_columns, loaded_before
 from ..runtime import scratch_path, table
-from ..sources import csvw, readers, xlsx
+from ..sources import csvw, paged, readers, xlsx
 from .queries import query
 
 
@@ -219,3 +219,41 @@ def alias_pick(spark, sf_dir):
 def required_values(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     return e.select("event_id", tx.required(F.get_json_object("props", "$.k"), "k").alias("k"))
+
+
+PAGED_SQL = """WITH own AS (SELECT c_nationkey, c_custkey, (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1) // 20 + 1 AS page FROM customer),
+    most AS (SELECT n_nationkey, n_name, n_nationkey % 5 <> 4 AS enabled, CASE WHEN n_nationkey % 5 = 3 THEN 2 ELSE 10000 END AS max_pages FROM nation)"""
+
+
+def _landed_pages(spark, sf_dir):
+    """A vendor for each nation: its customers in pages of 20, each of which names the next; a fifth of vendors is off, another may pull two pages."""
+    own = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), F.struct("c_custkey", "c_name").alias("item"))
+    numbered = own.withColumn("page", F.expr("cast((row_number() OVER (PARTITION BY nation ORDER BY item.c_custkey) - 1) div 20 + 1 AS int)"))
+    counts = own.groupBy("nation").agg(F.ceil(F.count(F.lit(1)) / 20).alias("last"))
+    pages = numbered.groupBy("nation", "page").agg(F.collect_list("item").alias("items")).join(counts, "nation")  # 20 at most
+    following = F.when(F.col("page") < F.col("last"), F.concat(F.lit("page="), F.col("page") + 1))
+    folder = scratch_path(spark, "pages")
+    pages.select("nation", "page", F.to_json(F.struct("items", following.alias("next"))).alias("value")).repartition("nation", "page").write.partitionBy("nation", "page").text(folder)
+    key = F.col("n_nationkey") % 5
+    return table(spark, sf_dir, "nation").join(counts.select(F.col("nation").alias("n_nationkey")), "n_nationkey").select(
+        F.col("n_name").alias("vendor"), F.concat(F.lit(f"{folder}/nation="), "n_nationkey", F.lit("/page=1")).alias("endpoint"), (key != 4).alias("enabled"), F.when(key == 3, 2).alias("max_pages")
+    )
+
+
+@query(f"{PAGED_SQL} SELECT n_name AS vendor, page, c_custkey FROM own JOIN most ON c_nationkey = n_nationkey WHERE enabled AND page <= max_pages")
+def paged_pull(spark, sf_dir):
+    return paged.items(paged.pull(spark, _landed_pages(spark, sf_dir)), "c_custkey bigint").select("vendor", "page", "c_custkey")
+
+
+@query(f"{PAGED_SQL} SELECT n_name AS vendor, CASE WHEN enabled THEN least(max(page), max_pages) ELSE 0 END AS pages, NOT enabled AS skipped, enabled AND max(page) > max_pages AS truncated FROM own JOIN most ON c_nationkey = n_nationkey GROUP BY n_name, enabled, max_pages")
+def pull_summary(spark, sf_dir):
+    vendors = _landed_pages(spark, sf_dir)
+    return paged.summary(vendors, paged.pull(spark, vendors))
+
+
+@query(f"{PAGED_SQL} SELECT n_name AS vendor, page - max_pages AS page, c_custkey FROM own JOIN most ON c_nationkey = n_nationkey WHERE enabled AND page > max_pages AND page <= 2 * max_pages")
+def resumed_pull(spark, sf_dir):
+    """The pages after those that max_pages let an earlier pull have."""
+    vendors = _landed_pages(spark, sf_dir)
+    more = paged.resume(spark, vendors, paged.pull(spark, vendors))
+    return paged.items(more, "c_custkey bigint").select("vendor", "page", "c_custkey")

@@ -140,7 +140,7 @@ def files(path: str) -> list[str]:
     return [f"{folder.rstrip('/')}/{name}" for name in names]
 
 
-def _open(path: str):
+def opened(path: str):
     system, found = _place(path)
     return system.open_input_file(found)
 
@@ -163,7 +163,7 @@ class Workbooks(DataSource):
         held = files(self.options["path"])
         if not held:
             return T.StructType()
-        with _open(held[0]) as f:  # one row of one workbook
+        with opened(held[0]) as f:  # one row of one workbook
             return T.StructType([T.StructField(name, T.StringType()) for name in header(next(rows(f, self.options.get("sheet")), []))])
 
     def reader(self, schema):
@@ -183,7 +183,7 @@ class _Reader(DataSourceReader):
     def read(self, book):
         if book is None:  # a folder without workbooks
             return
-        with _open(book.path) as f:
+        with opened(book.path) as f:
             cells = rows(f, self.sheet)
             names = header(next(cells, []))
             if self.only:

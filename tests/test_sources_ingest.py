@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnwick.operators import ingest, metadata
-from tarnwick.sources import rdf, readers, xlsx
+from tarnwick.sources import paged, rdf, readers, xlsx
 
 COLUMNS = {"id": "integer", "name": "string", "amount": "decimal"}
 ROWS = [(i, f"n{i}", i + 0.5) for i in range(1, 6)]
@@ -226,3 +226,22 @@ def test_golden_set_names_file_and_line(spark, tmp_path):
     assert sorted(r.case_id for r in readers.golden_set(spark, str(tmp_path / "good.jsonl"), "case_id int").collect()) == [1, 2]
     with pytest.raises(Exception, match=r"bad\.jsonl:3: no case"):
         readers.golden_set(spark, str(tmp_path / "bad.jsonl"), "case_id int").collect()
+
+
+def test_paged_pull(spark, tmp_path):
+    """Pages end at a null next or at max_pages; a next that is no text asks the endpoint again."""
+    for name, body in {"a1": {"items": [{"k": 1}], "next": "a2"}, "a2": {"items": [{"k": 2}, {"k": 3}], "next": f"file://{tmp_path}/a3"}, "a3": {"items": [], "next": None}, "b": {"items": [{"k": 9}], "next": True}}.items():
+        (tmp_path / name).write_text(json.dumps(body))
+    at = f"file://{tmp_path}"
+    vendors = spark.createDataFrame([("a", f"{at}/a1", True, None), ("b", f"{at}/b", True, 3), ("off", f"{at}/none", False, None), ("null", f"{at}/none", None, None), ("zero", f"{at}/a1", True, 0)], paged.VENDORS)
+    pages = paged.pull(spark, vendors)
+    assert sorted((r.vendor, r.page, r.truncated) for r in pages.collect()) == [("a", 1, False), ("a", 2, False), ("a", 3, False), ("b", 1, False), ("b", 2, False), ("b", 3, True)]
+    assert sorted((r.vendor, r.page, r.k) for r in paged.items(pages, "k int").collect()) == [("a", 1, 1), ("a", 2, 2), ("a", 2, 3), ("b", 1, 9), ("b", 2, 9), ("b", 3, 9)]
+    assert sorted(map(tuple, paged.summary(vendors, pages).collect())) == [("a", 3, False, False), ("b", 3, False, True), ("null", 0, True, False), ("off", 0, True, False), ("zero", 0, False, True)]
+    cut = vendors.filter("vendor = 'a'").withColumn("max_pages", F.lit(2))
+    first = paged.pull(spark, cut)
+    assert [(r.page, r.address, r.truncated) for r in paged.resume(spark, cut, first).collect()] == [(1, f"{at}/a3", False)]
+    assert paged.pull(spark, vendors.filter("NOT enabled")).collect() == []
+    missing = vendors.filter("vendor = 'off'").withColumn("enabled", F.lit(True))
+    with pytest.raises(Exception, match="none"):
+        paged.pull(spark, missing).collect()
