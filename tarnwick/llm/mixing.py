@@ -14,7 +14,9 @@ shuffled by itself.
 The tree's first levels split whole chunks of CHUNK sources, on the driver; below them each
 chunk is split in its own task. The driver sees one row for each chunk and for each
 partition of the sources, and sums. Sources are numbered, weighed and given their targets by DataFrame
-operations, so any number of them will do. A window holds the blocks of one source, which
+operations, so any number of them will do; numpy draws where all blocks are below LIMIT,
+above it draw() does, by inversion over all values within SPAN standard deviations of the
+mode, so totals have no limit either. A window holds the blocks of one source, which
 are twice BLOCKS at most. All rows of a part-taken block, a BLOCKS-th of its source, are
 looked at in one task.
 
@@ -42,6 +44,10 @@ EXACT, FINEST = 64, 1 << 20
 #: Parts in which the rows of one shard are written, so that a shard may be of any size.
 PARTS = 1024
 SEED = 20240229
+#: numpy's hypergeometric draws take totals below this.
+LIMIT = 10**9
+#: Standard deviations around the mode that draw() looks at; less than one draw in 10**18 would lie outside.
+SPAN = 9
 
 
 def words(text: Column) -> Column:
@@ -57,12 +63,45 @@ def even(total: int, shards: int) -> list[int]:
     return even(left, shards // 2) + even(total - left, shards - shards // 2)
 
 
+def draw(good: int, bad: int, n: int, rng: np.random.Generator) -> int:
+    """How many of n drawn from good + bad are good, for any total.
+
+    Chances come from the ratios of neighbours, so no logarithm of a factorial of a huge
+    number loses their digits. Memory grows with the standard deviation, which is below
+    half the root of the smallest of good, bad, n and the rest.
+    """
+    if good + bad < LIMIT:
+        return int(rng.hypergeometric(good, bad, n))
+    low, high, total = max(0, n - bad), min(good, n), good + bad
+    mode = (n + 1) * (good + 1) // (total + 2)
+    sd = (n * (good / total) * (bad / total) * ((total - n) / (total - 1))) ** 0.5
+    reach = int(SPAN * sd) + 64  # far more than the tails need where the mean is small
+    first = max(low, mode - reach)
+    k = np.arange(first, min(high, mode + reach), dtype=np.float64)
+    logs = np.concatenate([[0.0], np.cumsum(np.log((good - k) / (k + 1) * ((n - k) / (bad - n + k + 1))))])
+    sums = np.cumsum(np.exp(logs - logs.max()))
+    return first + int(np.searchsorted(sums, rng.random() * sums[-1], side="right"))
+
+
+def halve(quotas: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
+    """n blocks drawn without replacement from the quotas of all sources: how many of each."""
+    rest = int(quotas.sum())
+    if rest < LIMIT:
+        return rng.multivariate_hypergeometric(quotas, n, method="marginals")
+    out = np.zeros_like(quotas)
+    for i, quota in enumerate(quotas.tolist()):
+        rest -= quota
+        out[i] = draw(quota, rest, n, rng)
+        n -= int(out[i])
+    return out
+
+
 def deal(quotas: np.ndarray, totals: list[int], rng: np.random.Generator) -> list[np.ndarray]:
     """Blocks of each source for each shard; the sums over shards are the quotas, those over sources the totals."""
     if len(totals) == 1:
         return [quotas]
     half = len(totals) // 2
-    left = rng.multivariate_hypergeometric(quotas, int(sum(totals[:half])), method="marginals")
+    left = halve(quotas, int(sum(totals[:half])), rng)
     return deal(left, totals[:half], rng) + deal(quotas - left, totals[half:], rng)
 
 

@@ -107,6 +107,35 @@ def test_split_keeps_quotas():
         assert max(totals) - min(totals) <= 2 + shards.bit_length()
 
 
+def test_mixing_draws_of_any_total(monkeypatch):
+    """The own sampler against exact chances on small numbers, and against mean and spread on totals far above numpy's limit."""
+    rng = np.random.default_rng(5)
+    monkeypatch.setattr(mixing, "LIMIT", 2)
+    for good, bad, n in [(7, 9, 6), (3, 40, 20), (30, 4, 33), (5, 5, 0), (5, 5, 10), (0, 6, 3)]:
+        got, times = Counter(mixing.draw(good, bad, n, rng) for _ in range(20_000)), 20_000
+        chances = {k: math.comb(good, k) * math.comb(bad, n - k) / math.comb(good + bad, n) for k in range(max(0, n - bad), min(good, n) + 1)}
+        assert set(got) <= set(chances)
+        chi = sum((got[k] - times * c) ** 2 / (times * c) for k, c in chances.items() if times * c >= 5)
+        assert chi < 15 + 4 * len(chances), (good, bad, n, chi)
+    monkeypatch.undo()
+    for good, bad, n in [(10**9, 10**9, 10**9), (3 * 10**11, 7 * 10**11, 4 * 10**11), (8192, 10**12, 5 * 10**11), (20, 10**12, 10**6)]:
+        total = good + bad
+        mean, sd = n * good / total, (n * (good / total) * (bad / total) * ((total - n) / (total - 1))) ** 0.5
+        found = np.array([mixing.draw(good, bad, n, rng) for _ in range(60)])
+        assert abs(found.mean() - mean) <= 5 * sd / 60**0.5 + 1e-3 and found.min() >= 0 and found.max() <= min(good, n)
+        assert sd < 1 or 0.6 < found.std() / sd < 1.5
+
+
+def test_mixing_splits_more_blocks_than_numpy_draws():
+    quotas = np.array([8192, 0, 1, 10**12, 5 * 10**9, *[8192] * 200], np.int64)
+    for shards in (2, 5):
+        parts = mixing.split(quotas, shards, np.random.default_rng(3))
+        assert (sum(parts) == quotas).all() and min(p.min() for p in parts) >= 0
+        assert [int(p.sum()) for p in parts] == mixing.even(int(quotas.sum()), shards)
+        again = mixing.split(quotas, shards, np.random.default_rng(3))
+        assert all((a == b).all() for a, b in zip(parts, again))
+
+
 def test_mixing_odd_rows(spark, odd, empty):
     rows = mixing.draws(odd).collect()
     assert len(rows) == odd.count() and all(r.copies <= 2 for r in rows)
