@@ -1,8 +1,9 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Features are the set of a text's lower-cased words, word pairs, and pairs with one or two
-words between, and, for words never met before, the first bytes of its words (as many as in
-PREFIXES), all hashed to DIMENSIONS slots. Training takes at most train_rows labelled rows (those with the smallest
+words between, and the first bytes of every longer word (as many as in PREFIXES), which also
+tell of words never met before, all hashed to DIMENSIONS slots. Texts and words of any
+length are taken whole, in batches of BATCH characters. Training takes at most train_rows labelled rows (those with the smallest
 hash of their id, so the sample does not depend on the order of the table). It runs over
 them epochs times in a fixed order: each coordinate has its own learning rate, and the L1
 term keeps a weight at exactly zero until its evidence outgrows it. The model is the list
@@ -22,6 +23,7 @@ label given twice counts twice. Other columns are not read; an empty table gives
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +43,8 @@ PREFIXES, PREFIX_SALT = (4, 5, 6, 7), 0x51ED270B
 WORD = re.compile(r"[^\W\d_]+")
 #: A word's code is the sum of its bytes times the powers of this odd number, modulo 2**64.
 BASE = 0x5851F42D4C957F2D
+#: Characters of words looked at together; tables of powers are for a few times as many bytes.
+BATCH = 1 << 17
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -55,30 +59,62 @@ def _powers_of(n: int) -> list[np.ndarray]:
 
 
 def codes(words: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The codes of words, and those of the beginnings of longer ones; in parts, so that tables stay small."""
-    own, begun = [np.zeros(0, np.uint64)], []
-    for i in range(0, len(words), 1 << 14):
-        data = np.frombuffer(" ".join(words[i : i + (1 << 14)]).encode() + b" ", np.uint8)
-        ends = np.flatnonzero(data == 32)
-        starts = np.concatenate([[0], ends[:-1] + 1])
-        up, down = _powers_of(len(data))
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(data * up[: len(data)])])
-        own.append((sums[ends] - sums[starts]) * down[starts])
-        for k in PREFIXES:
-            longer = starts[ends - starts > k]
-            begun.append((sums[longer + k] - sums[longer]) * down[longer] ^ np.uint64(PREFIX_SALT))
-    return np.concatenate(own), begun
+    """The codes of words, and those of the beginnings of longer ones. Tables grow with the length of all words together."""
+    if len(words) == 1 and len(words[0]) > BATCH:
+        return _long_code(words[0].encode())
+    data = np.frombuffer(" ".join(words).encode() + b" ", np.uint8)
+    ends = np.flatnonzero(data == 32)
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    up, down = _powers_of(len(data))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(data * up[: len(data)])])
+    begun = []
+    for k in PREFIXES:
+        longer = starts[ends - starts > k]
+        begun.append((sums[longer + k] - sums[longer]) * down[longer] ^ np.uint64(PREFIX_SALT))
+    return (sums[ends] - sums[starts]) * down[starts], begun
+
+
+def _long_code(data: bytes) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The same of one long word, block by block."""
+    total = 0
+    for i in range(0, len(data), BATCH):
+        part = np.frombuffer(data, np.uint8, min(BATCH, len(data) - i), i)
+        total += int((part * _powers_of(len(part))[0][: len(part)]).sum(dtype=np.uint64)) * pow(BASE, i, 1 << 64)
+    begun = [np.array([sum(c * pow(BASE, j, 1 << 64) for j, c in enumerate(data[:k])) % (1 << 64)], np.uint64) ^ np.uint64(PREFIX_SALT) for k in PREFIXES if len(data) > k]
+    return np.array([total % (1 << 64)], np.uint64), begun
+
+
+def batches(text: str) -> Iterator[list[str]]:
+    """The words of a text in order, BATCH characters or a little more at a time; a word above that is alone."""
+    held, size = [], 0
+    for match in WORD.finditer(text):
+        n = match.end() - match.start()
+        if held and size + n > BATCH:
+            yield held
+            held, size = [], 0
+        held.append(match[0])
+        size += n + 1
+    if held:
+        yield held
 
 
 def features(text: str | None) -> np.ndarray:
-    """The slots of a text, each once, in order; slot 0 is the bias."""
-    h, begun = codes(WORD.findall((text or "").lower()))
-    pairs = [(h[:-gap] * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(gap)) ^ (h[gap:] * np.uint64(0x165667B19E3779F9)) for gap in (1, 2, 3)]
-    mixed = np.concatenate([h, *begun, *pairs])
-    mixed ^= mixed >> np.uint64(29)
-    mixed *= np.uint64(0xBF58476D1CE4E5B9)
-    slots = (mixed >> np.uint64(40)) % np.uint64(DIMENSIONS - 1) + np.uint64(1)
-    return np.concatenate([np.zeros(1, np.int64), np.unique(slots.astype(np.int32))])
+    """The slots of a text, each once, in order; slot 0 is the bias. What it holds besides the text is bounded."""
+    found, last = np.zeros(1, np.int64), np.zeros(0, np.uint64)
+    for words in batches((text or "").lower()):
+        h, begun = codes(words)
+        run = np.concatenate([last, h])  # pairs whose second word is in this batch
+        pairs = []
+        for gap in (1, 2, 3):
+            begin = max(0, len(last) - gap)
+            pairs.append((run[begin : max(begin, len(run) - gap)] * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(gap)) ^ (run[begin + gap :] * np.uint64(0x165667B19E3779F9)))
+        mixed = np.concatenate([h, *begun, *pairs])
+        mixed ^= mixed >> np.uint64(29)
+        mixed *= np.uint64(0xBF58476D1CE4E5B9)
+        slots = (mixed >> np.uint64(40)) % np.uint64(DIMENSIONS - 1) + np.uint64(1)
+        found = np.union1d(found, slots.astype(np.int64)) if len(last) else np.concatenate([found, np.unique(slots.astype(np.int64))])
+        last = run[-3:]
+    return found
 
 
 class Ftrl:

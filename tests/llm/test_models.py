@@ -266,6 +266,28 @@ def test_toxicity_query(spark):
     assert sum(toxic) >= 0.7 * len(toxic)
 
 
+def test_toxicity_features_of_long_words_and_texts(monkeypatch):
+    """Batches change nothing, whatever their size, and what is held besides a long text or word is small."""
+    import random
+    import tracemalloc
+
+    rng = random.Random(4)
+    texts = ["", "a", "a b", "Straße ÄÖ x" * 9, " ".join("".join(rng.choices("abcdeéж", k=rng.randrange(1, 30))) for _ in range(400)), "w" * 300 + " y z " + "q" * 700 + " a b"]
+    plain = [toxicity.features(t).tolist() for t in texts]
+    for size in (1, 7, 64):
+        monkeypatch.setattr(toxicity, "BATCH", size)
+        assert [toxicity.features(t).tolist() for t in texts] == plain
+    monkeypatch.undo()
+    text = "x" * 20_000_000 + " " + "tail word " * 1_000_000
+    tracemalloc.start()
+    found = toxicity.features(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * len(text) and len(toxicity._powers[0]) < 40 * toxicity.BATCH
+    one = toxicity.features("tail word tail word tail word")
+    assert set(one) <= set(found) and len(found) <= len(one) + 1 + len(toxicity.PREFIXES) + 3
+
+
 def test_toxicity_in_every_language(spark):
     """Held-out rows of the 0.1 table: each language by its own words, of which most are met once."""
     sf_dir = "/root/testdata/sf0.1"
