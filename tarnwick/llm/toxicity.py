@@ -86,6 +86,10 @@ def _long_code(data: bytes) -> tuple[np.ndarray, list[np.ndarray]]:
 
 def batches(text: str) -> Iterator[list[str]]:
     """The words of a text in order, BATCH characters or a little more at a time; a word above that is alone."""
+    if len(text) <= BATCH:
+        if words := WORD.findall(text):
+            yield words
+        return
     held, size = [], 0
     for match in WORD.finditer(text):
         n = match.end() - match.start()
