@@ -311,8 +311,8 @@ def nominated_degraded(spark, sf_dir):
 def text_shadow(spark, sf_dir):
     """What indexing the texts would change in the nominations."""
     products, nodes, edges = _named(spark, sf_dir)
-    live, shadow = (retrieval.nominations(products, nodes, edges, matching.Options(multi_path=True, taxonomy_text=text)) for text in (False, True))
-    return retrieval.shadow_diff(live, shadow).select(F.col("query").alias("product"), F.col("doc").alias("iri"), "side")
+    live, shadow = (matching.Options(multi_path=True, taxonomy_text=text) for text in (False, True))
+    return retrieval.shadow_nominations(products, nodes, edges, live, shadow).select(F.col("query").alias("product"), F.col("doc").alias("iri"), "side")
 
 
 @query(f"""WITH {BM25_SQL}, best AS (SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM scored QUALIFY rank <= 25)

@@ -435,3 +435,33 @@ def test_bm25_is_not_negative(docs, query):
     lexicon = retrieval._Lexicon([(str(i), d, d) for i, d in enumerate(docs)])
     if any(lexicon.sizes):
         assert min(lexicon.bm25(query, list(range(len(docs)))).values()) >= 0
+
+
+def _nodes_of(spark, rows):
+    return spark.createDataFrame([(i, label, [], "", []) for i, label in rows], "iri string, label string, alt_labels array<string>, definition string, signals array<string>")
+
+
+def test_texts_of_the_same_known_terms_are_nominated_for_once(spark, monkeypatch):
+    """Products whose texts differ in terms that no node has, or not at all, are one query of BM25."""
+    from tarnwick.operators.matching import Options
+
+    asked, bm25 = [], retrieval.bm25
+    monkeypatch.setattr(retrieval, "bm25", lambda queries, *rest: asked.append(queries.count()) or bm25(queries, *rest))
+    products = spark.createDataFrame([(i, "red ring", f"lot{i % 7}") for i in range(40)] + [(40, "Blue", None), (41, "nothing", None)], "product bigint, name string, description string")
+    nodes = _nodes_of(spark, [("a", "red ring"), ("b", "blue bolt"), ("c", "ring")])
+    none = spark.createDataFrame([], "child string, parent string"), spark.createDataFrame([], "product bigint, iri string"), spark.createDataFrame([], "product bigint, iri string, n bigint")
+    found = retrieval.retrieve(products, nodes, *none, Options(multi_path=True), 3).collect()
+    assert asked == [3]  # red ring, blue, and no known term
+    assert sorted((r.product, r.iri) for r in found) == [(p, i) for p in range(42) for i in "abc"]
+    assert {r.similarity for r in found if r.product == 40 and r.iri == "b"} == {round(retrieval.jaro_winkler_of("blue", "blue bolt"), 4)}
+
+
+def test_products_with_precedents_are_ranked_apart_from_their_text(spark):
+    from tarnwick.operators.matching import Options
+
+    products = spark.createDataFrame([(i, "red ring", None) for i in range(3)], "product bigint, name string, description string")
+    nodes = _nodes_of(spark, [("a", "red ring"), ("b", "red rung"), ("c", "ring")])
+    negatives, boosts = spark.createDataFrame([(1, "a")], "product bigint, iri string"), spark.createDataFrame([(2, "b", 9)], "product bigint, iri string, n bigint")
+    found = retrieval.multi_path(products, nodes, spark.createDataFrame([], "child string, parent string"), negatives, boosts, Options(multi_path=True), 1).collect()
+    assert {r.product: r.iri for r in found} == {0: "a", 1: "b", 2: "b"}
+    assert {r["rank"] for r in found} == {1}
