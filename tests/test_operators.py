@@ -465,3 +465,13 @@ def test_products_with_precedents_are_ranked_apart_from_their_text(spark):
     found = retrieval.multi_path(products, nodes, spark.createDataFrame([], "child string, parent string"), negatives, boosts, Options(multi_path=True), 1).collect()
     assert {r.product: r.iri for r in found} == {0: "a", 1: "b", 2: "b"}
     assert {r["rank"] for r in found} == {1}
+
+
+def test_expand_deals_with_each_set_of_nominated_nodes_once(spark, monkeypatch):
+    sizes, written = {}, retrieval.written
+    monkeypatch.setattr(retrieval, "written", lambda df, name: sizes.setdefault(name, written(df, name)))
+    nominated = spark.createDataFrame([(p, n) for p in range(50) for n in ("a", "b")] + [(50, "c"), (50, "c"), (51, "x"), (52, None)], "query int, doc string")
+    edges = spark.createDataFrame([("a", "p"), ("b", "p"), ("c", "p"), ("p", "top"), ("c", "c")], "child string, parent string")
+    got = sorted((r.query, r.doc or "") for r in retrieval.expand(nominated, edges).collect())
+    assert got == sorted([(p, n) for p in range(50) for n in "abp"] + [(50, "c"), (50, "p"), (51, "x"), (52, "")])
+    assert sizes["expanded_sets"].count() == 3 + 2 + 1 + 1
