@@ -321,7 +321,7 @@ def zero_score_nomination(spark, sf_dir):
     """bm25_nominate with one more query, which no document answers."""
     items, docs = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
     asked = items.select("item_id", "text").union(spark.createDataFrame([(-1, "!!!")], "item_id bigint, text string"))
-    scored = retrieval.bm25(asked, docs, "item_id", F.col("text"), "doc_id", F.col("text"))
+    scored = retrieval.best_bm25(asked, docs, "item_id", F.col("text"), "doc_id", F.col("text"))
     found = retrieval.nominate(scored, 25, asked.select(F.col("item_id").alias("query")), docs.select(F.col("doc_id").alias("doc")))
     return found.select("query", "doc", "score", F.col("rank").cast("bigint").alias("rank"))
 

@@ -475,3 +475,21 @@ def test_expand_deals_with_each_set_of_nominated_nodes_once(spark, monkeypatch):
     got = sorted((r.query, r.doc or "") for r in retrieval.expand(nominated, edges).collect())
     assert got == sorted([(p, n) for p in range(50) for n in "abp"] + [(50, "c"), (50, "p"), (51, "x"), (52, "")])
     assert sizes["expanded_sets"].count() == 3 + 2 + 1 + 1
+
+
+def test_best_bm25_keeps_the_best_of_each_task_and_nothing_else(spark, monkeypatch):
+    """The k best of each query are those of bm25(); no more rows leave a task than k a query, in blocks of any size."""
+    words = "red blue green bolt ring gear".split()
+    docs = spark.createDataFrame([(f"d{i:03}", " ".join(words[(i * j) % 6] for j in range(1, 2 + i % 7))) for i in range(300)] + [("empty", None)], "id string, text string").repartition(3)
+    asked = spark.createDataFrame([(1, "red bolt red"), (2, "ring"), (3, "absent"), (4, None)], "q int, text string")
+    args = asked, docs, "q", F.col("text"), "id", F.col("text")
+    rows = lambda scored: sorted((r.query, r.doc, r.score, r["rank"]) for r in retrieval.nominate(scored, 5).collect())
+    wanted = rows(retrieval.bm25(*args))
+    assert len(wanted) == 10
+    for block in (1, 1 << 20):
+        monkeypatch.setattr(retrieval, "BLOCK", block)
+        found = retrieval.best_bm25(*args, 5)
+        assert found.count() <= 3 * 2 * 5
+        assert rows(found) == wanted
+    monkeypatch.setattr(retrieval, "BROADCAST_BYTES", 0)
+    assert rows(retrieval.best_bm25(*args, 5)) == wanted
