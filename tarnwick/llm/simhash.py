@@ -22,7 +22,11 @@ covering masks of radius PART_RADIUS in each part: pairs that differ in at most
 bits of any part meet, so all pairs do that differ in 15 bits or fewer. Each member of a
 bucket proposes the member before it that is nearest, if it is within NEAR bits. Shingle
 sets decide: first on each text's nearest proposal, then on all other proposals that lie
-between different components. Keys of over HOT members are compared in tiles, pairs of
+between different components. What is left is found by prefixes: in one order of all
+shingles, two sets of similarity s share one of the first n - ceil(s * n) + 1 of each, so
+nodes of different components that share such a shingle are compared too, and no pair
+is lost. Shingles that are frequent in a sample come last in that order, which keeps groups small
+and decides nothing else. Keys of over HOT members are compared in tiles, pairs of
 parts of at most HOT members, which any number of tasks share.
 
 Defined cases: null texts count as empty; a text without words has fingerprint zero and
@@ -51,6 +55,8 @@ BLOCK = 1 << 20
 ROUNDS = (1, 27, 45)
 #: Shingles of similarity, bits of a part that may differ, bits of a proposal, members of a tile.
 FIVE, PART_RADIUS, NEAR, HOT = 5, 3, 32, 4096
+#: Shingles put last in the order of prefixes, at most; they have at least FREQUENT nodes among one in SAMPLE.
+LAST, FREQUENT, SAMPLE = 1 << 18, 4, 16
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -257,21 +263,74 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(a, "src").join(b, "dst").select("src", "dst", "a", "b").mapInArrow(run, "src bigint, dst bigint")
 
 
+def prefixes(sets: DataFrame, similarity: float, last: np.ndarray) -> DataFrame:
+    """node, shingle and n (the set's size) of the shingles of each set (node, shingles) that a similar set must share one of.
+
+    The order is that of the hashes, those in last (sorted) after all others.
+    """
+    shared = sets.sparkSession.sparkContext.broadcast(last)
+
+    def run(batches):
+        late = shared.value
+        for batch in batches:
+            found, sizes = [], []
+            for buffer in batch.column("shingles"):
+                x = np.frombuffer(buffer.as_buffer(), "<u4")
+                there = np.searchsorted(late, x)
+                is_last = (late[np.minimum(there, len(late) - 1)] == x) if len(late) else np.zeros(len(x), bool)
+                found.append(np.concatenate([x[~is_last], x[is_last]])[: int((1 - similarity) * len(x) + 1e-6) + 1])
+                sizes.append(len(x))
+            many = [len(x) for x in found]
+            node = np.repeat(batch.column("node").to_numpy(zero_copy_only=False), many)
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(np.concatenate([*found, np.zeros(0, np.uint32)]).astype(np.int64)), pa.array(np.repeat(np.array(sizes, np.int64), many))], ["node", "shingle", "n"])
+
+    return sets.select("node", "shingles").mapInArrow(run, "node bigint, shingle bigint, n bigint")
+
+
+def frequent(sets: DataFrame) -> np.ndarray:
+    """The shingles that come last, of a sample of the sets; they order prefixes and exclude nothing."""
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(batch.column("shingles").to_pylist()), "<u4").astype(np.int64))], ["shingle"])
+
+    some = sets.filter(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0).select("shingles").mapInArrow(run, "shingle bigint")
+    rows = some.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "shingle").limit(LAST).collect()
+    return np.sort(np.array([r.shingle for r in rows], np.uint32))
+
+
+def left_over(sets: DataFrame, parts: DataFrame, similarity: float) -> DataFrame:
+    """src and dst: every pair of sets (node, shingles) in different parts (node, component) that may have the similarity."""
+    rows = prefixes(sets, similarity, frequent(sets)).join(parts, "node", "left").select("shingle", "node", "n", F.coalesce("component", "node").alias("part"))
+    rows = written(rows, "prefixes")
+    mixed = rows.groupBy("shingle").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("shingle")
+    kept = written(rows.join(mixed, "shingle", "left_semi"), "mixed")
+    a, b = (kept.select("shingle", F.col("node").alias(node), F.col("n").alias(n), F.col("part").alias(part)) for node, n, part in (("src", "n_src", "src_part"), ("dst", "n_dst", "dst_part")))
+    near = (F.col("n_src") >= similarity * F.col("n_dst") - 1e-6) & (F.col("n_dst") >= similarity * F.col("n_src") - 1e-6)
+    return a.join(b, "shingle").filter((F.col("dst") < F.col("src")) & (F.col("src_part") != F.col("dst_part")) & near).select("src", "dst").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
     """doc_id and component_id (the smallest doc_id reachable over near-duplicates) of each row; ids are whole numbers."""
     prints = written(sketches(docs, id_col, text_col), "sketches")
     same = ["hi", "lo", "digest"]
     nodes = written(prints.groupBy(same).agg(F.min("doc_id").cast("bigint").alias("node")), "nodes")
     edges = written(proposals(nodes.filter("node IS NOT NULL").select("node", "hi", "lo").distinct()), "proposals")
-    ends = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
-    sets = written(prints.select(F.col("doc_id").cast("bigint").alias("node"), "shingles").join(ends, "node", "left_semi").groupBy("node").agg(F.max("shingles").alias("shingles")), "sets")
+    every = prints.select(F.col("doc_id").cast("bigint").alias("node"), "shingles").join(nodes.select("node").distinct(), "node", "left_semi")
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.col("src").alias("node")).unionByName(pairs.select(F.col("dst").alias("node"))).distinct()
+        return written(every.join(ends, "node", "left_semi").groupBy("node").agg(F.max("shingles").alias("shingles")), "sets")
+
+    sets = sets_of(edges)
     first = edges.groupBy("src").agg(F.min_by("dst", F.struct("bits", "dst")).alias("dst"))
     linked = written(similar(first, sets, similarity), "linked")
     parts = written(connected_components(linked), "parts")
     at = lambda end: parts.select(F.col("node").alias(end), F.col("component").alias(f"{end}_part"))
     open_ = edges.join(at("src"), "src", "left").join(at("dst"), "dst", "left").filter(F.coalesce("src_part", "src") != F.coalesce("dst_part", "dst"))
     more = similar(open_.join(first, ["src", "dst"], "left_anti").select("src", "dst"), sets, similarity)
-    whole = connected_components(linked.unionByName(more))
+    linked = written(linked.unionByName(more), "linked")
+    rest = written(left_over(every, written(connected_components(linked), "parts"), similarity), "left_over")
+    whole = connected_components(linked.unionByName(similar(rest, sets_of(rest), similarity)))
     named = nodes.join(whole, "node", "left").select(*same, F.coalesce("component", "node").alias("component_id"))
     return prints.select("doc_id", *same).join(named, same).select("doc_id", "component_id")
 

@@ -213,3 +213,20 @@ def test_exact_on_planted_copies(spark):
     rows = [(i, text) for i in range(5)] + [(9, text + " ")]
     got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.decide(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got == {**{i: (4, 5, i == 4) for i in range(5)}, 9: (9, 1, True)}
+
+
+def test_near_duplicates_lose_no_pair_that_fingerprints_miss(spark, monkeypatch):
+    """Short texts with one word changed, whose fingerprints are far apart, with a line that many others share."""
+    import random
+
+    r, rows = random.Random(8), []
+    for i in range(150):
+        words = [f"w{r.randrange(10**6)}" for _ in range(44)]
+        middle = words[:22] + ["changed"] + words[23:]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(middle))]
+    rows += [(1000 + i, "the same words stand in all of these lines " + " ".join(f"x{r.randrange(10**6)}" for _ in range(30))) for i in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    wanted = {d: d if d >= 1000 else d - d % 2 for d, _ in rows}
+    assert {x.doc_id: x.component_id for x in simhash.near_duplicates(frame, similarity=0.75).collect()} == wanted
+    monkeypatch.setattr(simhash, "SAMPLE", 1)  # the shared line is known as frequent: the same result
+    assert {x.doc_id: x.component_id for x in simhash.near_duplicates(frame, similarity=0.75).collect()} == wanted
