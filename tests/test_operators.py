@@ -8,8 +8,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tarnwick import runtime
 from tarnwick.functions import identity, similarity
-from tarnwick.operators import catalog, evaluation, graph, label_search, matching, precedents, retrieval
+from tarnwick.operators import catalog, components, evaluation, graph, label_search, matching, precedents, retrieval
 from tarnwick.operators.components import connected_components
 
 NAMED = "vendor string, product_id string, name string, node_iri string, decision string, decided_by string, confidence double, provisional boolean, decided_at_ms bigint, seq bigint"
@@ -347,6 +348,17 @@ def test_components_of_chain_star_and_loop(spark):
     assert connected_components(spark.createDataFrame([], "src int, dst int")).count() == 0
 
 
+def test_components_deal_a_round_out_by_its_rows(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, 10_000 + i % 40) for i in range(4_000)] + [(7, 7), (None, 3)], "src bigint, dst bigint")
+    used, real = [], components.written
+    monkeypatch.setattr(runtime, "TASK_ROWS", 200)
+    monkeypatch.setattr(components, "written", lambda df, name: used.append(int(spark.conf.get("spark.sql.shuffle.partitions"))) or real(df, name))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    found = components.connected_components(rows).collect()
+    assert max(used) >= 2 * 4_000 // 200 and spark.conf.get("spark.sql.shuffle.partitions") == before
+    assert {r.node: r.component for r in found} == {n: n % 40 for n in range(4_000)} | {10_000 + n: n for n in range(40)}
+
+
 def test_pagerank_against_algebra(spark):
     pairs = [("a", "b"), ("b", "c"), ("c", "d"), ("a", "c")]
     ranks, converged = graph.pagerank(tree(spark, *pairs), spark.createDataFrame([("a",), ("lone",)], "n string"), tolerance=1e-9)
