@@ -10,6 +10,10 @@ on for a bounded number of steps, and the nodes of a colour that lead back to th
 gave it are in its component. Both only ever join nodes that reach each other, so the order
 of rounds decides nothing.
 
+Before the first round the edges are dealt out in ranges of node ids, and a task contracts the
+strong components of the edges it holds, BLOCK at a time; that settles cycles of neighbouring ids.
+Once the edges that are left fit into one block, that block settles them all.
+
 A chain of cycles halves in each round, however long it is, and so does a long chain of
 nodes; a large component of small diameter takes one round of colours. What still takes a round
 for each layer is an acyclic part with branching in both directions.
@@ -17,6 +21,9 @@ for each layer is an acyclic part with branching in both directions.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -26,6 +33,8 @@ from ..runtime import written
 SHRINK = 0.1
 #: Most steps that a colour spreads, forwards and backwards.
 SPREAD = 32
+#: Edges that a task holds to contract their strong components.
+BLOCK = 1 << 18
 
 
 def _walks(edges: DataFrame, seed: int) -> DataFrame:
@@ -82,6 +91,86 @@ def _colours(edges: DataFrame, seed: int) -> DataFrame:
     return members.join(groups, "colour").select("node", "rep")
 
 
+def _strong(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The least node of each node's strong component (Tarjan, without recursion); a is sorted."""
+    first, after = np.searchsorted(a, np.arange(n)).tolist(), np.searchsorted(a, np.arange(n), "right").tolist()
+    to, seen, low, rep, open_, count = b.tolist(), [0] * n, [0] * n, [-1] * n, [], 0
+    for root in range(n):
+        path = [root] if not seen[root] else []
+        while path:
+            node = path[-1]
+            if not seen[node]:
+                count += 1
+                seen[node] = low[node] = count
+                open_.append(node)
+            deeper = False
+            while first[node] < after[node]:
+                other = to[first[node]]
+                if not seen[other]:
+                    path.append(other)
+                    deeper = True
+                    break
+                if rep[other] < 0:
+                    low[node] = min(low[node], low[other])
+                first[node] += 1
+            if deeper:
+                continue
+            path.pop()
+            if low[node] == seen[node]:
+                own = []
+                while not own or own[-1] != node:
+                    own.append(open_.pop())
+                least = min(own)
+                for other in own:
+                    rep[other] = least
+    return np.array(rep, np.int64)
+
+
+def _contracted(edges: pa.Table) -> pa.Table:
+    """node and rep of the nodes that are not the least of their strong component in these edges."""
+    names = pc.unique(pa.chunked_array(edges["a"].chunks + edges["b"].chunks))
+    names = names.take(pc.sort_indices(names))
+    a, b = (pc.index_in(edges[c], value_set=names).to_numpy().astype(np.int64) for c in "ab")
+    order = np.argsort(a, kind="stable")
+    rep = _strong(a[order], b[order], len(names))
+    moved = np.flatnonzero(rep != np.arange(len(names)))
+    return pa.table([names.take(pa.array(moved)), names.take(pa.array(rep[moved]))], ["node", "rep"])
+
+
+def _near(edges: DataFrame, count: int) -> DataFrame:
+    """node and rep of nodes in strong components of the edges of one block; all edges are one block if they fit.
+
+    A node in such a component has all its edges out in one range, and they are taken into one
+    block, up to BLOCK of them: an edge that is left out hides a component and never makes one.
+    """
+    block, parts = BLOCK, -(-count // BLOCK)
+    kind = dict(edges.dtypes)["a"]
+    dealt = edges.coalesce(1) if parts <= 1 else edges.repartitionByRange(parts, "a").sortWithinPartitions("a")
+
+    def run(batches):
+        held, size, last = [], 0, None
+        for batch in batches:
+            for low in range(0, batch.num_rows, block):
+                piece = pa.Table.from_batches([batch.slice(low, block)])
+                if parts > 1 and size + piece.num_rows > block and held:
+                    ends = pc.not_equal(piece["a"], last)  # the rest of the last node's edges stay with it
+                    rest = piece.filter(pc.invert(ends)).slice(0, max(0, block - size))
+                    held.append(rest)
+                    size += rest.num_rows
+                    piece = piece.filter(ends)
+                    if piece.num_rows:
+                        yield from _contracted(pa.concat_tables(held)).to_batches()
+                        held, size = [], 0
+                if piece.num_rows:
+                    held.append(piece)
+                    size += piece.num_rows
+                    last = piece["a"][-1]
+        if held:
+            yield from _contracted(pa.concat_tables(held)).to_batches()
+
+    return dealt.mapInArrow(run, f"node {kind}, rep {kind}")
+
+
 def cyclic_components(edges: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
     """node and component (its least node) of every strong component with over one node, and of nodes with a self loop.
 
@@ -90,10 +179,15 @@ def cyclic_components(edges: DataFrame, child: str = "child", parent: str = "par
     known = edges.select(F.col(child).alias("a"), F.col(parent).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL").distinct()
     known = written(known, "edges")
     loops = known.filter("a = b").select(F.col("a").alias("node"))
-    core, merged, turn, slow, left = known.filter("a <> b"), [], 0, False, 1
+    core, merged, turn, slow = known.filter("a <> b"), [], 0, False
+    left, last = core.count(), False
     while left:
-        turn, seen, kept = turn + 1, Observation(), Observation()
-        if slow:
+        seen, kept = Observation(), Observation()
+        if not turn or left <= BLOCK:
+            last = left <= BLOCK
+            nodes = core.select(F.col("a").alias("node")).unionByName(core.select(F.col("b").alias("node"))).distinct()
+            fate = nodes.join(written(_near(core, left), "near"), "node", "left").select("node", F.coalesce("rep", "node").alias("rep"), F.lit(False).alias("gone"))
+        elif slow:
             nodes = core.select(F.col("a").alias("node")).unionByName(core.select(F.col("b").alias("node"))).distinct()
             fate = nodes.join(_colours(core, turn), "node", "left").select("node", F.coalesce("rep", "node").alias("rep"), F.lit(False).alias("gone"))
         else:
@@ -101,8 +195,10 @@ def cyclic_components(edges: DataFrame, child: str = "child", parent: str = "par
             ends = walk.select(F.col("to").alias("node")).distinct().withColumn("end", F.lit(True))
             fate = walk.join(ends, "node", "left").select("node", F.when(F.col("end") & ~F.col("sink"), F.col("low")).otherwise(F.col("node")).alias("rep"), (F.col("forced") & F.col("stop")).alias("gone"))
         fate = written(fate.observe(seen, F.count(F.lit(1)).alias("all"), F.count_if(F.col("gone") | (F.col("node") != F.col("rep"))).alias("lost")), "fate")
-        slow = not slow and seen.get["lost"] < SHRINK * seen.get["all"]
+        slow, turn = bool(turn) and not slow and seen.get["lost"] < SHRINK * seen.get["all"], turn + 1
         merged.append(fate.filter("NOT gone").select("node", "rep"))
+        if last:  # what one block held is settled
+            break
         own = fate.filter("NOT gone")
         for end in ("a", "b"):
             core = core.join(own.select(F.col("node").alias(end), F.col("rep").alias(f"{end}_rep")), end)

@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from tarnwick.operators import cycles, graph
 
 
@@ -73,3 +75,21 @@ def test_colours_join_only_what_is_strong(spark, monkeypatch):
 def test_no_edges(spark):
     assert graph.cyclic_components(spark.createDataFrame([], "child bigint, parent bigint")).collect() == []
     assert graph.cyclic_components(spark.createDataFrame([(1, 2), (2, 3)], "child bigint, parent bigint")).collect() == []
+
+
+@pytest.mark.parametrize("block", [1, 7, 64, 1 << 18])
+def test_blocks_of_neighbouring_ids_and_what_crosses_them(spark, monkeypatch, block):
+    monkeypatch.setattr(cycles, "BLOCK", block)
+    chance = random.Random(block)
+    edges = [(3 * i + j, 3 * i + (j + 1) % 3) for i in range(30) for j in range(3)] + [(3 * i + 2, 3 * i + 3) for i in range(29)]
+    edges += [(500, 501 + i) for i in range(20)] + [(520, 500)] + [(600 + chance.randrange(30), 600 + chance.randrange(30)) for _ in range(35)]
+    chance.shuffle(edges)
+    rows = spark.createDataFrame(edges, "child bigint, parent bigint")
+    assert {r.node: r.component for r in cycles.cyclic_components(rows).collect()} == tarjan(edges)
+
+
+def test_a_long_chain_of_cycles_takes_few_rounds(spark, monkeypatch):
+    monkeypatch.setattr(cycles, "_walks", lambda *_: pytest.fail("a chain of near ids needs no walk"))
+    edges = [(3 * i + j, 3 * i + (j + 1) % 3) for i in range(20_000) for j in range(3)] + [(3 * i + 2, 3 * i + 3) for i in range(19_999)]
+    found = cycles.cyclic_components(spark.createDataFrame(edges, "child bigint, parent bigint"))
+    assert found.count() == 60_000 and found.filter("component <> node - node % 3").isEmpty()
