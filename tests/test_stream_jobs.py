@@ -73,3 +73,20 @@ def test_fold_equals_the_whole_journal_after_each_batch(spark, tmp_path):
         assert plain(negative, "decided_at_ms") == plain(precedents.current_negatives(journal), "decided_at_ms") != []
     assert spark.conf.get("spark.sql.shuffle.partitions") == "4"
     assert positive.select(F.count_distinct("vendor", "product_id")).first()[0] == positive.count()
+
+
+def test_fold_combines_events_before_the_state(spark, tmp_path):
+    """Only the last events of a product and a node reach the state, as rows of a JVM aggregation."""
+    folder, sink = tmp_path / "in", f"file://{tmp_path}/sink"
+    folder.mkdir()
+    kinds, base = ["approve", "reject", "override"], {"vendor": "v", "product_id": "p", "provisional": False}
+    events = [base | {"node_iri": f"n{i % 4}", "decision": kinds[i % 3], "decided_at_ms": None if i < 8 else i, "seq": i} for i in range(6_000)]
+    (folder / "a.json").write_text("".join(json.dumps(e) + "\n" for e in events))
+    query = folds.fold(streams.landing(spark, f"file://{folder}", DECISION), sink, f"file://{tmp_path}/check", partitions=2)
+    query.awaitTermination()
+    kept = [s for p in query.recentProgress for s in p["stateOperators"]]
+    assert {s["operatorName"] for s in kept} == {"stateStoreSave"} and max(s["numRowsTotal"] for s in kept) == 4
+    journal = spark.read.schema(DECISION).json(f"file://{folder}")
+    positive, negative = folds.current(spark, sink)
+    assert sorted(map(str, positive.collect())) == sorted(map(str, precedents.current_positive(journal).select(positive.columns).collect())) != []
+    assert sorted(map(str, negative.collect())) == sorted(map(str, precedents.current_negatives(journal).select(negative.columns).collect())) != []
