@@ -223,9 +223,11 @@ def lowest_common_ancestors(edges: DataFrame, pairs: DataFrame) -> DataFrame:
 def pagerank(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-10, max_iterations: int = 200) -> tuple[DataFrame, bool]:
     """node and rank of a personalised PageRank over undirected edges, and whether it converged.
 
-    Seeds share the restart mass and that of nodes without edges evenly. Each round is two
-    aggregations; it is written, and the change over all nodes decides on the next. Ranks
-    that did not converge should not be used.
+    Seeds share the restart mass and that of nodes without edges evenly. A node with one
+    edge that is no seed has the same rank as its neighbour's others of that kind, so
+    they are a number and a rank of the neighbour, and only the other nodes and their edges
+    take part in the rounds. Each round is two aggregations; it is written, and the change
+    over all nodes decides on the next. Ranks that did not converge should not be used.
     """
     both = written(edges.select(F.col("child").alias("a"), F.col("parent").alias("b")).unionByName(edges.select(F.col("parent").alias("a"), F.col("child").alias("b"))).filter("a <> b").distinct(), "edges")
     spec = "node string" if dict(both.dtypes)["a"] == "string" else "node bigint"
@@ -233,30 +235,33 @@ def pagerank(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, toleranc
     n_seeds = start.count()
     if not n_seeds:
         raise ValueError("no seeds")
-    nodes = both.select(F.col("a").alias("node")).unionByName(start).distinct()
+    ends = both.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("degree"), F.min("b").alias("hub"))
+    marked = start.withColumn("seed", F.lit(True)).join(ends, "node", "full").select("node", F.coalesce("seed", F.lit(False)).alias("seed"), F.coalesce("degree", F.lit(0)).alias("degree"), "hub")
+    marked = written(marked, "marked")
+    leaves = marked.filter("degree = 1 AND NOT seed").select("node", "hub")
+    inner = written(both.join(leaves.select(F.col("node").alias("a")), "a", "left_anti").join(leaves.select(F.col("node").alias("b")), "b", "left_anti").select("a", "b"), "inner")
+    held = leaves.groupBy(F.col("hub").alias("node")).agg(F.count(F.lit(1)).alias("leaves"))
+    base = marked.filter("degree <> 1 OR seed").join(held, "node", "left").select("node", "seed", "degree", F.coalesce("leaves", F.lit(0)).alias("leaves"))
     restart = F.when(F.col("seed"), 1.0 / n_seeds).otherwise(0.0)
-    base = written(nodes.join(start.withColumn("seed", F.lit(True)), "node", "left").join(both.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("degree")), "node", "left").select("node", F.coalesce("seed", F.lit(False)).alias("seed"), F.coalesce("degree", F.lit(0)).alias("degree")), "base")
-    ranks, isolated = base.withColumn("rank", restart), not base.filter("degree = 0").isEmpty()
-    steps, done = (1, 0) if isolated else (STEPS, 0)  # the mass of isolated seeds is an aggregate of its own
-    while done < max_iterations:
+    ranks = written(base.withColumns({"rank": restart, "leaf": F.lit(0.0)}), "ranks")
+    isolated = not ranks.filter("degree = 0").isEmpty()
+    steps, done, converged = (1 if isolated else STEPS), 0, False  # the mass of isolated seeds is an aggregate of its own
+    while done < max_iterations and not converged:
         for step in range(steps):
             loose = ranks.filter("degree = 0").agg(F.sum("rank")).first()[0] if isolated else 0.0
-            given = ranks.filter("degree > 0").select(F.col("node").alias("a"), (F.col("rank") / F.col("degree")).alias("share")).join(both, "a").groupBy(F.col("b").alias("node")).agg(F.sum("share").alias("got"))
-            new = damping * F.coalesce("got", F.lit(0.0)) + (1 - damping + damping * loose) * restart
-            ranks = ranks.withColumnRenamed("rank", "old").join(given, "node", "left").select("node", "seed", "degree", "old", new.alias("rank"))
-            ranks = ranks if step + 1 == steps else ranks.drop("old")
+            share = F.col("rank") / F.nullif("degree", F.lit(0))
+            given = ranks.filter("degree > 0").select(F.col("node").alias("a"), share.alias("share")).join(inner, "a").groupBy(F.col("b").alias("node")).agg(F.sum("share").alias("got"))
+            new = damping * (F.coalesce("got", F.lit(0.0)) + F.col("leaves") * F.col("leaf")) + (1 - damping + damping * loose) * restart
+            following = ranks.join(given, "node", "left").select("node", "seed", "degree", "leaves", new.alias("rank"), F.when(F.col("leaves") > 0, damping * share).otherwise(0.0).alias("leaf"), F.col("rank").alias("old"), F.col("leaf").alias("old_leaf"))
+            ranks = following if step + 1 == steps else following.drop("old", "old_leaf")
         done += steps
-        following = written(ranks, "ranks")
-        change = following.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
-        ranks = following.drop("old")
-        if change < tolerance:
-            return _normalised(ranks), True
-    return _normalised(ranks), False
-
-
-def _normalised(ranks: DataFrame) -> DataFrame:
-    total = ranks.agg(F.sum("rank")).first()[0] or 1.0
-    return ranks.select("node", F.round(F.col("rank") / total, 15).alias("rank"))
+        ranks = written(ranks, "ranks")
+        change = ranks.agg(F.sum(F.abs(F.col("rank") - F.col("old")) + F.col("leaves") * F.abs(F.col("leaf") - F.col("old_leaf")))).first()[0]
+        ranks, converged = ranks.drop("old", "old_leaf"), (change or 0.0) < tolerance
+    total = ranks.agg(F.sum(F.col("rank") + F.col("leaves") * F.col("leaf"))).first()[0] or 1.0
+    # Two nodes with no edge but their own and no seed are each other's leaf: nothing reaches them.
+    outer = leaves.join(ranks.filter("leaves > 0").select(F.col("node").alias("hub"), "leaf"), "hub", "left").select("node", F.coalesce("leaf", F.lit(0.0)).alias("rank"))
+    return ranks.select("node", "rank").unionByName(outer).select("node", F.round(F.col("rank") / total, 15).alias("rank")), converged
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:

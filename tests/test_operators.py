@@ -348,6 +348,33 @@ def test_components_of_chain_star_and_loop(spark):
     assert connected_components(spark.createDataFrame([], "src int, dst int")).count() == 0
 
 
+def test_temporal_check_reads_each_declaration_once(spark):
+    assert str(matching.validations(matching.Options(temporal=True))).count("node_coverage") == 1
+    given = [("2020", "2010 to 2012"), ("2020", "2019/"), ("2020", None), (None, "2020"), ("x", "2020"), ("2020", "x"), ("2019-05/", "2019-01 to 2019-05")]
+    rows = spark.createDataFrame(given, "a string, b string")
+    from tarnwick.functions import temporal
+
+    assert [r.ok for r in rows.select(temporal.compatible(F.col("a"), F.col("b")).alias("ok")).collect()] == [False, True, True, True, True, True, True]
+
+
+def test_pagerank_rounds_leave_out_nodes_of_one_edge(spark, monkeypatch):
+    pairs = [(f"l{i}", f"h{i % 5}") for i in range(200)] + [(f"h{i}", "top") for i in range(5)] + [("x", "y"), ("s", "h0"), ("top", "h0")]
+    seeds = ["s", "h1"]
+    sizes, real = {}, graph.written
+    monkeypatch.setattr(graph, "written", lambda df, name: sizes.setdefault(name, []).append(real(df, name)) or sizes[name][-1])
+    ranks, converged = graph.pagerank(tree(spark, *pairs), spark.createDataFrame([(s,) for s in seeds], "n string"), tolerance=1e-4)
+    nodes = sorted({n for p in pairs for n in p})
+    place = {n: i for i, n in enumerate(nodes)}
+    links = np.zeros((len(nodes), len(nodes)))
+    for a, b in pairs:
+        links[place[a], place[b]] = links[place[b], place[a]] = 1
+    restart = np.array([(n in seeds) / len(seeds) for n in nodes])
+    wanted = np.linalg.solve(np.eye(len(nodes)) - 0.85 * (links / links.sum(axis=0)), 0.15 * restart)
+    found = {r.node: r.rank for r in ranks.collect()}
+    assert converged and sorted(found) == nodes and np.allclose([found[n] for n in nodes], wanted / wanted.sum(), atol=1e-4)
+    assert sizes["ranks"][-1].count() == 7 and sizes["inner"][-1].count() == 12  # five hubs, their top and the seed s
+
+
 def test_components_deal_a_round_out_by_its_rows(spark, monkeypatch):
     rows = spark.createDataFrame([(i, 10_000 + i % 40) for i in range(4_000)] + [(7, 7), (None, 3)], "src bigint, dst bigint")
     used, real = [], components.written
