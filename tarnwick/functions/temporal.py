@@ -22,7 +22,7 @@ def _guarded(parts: Column, pattern: str) -> Column:
 
 def point(text: Column) -> Column:
     """(lo, hi) of a year, a month or a day; null outside the grammar or the calendar."""
-    return _let(trim(text), _point)
+    return let(trim(text), _point)
 
 
 def _point(t: Column) -> Column:
@@ -34,14 +34,14 @@ def _point(t: Column) -> Column:
     return F.when(lo.isNotNull(), F.struct(lo.alias("lo"), hi.alias("hi")))
 
 
-def _let(value: Column, use) -> Column:
+def let(value: Column, use) -> Column:
     """use(value) with the value computed once; nested conditions would otherwise repeat it at every place."""
     return F.transform(F.array(value), use)[0]
 
 
 def interval(text: Column) -> Column:
     """(lo, hi) of a declaration, each null where open; null as a whole where nothing can be compared."""
-    return _let(trim(F.coalesce(text, F.lit(""))), lambda t: _let(_halves(t), lambda h: F.when(h.isNull(), point(t)).when(F.size(h) == 2, _ranged(trim(h[0]), trim(h[1])))))
+    return let(trim(F.coalesce(text, F.lit(""))), lambda t: let(_halves(t), lambda h: F.when(h.isNull(), point(t)).when(F.size(h) == 2, _ranged(trim(h[0]), trim(h[1])))))
 
 
 def _halves(t: Column) -> Column:
@@ -58,7 +58,7 @@ def _ranged(low: Column, high: Column) -> Column:
         fits = ~(low_open & high_open) & (low_open | lo.isNotNull()) & (high_open | hi.isNotNull()) & ~F.coalesce(lo > hi, F.lit(False))
         return F.when(fits, F.struct(lo.alias("lo"), hi.alias("hi")))
 
-    return _let(point(low)["lo"], lambda lo: _let(point(high)["hi"], lambda hi: bounds(lo, hi)))
+    return let(point(low)["lo"], lambda lo: let(point(high)["hi"], lambda hi: bounds(lo, hi)))
 
 
 def overlap(a: Column, b: Column) -> Column:
@@ -67,6 +67,12 @@ def overlap(a: Column, b: Column) -> Column:
     return ~apart
 
 
+def compatible(a: Column, b: Column) -> Column:
+    """Whether two declarations share a day or one of them cannot be compared; each is read once, and the second only where the first can be."""
+    apart = lambda x: let(interval(b), lambda y: y.isNotNull() & ~overlap(x, y))
+    return let(interval(a), lambda x: F.when(x.isNull(), True).otherwise(~apart(x)))
+
+
 def coverage(declared: Column, raw: Column) -> Column:
     """The declared coverage, else start and end keys (a lone start is open-ended), else a coverage key."""
     ranges = []

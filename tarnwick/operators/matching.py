@@ -115,9 +115,8 @@ def validations(options: Options = Options()) -> Column:
     if options.input_completeness:
         checks.append(_entry("input_completeness", completeness(F.col("name"), F.col("description")), True, "name or description says too little"))
     if options.temporal:
-        a, b = temporal.interval(temporal.coverage(F.col("temporal_coverage"), F.col("raw"))), temporal.interval(F.col("node_coverage"))
-        disjoint = a.isNotNull() & b.isNotNull() & ~temporal.overlap(a, b)
-        checks.append(_entry("temporal_compatible", ~disjoint, True, "temporal coverage is disjoint"))
+        covered = temporal.coverage(F.col("temporal_coverage"), F.col("raw"))
+        checks.append(temporal.let(temporal.compatible(covered, F.col("node_coverage")), lambda ok: _entry("temporal_compatible", ok, True, "temporal coverage is disjoint")))
     return F.array(*checks)
 
 
