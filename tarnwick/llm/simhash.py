@@ -25,7 +25,8 @@ sets decide: first on each text's nearest proposal, then on all other proposals
 between different components. What is left is found by prefixes: in one order of all
 shingles, two sets of similarity s share one of the first n - ceil(s * n) + 1 of each, so
 nodes of different components that share such a shingle are compared too, and no pair
-is lost. Shingles that are frequent in a sample come last in that order, which keeps groups small
+is lost. Of those pairs only the ones go to the sets whose counts of shingles by cell leave
+room for that similarity: sets share at most the lesser count of each cell. Shingles that are frequent in a sample come last in that order, which keeps groups small
 and decides nothing else. Keys of over HOT members are compared in tiles, pairs of
 parts of at most HOT members, which any number of tasks share.
 
@@ -57,6 +58,8 @@ ROUNDS = (1, 27, 45)
 FIVE, PART_RADIUS, NEAR, HOT = 5, 3, 32, 4096
 #: Shingles put last in the order of prefixes, at most; they have at least FREQUENT nodes among one in SAMPLE.
 LAST, FREQUENT, SAMPLE = 1 << 18, 4, 16
+#: Cells into which a set's shingles are counted to bound what it can share with another.
+CELLS = 256
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -263,6 +266,32 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(a, "src").join(b, "dst").select("src", "dst", "a", "b").mapInArrow(run, "src bigint, dst bigint")
 
 
+def cells(shingles: np.ndarray) -> bytes | None:
+    """How many of a set's shingles lie in each cell, a byte each; none if a byte does not hold that."""
+    counts = np.bincount(shingles % CELLS, minlength=CELLS)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else None
+
+
+def possible(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (src, dst) without those whose counts by cell rule out that their sets (node, shingles) have the similarity."""
+    def counted(batches):
+        for batch in batches:
+            found = [np.frombuffer(x.as_buffer(), "<u4") for x in batch.column("shingles")]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([len(x) for x in found], pa.int64()), pa.array([cells(x) for x in found], pa.binary())], ["node", "n", "cells"])
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for a, b, n in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("n").to_pylist()):
+                most = None if a is None or b is None else int(np.minimum(np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)).sum(dtype=np.int64))
+                keep.append(most is None or most >= similarity * (n - most))
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["src", "dst"])
+
+    known = written(sets.select("node", "shingles").mapInArrow(counted, "node bigint, n bigint, cells binary").distinct(), "cells")
+    a, b = (known.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"), F.col("cells").alias(name)) for end, name in (("src", "a"), ("dst", "b")))
+    return pairs.join(a, "src").join(b, "dst").select("src", "dst", (F.col("n_src") + F.col("n_dst")).alias("n"), "a", "b").mapInArrow(run, "src bigint, dst bigint").distinct()
+
+
 def prefixes(sets: DataFrame, similarity: float, last: np.ndarray) -> DataFrame:
     """node, shingle and n (the set's size) of the shingles of each set (node, shingles) that a similar set must share one of.
 
@@ -329,7 +358,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     open_ = edges.join(at("src"), "src", "left").join(at("dst"), "dst", "left").filter(F.coalesce("src_part", "src") != F.coalesce("dst_part", "dst"))
     more = similar(open_.join(first, ["src", "dst"], "left_anti").select("src", "dst"), sets, similarity)
     linked = written(linked.unionByName(more), "linked")
-    rest = written(left_over(every, written(connected_components(linked), "parts"), similarity), "left_over")
+    rest = left_over(every, written(connected_components(linked), "parts"), similarity)
+    rest = written(possible(rest, every, similarity), "left_over")
     whole = connected_components(linked.unionByName(similar(rest, sets_of(rest), similarity)))
     named = nodes.join(whole, "node", "left").select(*same, F.coalesce("component", "node").alias("component_id"))
     return prints.select("doc_id", *same).join(named, same).select("doc_id", "component_id")

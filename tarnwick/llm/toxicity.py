@@ -12,7 +12,8 @@ of weights that are not zero.
 Each step of the method needs the weights of the step before, so one task trains. What it
 holds and how long it takes is bounded by train_rows and DIMENSIONS, whatever the size of
 the tables; features are computed before it and scores after it in as many tasks as there
-is data for.
+is data for. The slots of a row travel and are kept as the gaps between them, in about a
+byte each.
 
 Only the text is an input of a score. Defined cases: null and empty texts score like a
 text without features, by the bias; without training rows, or with one label only, scores
@@ -121,6 +122,21 @@ def features(text: str | None) -> np.ndarray:
     return found
 
 
+def pack(slots: np.ndarray) -> bytes:
+    """Slots in order as the gaps before them: a byte 255 for each whole 255 of a gap, then a byte for the rest."""
+    whole, rest = np.divmod(np.diff(slots, prepend=0), 255)
+    ends = (whole + 1).cumsum()
+    out = np.full(int(ends[-1]) if len(ends) else 0, 255, np.uint8)
+    out[ends - 1] = rest
+    return out.tobytes()
+
+
+def unpack(packed) -> np.ndarray:
+    """The slots of pack(), from bytes or a buffer."""
+    gaps = np.frombuffer(packed, np.uint8)
+    return gaps.cumsum(dtype=np.int64)[gaps < 255]
+
+
 class Ftrl:
     """Per-coordinate FTRL-proximal for logistic loss over binary features."""
 
@@ -154,7 +170,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc
     def featurised(batches):
         for batch in batches:
             for part, texts in pieces(batch, "text"):
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array([features(t).astype("<i4").tobytes() for t in texts], pa.binary())], ["doc_id", "label", "slots"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array([pack(features(t)) for t in texts], pa.binary())], ["doc_id", "label", "slots"])
 
     def fitted(batches):
         model, held, at = Ftrl(), [], []  # the sample stays in the batches' own buffers
@@ -164,7 +180,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc
         for epoch in range(epochs):
             for k in np.random.default_rng(epoch).permutation(len(at)).tolist():
                 part, i, label = at[k]
-                model.learn(np.frombuffer(held[part][i].as_buffer(), "<i4").astype(np.int64), label)
+                model.learn(unpack(held[part][i].as_buffer()), label)
         w = model.weights(slice(None))
         used = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(w[used])], ["slot", "weight"])

@@ -1,6 +1,7 @@
 import re
 from collections import defaultdict
 
+import numpy as np
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -230,3 +231,19 @@ def test_near_duplicates_lose_no_pair_that_fingerprints_miss(spark, monkeypatch)
     assert {x.doc_id: x.component_id for x in simhash.near_duplicates(frame, similarity=0.75).collect()} == wanted
     monkeypatch.setattr(simhash, "SAMPLE", 1)  # the shared line is known as frequent: the same result
     assert {x.doc_id: x.component_id for x in simhash.near_duplicates(frame, similarity=0.75).collect()} == wanted
+
+
+def test_counts_by_cell_keep_every_pair_of_the_similarity(spark):
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 1 << 32, 400, dtype=np.uint32)
+    sets = {0: base, 1: np.r_[base[:380], rng.integers(0, 1 << 32, 20, dtype=np.uint32)], 2: rng.integers(0, 1 << 32, 400, dtype=np.uint32), 3: base[:0], 4: base[:0], 5: np.arange(300, dtype=np.uint32) * simhash.CELLS}
+    sets[6] = sets[5][:250]  # more in one cell than a byte holds
+    sets[7] = np.r_[base[:1], sets[2][:399]]
+    sets = {k: np.unique(v) for k, v in sets.items()}
+    rows = spark.createDataFrame([(k, bytearray(v.astype("<u4").tobytes())) for k, v in sets.items()], "node bigint, shingles binary")
+    pairs = [(a, b) for a in sets for b in sets if b < a]
+    jaccard = {(a, b): len(np.intersect1d(sets[a], sets[b])) / max(1, len(np.union1d(sets[a], sets[b]))) if len(sets[a]) + len(sets[b]) else 1.0 for a, b in pairs}
+    kept = {tuple(r) for r in simhash.possible(spark.createDataFrame(pairs, "src bigint, dst bigint"), rows, 0.8).collect()}
+    alike = {p for p in pairs if jaccard[p] >= 0.8}
+    assert alike == {(1, 0), (4, 3), (6, 5), (7, 2)} and alike <= kept
+    assert not kept & {(2, 0), (2, 1), (7, 0)}  # these share a shingle at most, and never reach the sets

@@ -374,3 +374,13 @@ def test_toxicity_odd_rows(spark, odd, empty):
     assert toxicity.score(empty, {}).count() == 0
     assert {r.score for r in toxicity.score(odd, {}).collect()} == {0.5}
     assert toxicity.train(empty, labels, F.lit(True)) == {}
+
+
+def test_toxicity_slots_are_kept_in_about_a_byte_each():
+    rng = np.random.default_rng(5)
+    for slots in ([], [0], [0, 254], [0, 255], [0, 510, 511], [0, toxicity.DIMENSIONS - 1], np.unique(rng.integers(0, toxicity.DIMENSIONS, 3000))):
+        slots = np.array(slots, np.int64)
+        packed = toxicity.pack(slots)
+        assert toxicity.unpack(packed).tolist() == slots.tolist() and len(packed) <= len(slots) + toxicity.DIMENSIONS // 255
+    found = toxicity.features(" ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}x" for i in range(600)))
+    assert len(toxicity.pack(found)) < 1.5 * len(found)
