@@ -37,6 +37,13 @@ BLOCK_IDS = 1 << 16
 STORE = "shard int, block int, block_start bigint, n_ids bigint, doc_ids array<{id}>, doc_counts array<bigint>, words binary, escape_at array<bigint>, escape_value array<decimal(20,0)>"
 
 
+def _bits(ids: np.ndarray) -> np.ndarray:
+    """The bit lengths of ids (uint64), as bytes."""
+    low = np.frexp((ids & np.uint64(0xFFFFFFFF)).astype(np.float64))[1].astype(np.uint8)  # exact below 2**53
+    high = (ids >> np.uint64(32)).astype(np.float64)
+    return np.where(high > 0, np.frexp(high)[1] + 32, low).astype(np.uint8) if high.any() else low
+
+
 def pack(ids: np.ndarray) -> tuple[bytes, list[int], list[int]]:
     """Words of ids (unsigned), and the escapes' positions and values."""
     ids = ids.astype(np.uint64)
@@ -45,13 +52,7 @@ def pack(ids: np.ndarray) -> tuple[bytes, list[int], list[int]]:
     n, longest = len(ids), int(COUNTS[-1])
     ids = np.concatenate([ids, np.zeros(longest, np.uint64)])
     ids[at] = 0
-    bits = np.zeros(len(ids), np.uint8)
-    rest = ids.copy()
-    for step in (32, 16, 8, 4, 2, 1):
-        high = rest >= (1 << step)
-        bits[high] += step
-        rest = np.where(high, rest >> np.uint64(step), rest)
-    bits += rest > 0
+    bits = _bits(ids)
     choice, widest, span = np.zeros(n, np.uint8), bits[:n], 1
     for selector, count in enumerate(COUNTS.tolist()):
         for step in range(span, count):

@@ -118,3 +118,15 @@ def test_pack_is_dense():
     assert len(words) == 800
     words, _, _ = token_store.pack(np.full(6000, 30_000, np.uint64))
     assert len(words) == 1500 * 8
+
+
+def test_full_cache_keeps_what_was_met_first_and_finds_each_fragment_once(monkeypatch):
+    codec = bpe.Codec(tokenizer_path())
+    texts = ["common"] + [f"common Words here {i} x{i}y Zé{i}! <|endoftext|> {'' if i % 3 else None}" for i in range(40)] + [None, "", " \n"]
+    plain = codec.encode_all(texts)
+    small = bpe.Codec(tokenizer_path())
+    monkeypatch.setattr(bpe, "CACHE", 12)
+    learnt, learn = [], small.learn
+    monkeypatch.setattr(small, "learn", lambda fragments: (learnt.extend(fragments), learn(fragments)))
+    assert [small.encode_all([t])[0] for t in texts] == plain
+    assert len(small.known) < 30 and learnt.count(b"common") == 1 < learnt.count(b"here")  # the first quarter stays
