@@ -217,6 +217,15 @@ def bitmap(sketched: DataFrame, bits: int, least: int) -> np.ndarray:
     return found
 
 
+def _added(own: np.ndarray, named: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of named are not in own (sorted, each once), and own with them; own is searched and not sorted again."""
+    at = np.searchsorted(own, named)
+    there = at < len(own)
+    there[there] = own[at[there]] == named[there]
+    new = np.unique(named[~there])
+    return ~there, np.insert(own, np.searchsorted(own, new), new)
+
+
 def candidates(texts: DataFrame, bits: int, pairs, longer) -> DataFrame:
     """lang and phrase (words joined by spaces), each once, of every phrase whose cells are all marked."""
     def run(batches):
@@ -236,9 +245,8 @@ def candidates(texts: DataFrame, bits: int, pairs, longer) -> DataFrame:
                 kept, first, back = np.unique(h, return_index=True, return_inverse=True)
                 clash = np.flatnonzero(size != size[first][back])  # another phrase of the same hash
                 named = kept ^ (size[first].astype(_U) * _PLACE[0])
-                fresh = ~np.isin(named, own)
+                fresh, own = _added(own, named)
                 out += [(i, n) for i in (*at[first[fresh]].tolist(), *at[clash].tolist())]
-                own = np.union1d(own, named[fresh])
             seen[lang] = own
             if sum(map(len, seen.values())) > 1 << 21:
                 seen.clear()

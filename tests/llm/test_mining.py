@@ -233,3 +233,16 @@ def test_bitmaps_are_runs_in_order(spark):
     found = {r.doc: [tuple(x) for x in r.bitmap] for r in line_dedup.keep_bitmaps(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
     assert found == {i: [(1, 2), (4, 1)] for i in range(4)}
     assert line_dedup.keep_bitmaps(spark.createDataFrame(rows[:4], "doc_id int, text string")).count() == 0
+
+
+def test_new_phrases_are_told_without_sorting_the_known_again(monkeypatch):
+    rng = np.random.default_rng(3)
+    own, sorts = np.zeros(0, np.uint64), []
+    unique = np.unique
+    monkeypatch.setattr(collocations.np, "unique", lambda x, *a, **k: (sorts.append(len(x)), unique(x, *a, **k))[1])
+    for n in (0, 5, 400, 400, 3):
+        named = rng.integers(0, 600, n, dtype=np.uint64)
+        fresh, grown = collocations._added(own, named)
+        assert fresh.tolist() == (~np.isin(named, own)).tolist() and grown.tolist() == unique(np.r_[own, named]).tolist() and grown.dtype == np.uint64
+        assert sorts[-1] == fresh.sum()
+        own = grown
