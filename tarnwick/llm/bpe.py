@@ -205,6 +205,11 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+def release() -> None:
+    """Let go of the codec and its cache, which a worker process otherwise keeps through stages that need none."""
+    codec.cache_clear()
+
+
 def pieces(batch: pa.RecordBatch, column: str, limit: int = 1 << 22) -> Iterator[tuple[pa.RecordBatch, list]]:
     """Parts of a batch with at most about limit bytes of text each, with their texts.
 

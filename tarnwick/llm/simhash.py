@@ -45,8 +45,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators.components import connected_components
-from ..runtime import written
-from .bpe import pieces
+from ..runtime import batched, written
+from .bpe import pieces, release
 
 SEED, SHINGLE, RADIUS = 42, 3, 3
 BUCKET = 512
@@ -182,6 +182,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     import hashlib
 
     def run(batches):
+        release()
         for batch in batches:
             for part, texts in pieces(batch, "text"):
                 found = [sketch(t) for t in texts]
@@ -339,30 +340,34 @@ def left_over(sets: DataFrame, parts: DataFrame, similarity: float) -> DataFrame
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
-    """doc_id and component_id (the smallest doc_id reachable over near-duplicates) of each row; ids are whole numbers."""
-    prints = written(sketches(docs, id_col, text_col), "sketches")
-    same = ["hi", "lo", "digest"]
-    nodes = written(prints.groupBy(same).agg(F.min("doc_id").cast("bigint").alias("node")), "nodes")
-    edges = written(proposals(nodes.filter("node IS NOT NULL").select("node", "hi", "lo").distinct()), "proposals")
-    every = prints.select(F.col("doc_id").cast("bigint").alias("node"), "shingles").join(nodes.select("node").distinct(), "node", "left_semi")
-
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.col("src").alias("node")).unionByName(pairs.select(F.col("dst").alias("node"))).distinct()
-        return written(every.join(ends, "node", "left_semi").groupBy("node").agg(F.max("shingles").alias("shingles")), "sets")
-
-    sets = sets_of(edges)
-    first = edges.groupBy("src").agg(F.min_by("dst", F.struct("bits", "dst")).alias("dst"))
-    linked = written(similar(first, sets, similarity), "linked")
-    parts = written(connected_components(linked), "parts")
-    at = lambda end: parts.select(F.col("node").alias(end), F.col("component").alias(f"{end}_part"))
-    open_ = edges.join(at("src"), "src", "left").join(at("dst"), "dst", "left").filter(F.coalesce("src_part", "src") != F.coalesce("dst_part", "dst"))
-    more = similar(open_.join(first, ["src", "dst"], "left_anti").select("src", "dst"), sets, similarity)
-    linked = written(linked.unionByName(more), "linked")
-    rest = left_over(every, written(connected_components(linked), "parts"), similarity)
-    rest = written(possible(rest, every, similarity), "left_over")
-    whole = connected_components(linked.unionByName(similar(rest, sets_of(rest), similarity)))
-    named = nodes.join(whole, "node", "left").select(*same, F.coalesce("component", "node").alias("component_id"))
-    return prints.select("doc_id", *same).join(named, same).select("doc_id", "component_id")
+    """doc_id and component_id (the smallest doc_id reachable over near-duplicates) of each row; ids are whole numbers.
+
+    Rows go to Python in batches of bounded size, since sets of shingles are wide.
+    """
+    with batched(docs.sparkSession):
+        prints = written(sketches(docs, id_col, text_col), "sketches")
+        same = ["hi", "lo", "digest"]
+        nodes = written(prints.groupBy(same).agg(F.min("doc_id").cast("bigint").alias("node")), "nodes")
+        edges = written(proposals(nodes.filter("node IS NOT NULL").select("node", "hi", "lo").distinct()), "proposals")
+        every = prints.select(F.col("doc_id").cast("bigint").alias("node"), "shingles").join(nodes.select("node").distinct(), "node", "left_semi")
+
+        def sets_of(pairs: DataFrame) -> DataFrame:
+            ends = pairs.select(F.col("src").alias("node")).unionByName(pairs.select(F.col("dst").alias("node"))).distinct()
+            return written(every.join(ends, "node", "left_semi").groupBy("node").agg(F.max("shingles").alias("shingles")), "sets")
+
+        sets = sets_of(edges)
+        first = edges.groupBy("src").agg(F.min_by("dst", F.struct("bits", "dst")).alias("dst"))
+        linked = written(similar(first, sets, similarity), "linked")
+        parts = written(connected_components(linked), "parts")
+        at = lambda end: parts.select(F.col("node").alias(end), F.col("component").alias(f"{end}_part"))
+        open_ = edges.join(at("src"), "src", "left").join(at("dst"), "dst", "left").filter(F.coalesce("src_part", "src") != F.coalesce("dst_part", "dst"))
+        more = similar(open_.join(first, ["src", "dst"], "left_anti").select("src", "dst"), sets, similarity)
+        linked = written(linked.unionByName(more), "linked")
+        rest = left_over(every, written(connected_components(linked), "parts"), similarity)
+        rest = written(possible(rest, every, similarity), "left_over")
+        whole = connected_components(linked.unionByName(similar(rest, sets_of(rest), similarity)))
+        named = nodes.join(whole, "node", "left").select(*same, F.coalesce("component", "node").alias("component_id"))
+        return prints.select("doc_id", *same).join(named, same).select("doc_id", "component_id")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:

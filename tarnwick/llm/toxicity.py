@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import pieces
+from .bpe import pieces, release
 
 DIMENSIONS = 1 << 18
 TRAIN_ROWS, EPOCHS = 40_000, 5
@@ -168,6 +168,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text")
 
     def featurised(batches):
+        release()
         for batch in batches:
             for part, texts in pieces(batch, "text"):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array([pack(features(t)) for t in texts], pa.binary())], ["doc_id", "label", "slots"])
@@ -215,6 +216,7 @@ def reject(docs: DataFrame, weights: dict[int, float], text_col: str = "text") -
     at = docs.columns.index(text_col)
 
     def run(batches):
+        release()
         w = model.value
         for batch in batches:
             named = batch.rename_columns([f"c{i}" for i in range(batch.num_columns)])

@@ -1,11 +1,15 @@
 import hashlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tarnwick.llm import mixing, simhash, toxicity
+from tarnwick.llm import bpe, mixing, simhash, toxicity
 from tarnwick.llm.queries import tokenizer_path, toxicity_weights
+from tarnwick.runtime import batched
 
 
 def test_stages_are_in_order():
@@ -44,3 +48,27 @@ def test_stages_on_odd_rows(spark, odd, empty, sf_dir):
             docs = out.cache()
             docs.count()
     assert simhash.RADIUS == 3
+
+
+def test_workers_let_go_of_the_codec_in_stages_that_need_none():
+    batch, ran = pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["some words of a text"]}), []
+    rows = SimpleNamespace(columns=["doc_id", "text"], mapInArrow=lambda run, schema: ran.extend(run([batch])), schema={"doc_id": SimpleNamespace(dataType=SimpleNamespace(simpleString=lambda: "bigint"))})
+    rows.selectExpr = lambda *names: rows
+    rows.sparkSession = SimpleNamespace(sparkContext=SimpleNamespace(broadcast=lambda value: SimpleNamespace(value=value)))
+    for stage in (simhash.sketches, lambda docs: toxicity.reject(docs, {0: -1.0})):
+        bpe.codec(tokenizer_path())
+        stage(rows)
+        assert bpe.codec.cache_info().currsize == 0
+    assert [b.num_rows for b in ran] == [1, 1]
+
+
+def test_wide_rows_go_to_python_in_batches_of_bounded_size(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    wide = spark.range(0, 64, 1, 1).select(F.repeat(F.lit("x"), 1 << 20).alias("x"))
+    with batched(spark):
+        found = [r.n for r in wide.mapInArrow(sizes, "n bigint").collect()]
+    assert sum(found) == 64 and max(found) <= 5
+    assert [r.n for r in wide.mapInArrow(sizes, "n bigint").collect()] != found
