@@ -225,18 +225,24 @@ PAGED_SQL = """WITH own AS (SELECT c_nationkey, c_custkey, (row_number() OVER (P
     most AS (SELECT n_nationkey, n_name, n_nationkey % 5 <> 4 AS enabled, CASE WHEN n_nationkey % 5 = 3 THEN 2 ELSE 10000 END AS max_pages FROM nation)"""
 
 
+#: Pages that land in one file, a page a line: a file for each would be as many files as pages.
+PAGES_A_FILE = 256
+
+
 def _landed_pages(spark, sf_dir):
     """A vendor for each nation: its customers in pages of 20, each of which names the next; a fifth of vendors is off, another may pull two pages."""
     own = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), F.struct("c_custkey", "c_name").alias("item"))
     numbered = own.withColumn("page", F.expr("cast((row_number() OVER (PARTITION BY nation ORDER BY item.c_custkey) - 1) div 20 + 1 AS int)"))
     counts = own.groupBy("nation").agg(F.ceil(F.count(F.lit(1)) / 20).alias("last"))
     pages = numbered.groupBy("nation", "page").agg(F.collect_list("item").alias("items")).join(counts, "nation")  # 20 at most
-    following = F.when(F.col("page") < F.col("last"), F.concat(F.lit("page="), F.col("page") + 1))
-    folder = scratch_path(spark, "pages")
-    pages.select("nation", "page", F.to_json(F.struct("items", following.alias("next"))).alias("value")).repartition("nation", "page").write.partitionBy("nation", "page").text(folder)
+    # page is one more than the place of a page, so it is the place of the one after it
+    following = F.when(F.col("page") < F.col("last"), F.concat(F.lit("file="), F.expr(f"page div {PAGES_A_FILE}"), F.lit("#line="), F.expr(f"page % {PAGES_A_FILE}")))
+    folder, file = scratch_path(spark, "pages"), F.expr(f"(page - 1) div {PAGES_A_FILE}").alias("file")
+    landed = pages.select("nation", file, "page", F.to_json(F.struct("items", following.alias("next"))).alias("value"))
+    landed.repartition("nation", "file").sortWithinPartitions("nation", "file", "page").drop("page").write.partitionBy("nation", "file").text(folder)
     key = F.col("n_nationkey") % 5
     return table(spark, sf_dir, "nation").join(counts.select(F.col("nation").alias("n_nationkey")), "n_nationkey").select(
-        F.col("n_name").alias("vendor"), F.concat(F.lit(f"{folder}/nation="), "n_nationkey", F.lit("/page=1")).alias("endpoint"), (key != 4).alias("enabled"), F.when(key == 3, 2).alias("max_pages")
+        F.col("n_name").alias("vendor"), F.concat(F.lit(f"{folder}/nation="), "n_nationkey", F.lit("/file=0#line=0")).alias("endpoint"), (key != 4).alias("enabled"), F.when(key == 3, 2).alias("max_pages")
     )
 
 

@@ -1,7 +1,10 @@
 """Paged catalogues as a Spark data source: each vendor's pages are followed by ``next``.
 
 A page is a JSON object; its ``next`` names the page after it. Pages are landed files: an
-address is a file, or a folder that holds one file, as Spark writes it. An address without
+address is a file, or a folder that holds one file, as Spark writes it. Where it ends in
+``#line=`` and a number, the file has a page a line and the address is that line, counted
+from zero; a pull opens such a file once for the pages that it follows within it and holds
+it until then, so a file should have a few MB. An address without
 a scheme or a leading ``/`` is taken from the folder of the page that names it. A
 ``next`` that is true but no text asks the vendor's endpoint again; null, false, empty or
 missing ends the pull, and so does ``max_pages``, which leaves the vendor ``truncated``.
@@ -18,6 +21,7 @@ is tried again by Spark, and no page is left out silently.
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +31,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from .xlsx import files, opened
 
 MAX_PAGES = 10_000
+#: The address of a page in a file of many.
+LINE = re.compile(r"(.*)#line=([0-9]+)", re.DOTALL)
 PAGES = "vendor string, page int, address string, body string, next string, truncated boolean"
 VENDORS = "vendor string, endpoint string, enabled boolean, max_pages int"
 
@@ -42,14 +48,31 @@ def follow(endpoint: str, address: str, following) -> str | None:
     return f"{address.rstrip('/').rsplit('/', 1)[0]}/{following}"
 
 
-def fetch(address: str) -> str:
+def _content(address: str) -> str:
     held = files(address)
     if len(held) != 1:
-        raise ValueError(f"{address} holds {len(held)} files, a page is one")
+        raise ValueError(f"{address} holds {len(held)} files, a page is in one")
     with opened(held[0]) as f:
         return f.read().decode("utf-8")
 
 
+class Fetcher:
+    """Pages by address; the last file of a page a line is kept."""
+
+    def __init__(self):
+        self.path, self.lines = None, []
+
+    def __call__(self, address: str) -> str:
+        path, line = (m[1], int(m[2])) if (m := LINE.fullmatch(address)) else (address, None)
+        if line is None:
+            return _content(path)
+        if path != self.path:
+            self.path, self.lines = path, _content(path).split("\n")
+        if line >= len(self.lines):
+            raise ValueError(f"{path} has no line {line}")
+        return self.lines[line]
+
+
 @dataclass
 class Vendor(InputPartition):
     vendor: str
@@ -82,7 +105,7 @@ class _Reader(DataSourceReader):
     def read(self, own):
         if own is None:  # no vendor is enabled
             return
-        address, page = own.start, 0
+        address, page, fetch = own.start, 0, Fetcher()
         while address and page < own.max_pages:
             body = fetch(address)
             found = json.loads(body)

@@ -1,4 +1,5 @@
 import json
+import os
 import zipfile
 
 import pytest
@@ -245,3 +246,27 @@ def test_paged_pull(spark, tmp_path):
     missing = vendors.filter("vendor = 'off'").withColumn("enabled", F.lit(True))
     with pytest.raises(Exception, match="none"):
         paged.pull(spark, missing).collect()
+
+
+def test_paged_pull_of_files_with_a_page_a_line(spark, tmp_path, monkeypatch):
+    at = f"file://{tmp_path}"
+    (tmp_path / "f0").write_text('{"items": [{"k": 1}], "next": "f0#line=1"}\n{"items": [{"k": 2}], "next": "f1#line=0"}\n')
+    (tmp_path / "f1").write_text('{"items": [{"k": 3}], "next": "f0#line=9"}\n')
+    vendors = spark.createDataFrame([("a", f"{at}/f0#line=0", True, 3)], paged.VENDORS)
+    pages = paged.pull(spark, vendors)
+    assert sorted((r.page, r.k) for r in paged.items(pages, "k int").collect()) == [(1, 1), (2, 2), (3, 3)]
+    with pytest.raises(Exception, match="has no line 9"):
+        paged.resume(spark, vendors, pages).collect()
+    opens, real = [], paged.opened
+    monkeypatch.setattr(paged, "opened", lambda path: opens.append(path) or real(path))
+    assert len(list(paged._Reader([]).read(paged.Vendor("a", f"{at}/f0#line=0", f"{at}/f0#line=0", 3)))) == 3
+    assert len(opens) == 2  # each file once
+
+
+def test_landed_pages_share_files(spark, sf_dir):
+    from tarnwick.plans import source_queries
+
+    first = source_queries._landed_pages(spark, sf_dir).first().endpoint.split("/nation=")[0].removeprefix("file://")
+    files = [f for _, _, names in os.walk(first) for f in names if f.startswith("part-")]
+    pages = sum(r.n for r in spark.read.parquet(f"{sf_dir}/customer.parquet").groupBy("c_nationkey").count().selectExpr("ceil(count / 20) AS n").collect())
+    assert len(files) == 25 and pages > 50
