@@ -516,6 +516,19 @@ def test_expand_deals_with_each_set_of_nominated_nodes_once(spark, monkeypatch):
     assert sizes["expanded_sets"].count() == 3 + 2 + 1 + 1
 
 
+def test_expand_makes_rows_that_files_hold_in_a_fraction_of_a_byte(spark, tmp_path):
+    """A set of many products and nodes: every pair once, in an order that repeats; a null product has its rows too."""
+    nominated = spark.range(2016).select(F.concat(F.lit("d"), "id").alias("query"), F.lit("top").alias("doc"))
+    edges = spark.range(3000).select(F.concat(F.lit("c"), "id").alias("child"), F.lit("top").alias("parent"))
+    retrieval.expand(nominated, edges).write.parquet(str(tmp_path / "out"))
+    got = spark.read.parquet(str(tmp_path / "out"))
+    each = got.groupBy("query").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc").alias("docs")).collect()
+    assert len(each) == 2016 and {(r.n, r.docs) for r in each} == {(3001, 3001)}
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < got.count() // 4
+    few = spark.createDataFrame([(None, "c1"), ("x", "c1")], "query string, doc string")
+    assert sorted((r.query or "", r.doc) for r in retrieval.expand(few, edges).collect()) == [("", "c1"), ("", "top"), ("x", "c1"), ("x", "top")]
+
+
 def test_best_bm25_keeps_the_best_of_each_task_and_nothing_else(spark, monkeypatch):
     """The k best of each query are those of bm25(); no more rows leave a task than k a query, in blocks of any size."""
     words = "red blue green bolt ring gear".split()
