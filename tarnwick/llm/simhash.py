@@ -24,10 +24,11 @@ bucket proposes the member before it that is nearest, if it is within NEAR bits.
 sets decide: first on each text's nearest proposal, then on all other proposals that lie
 between different components. What is left is found by prefixes: in one order of all
 shingles, two sets of similarity s share one of the first n - ceil(s * n) + 1 of each, so
-nodes of different components that share such a shingle are compared too, and no pair
-is lost. Of those pairs only the ones go to the sets whose counts of shingles by cell leave
-room for that similarity: sets share at most the lesser count of each cell. Shingles that are frequent in a sample come last in that order, which keeps groups small
-and decides nothing else. Keys of over HOT members are compared in tiles, pairs of
+nodes of different components that share such a shingle are compared too, if what follows
+it in both leaves room for that similarity, and no pair is lost. Of those pairs only the
+ones go to the sets whose counts of shingles by cell leave room for it too: sets share at
+most the lesser count of each cell. Shingles that are frequent in a sample come last in that
+order, the most frequent at its end, which keeps groups small and decides nothing else. Keys of over HOT members are compared in tiles, pairs of
 parts of at most HOT members, which any number of tasks share.
 
 Defined cases: null texts count as empty; a text without words has fingerprint zero and
@@ -293,50 +294,60 @@ def possible(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(a, "src").join(b, "dst").select("src", "dst", (F.col("n_src") + F.col("n_dst")).alias("n"), "a", "b").mapInArrow(run, "src bigint, dst bigint").distinct()
 
 
-def prefixes(sets: DataFrame, similarity: float, last: np.ndarray) -> DataFrame:
-    """node, shingle and n (the set's size) of the shingles of each set (node, shingles) that a similar set must share one of.
+def prefixes(sets: DataFrame, similarity: float, last: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """node, shingle, place (how many come before it) and n (the set's size) of the shingles of each set (node, shingles) that a similar set must share one of.
 
-    The order is that of the hashes, those in last (sorted) after all others.
+    The order is that of the hashes, those in last (sorted, and how often each was seen)
+    after all others, the more often seen the later.
     """
     shared = sets.sparkSession.sparkContext.broadcast(last)
 
     def run(batches):
-        late = shared.value
+        late, often = shared.value
         for batch in batches:
             found, sizes = [], []
             for buffer in batch.column("shingles"):
                 x = np.frombuffer(buffer.as_buffer(), "<u4")
-                there = np.searchsorted(late, x)
-                is_last = (late[np.minimum(there, len(late) - 1)] == x) if len(late) else np.zeros(len(x), bool)
-                found.append(np.concatenate([x[~is_last], x[is_last]])[: int((1 - similarity) * len(x) + 1e-6) + 1])
+                if len(late):
+                    there = np.minimum(np.searchsorted(late, x), len(late) - 1)
+                    seen = np.where(late[there] == x, often[there], 0)
+                    x = x[np.argsort(seen, kind="stable")]
+                found.append(x[: int((1 - similarity) * len(x) + 1e-6) + 1])
                 sizes.append(len(x))
             many = [len(x) for x in found]
             node = np.repeat(batch.column("node").to_numpy(zero_copy_only=False), many)
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(np.concatenate([*found, np.zeros(0, np.uint32)]).astype(np.int64)), pa.array(np.repeat(np.array(sizes, np.int64), many))], ["node", "shingle", "n"])
+            place = np.concatenate([*map(np.arange, many), np.zeros(0, np.int64)]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(np.concatenate([*found, np.zeros(0, np.uint32)]).astype(np.int64)), pa.array(place), pa.array(np.repeat(np.array(sizes, np.int64), many))], ["node", "shingle", "place", "n"])
 
-    return sets.select("node", "shingles").mapInArrow(run, "node bigint, shingle bigint, n bigint")
+    return sets.select("node", "shingles").mapInArrow(run, "node bigint, shingle bigint, place bigint, n bigint")
 
 
-def frequent(sets: DataFrame) -> np.ndarray:
-    """The shingles that come last, of a sample of the sets; they order prefixes and exclude nothing."""
+def frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that come last, sorted, and how often each is in a sample of the sets; they order prefixes and exclude nothing."""
     def run(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(batch.column("shingles").to_pylist()), "<u4").astype(np.int64))], ["shingle"])
 
     some = sets.filter(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0).select("shingles").mapInArrow(run, "shingle bigint")
     rows = some.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "shingle").limit(LAST).collect()
-    return np.sort(np.array([r.shingle for r in rows], np.uint32))
+    rows.sort()
+    return np.array([r.shingle for r in rows], np.uint32), np.array([r.n for r in rows], np.int64)
 
 
 def left_over(sets: DataFrame, parts: DataFrame, similarity: float) -> DataFrame:
-    """src and dst: every pair of sets (node, shingles) in different parts (node, component) that may have the similarity."""
-    rows = prefixes(sets, similarity, frequent(sets)).join(parts, "node", "left").select("shingle", "node", "n", F.coalesce("component", "node").alias("part"))
+    """src and dst: every pair of sets (node, shingles) in different parts (node, component) that may have the similarity.
+
+    Two sets have no more in common than follows the first shingle that they share, itself
+    included, in either of them; a pair that is similar has room for what it needs there.
+    """
+    rows = prefixes(sets, similarity, frequent(sets)).join(parts, "node", "left").select("shingle", "node", "n", (F.col("n") - F.col("place")).alias("room"), F.coalesce("component", "node").alias("part"))
     rows = written(rows, "prefixes")
     mixed = rows.groupBy("shingle").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("shingle")
     kept = written(rows.join(mixed, "shingle", "left_semi"), "mixed")
-    a, b = (kept.select("shingle", F.col("node").alias(node), F.col("n").alias(n), F.col("part").alias(part)) for node, n, part in (("src", "n_src", "src_part"), ("dst", "n_dst", "dst_part")))
-    near = (F.col("n_src") >= similarity * F.col("n_dst") - 1e-6) & (F.col("n_dst") >= similarity * F.col("n_src") - 1e-6)
-    return a.join(b, "shingle").filter((F.col("dst") < F.col("src")) & (F.col("src_part") != F.col("dst_part")) & near).select("src", "dst").distinct()
+    a, b = (kept.select("shingle", F.col("node").alias(end), *(F.col(c).alias(f"{end}_{c}") for c in ("n", "room", "part"))) for end in ("src", "dst"))
+    near = (F.col("src_n") >= similarity * F.col("dst_n") - 1e-6) & (F.col("dst_n") >= similarity * F.col("src_n") - 1e-6)
+    roomy = F.least("src_room", "dst_room") >= similarity / (1 + similarity) * (F.col("src_n") + F.col("dst_n")) - 1e-6
+    return a.join(b, "shingle").filter((F.col("dst") < F.col("src")) & (F.col("src_part") != F.col("dst_part")) & near & roomy).select("src", "dst").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:

@@ -247,3 +247,20 @@ def test_counts_by_cell_keep_every_pair_of_the_similarity(spark):
     alike = {p for p in pairs if jaccard[p] >= 0.8}
     assert alike == {(1, 0), (4, 3), (6, 5), (7, 2)} and alike <= kept
     assert not kept & {(2, 0), (2, 1), (7, 0)}  # these share a shingle at most, and never reach the sets
+
+
+def test_candidates_left_over_have_room_for_the_similarity_and_no_similar_pair_is_lost(spark, monkeypatch):
+    """Shingles that many sets share come last, and a pair whose first common one comes too late is no candidate: 193 of these were before."""
+    monkeypatch.setattr(simhash, "SAMPLE", 1)
+    rng, sets = np.random.default_rng(7), []
+    for _ in range(6):
+        common = rng.integers(0, 1 << 32, 40, dtype=np.uint64)
+        for _ in range(12):
+            x, k = common.copy(), int(rng.integers(0, 14))
+            x[rng.choice(40, k, replace=False)] = rng.integers(0, 1 << 32, k, dtype=np.uint64)
+            sets.append(np.unique(x).astype("<u4"))
+    rows = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(sets)], "node bigint, shingles binary")
+    parts = spark.createDataFrame([(2, 1)], "node bigint, component bigint")
+    got = {tuple(r) for r in simhash.left_over(rows, parts, 0.8).collect()}
+    alike = {(b, a) for b in range(len(sets)) for a in range(b) if len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))} - {(2, 1)}
+    assert len(alike) == 46 and alike <= got and len(got) < 2 * len(alike)
